@@ -22,36 +22,36 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     rest = [c for c in df.columns if c not in keys]
     rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     pick = (F.max_by if desc_last else F.min_by)(F.struct(*[F.col(f"`{c}`") for c in rest]), rank)
-    return (df.groupBy(*keys).agg(pick.alias("_row"))
-              .select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]))
+    return (df.groupBy(*keys).agg(pick.alias("__row"))
+              .select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest]))
 
 
 def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
+    return df.withColumn("__chunk", F.floor(F.col(order) / F.lit(width)))
 
 
 def _join_chunks(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [rows[k].eqNullSafe(carried[f"_k_{k}"]) for k in keys] + [rows["_chunk"] == carried["_kc"]]
-    return rows.join(carried, on, "left").drop("_chunk", "_kc", *[f"_k_{k}" for k in keys])
+    on = [rows[k].eqNullSafe(carried[f"__k_{k}"]) for k in keys] + [rows["__chunk"] == carried["__kc"]]
+    return rows.join(carried, on, "left").drop("__chunk", "__kc", *[f"__k_{k}" for k in keys])
 
 
 def _rename(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     for k in keys:
-        summary = summary.withColumnRenamed(k, f"_k_{k}")
-    return summary.withColumnRenamed("_chunk", "_kc")
+        summary = summary.withColumnRenamed(k, f"__k_{k}")
+    return summary.withColumnRenamed("__chunk", "__kc")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str, ties: Sequence[str] = (),
                 width: int = WIDTH) -> DataFrame:
     """Exact ``row_number()`` over ``keys`` by the integer column ``order`` (then ``ties``), from 1."""
     rows = _chunked(df, order, width)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(order, *ties)
-    rows = rows.withColumn("_local", F.row_number().over(local))
-    sizes = _chunked(df.select(*keys, order), order, width).groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = Window.partitionBy(*keys, "__chunk").orderBy(order, *ties)
+    rows = rows.withColumn("__local", F.row_number().over(local))
+    sizes = _chunked(df.select(*keys, order), order, width).groupBy(*keys, "__chunk").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     return (_join_chunks(rows, _rename(offsets, keys), keys)
-            .withColumn(out, (F.col("_local") + F.col("_before")).cast("int")).drop("_local", "_before"))
+            .withColumn(out, (F.col("__local") + F.col("__before")).cast("int")).drop("__local", "__before"))
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], out: str,
@@ -59,27 +59,27 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[
     """``lag(struct(cols))`` over ``keys`` by ``order``; null on the first row of a key."""
     rows = _chunked(df, order, width)
     image = F.struct(*cols)
-    rows = rows.withColumn("_lag", F.lag(image).over(Window.partitionBy(*keys, "_chunk").orderBy(order)))
+    rows = rows.withColumn("__lag", F.lag(image).over(Window.partitionBy(*keys, "__chunk").orderBy(order)))
     tails = (_chunked(df.select(*dict.fromkeys([*keys, order, *cols])), order, width)
-             .groupBy(*keys, "_chunk").agg(F.max_by(image, F.col(order)).alias("_tail")))
-    carried = tails.withColumn("_prev", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_tail")
+             .groupBy(*keys, "__chunk").agg(F.max_by(image, F.col(order)).alias("__tail")))
+    carried = tails.withColumn("__prev", F.lag("__tail").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__tail")
     return (_join_chunks(rows, _rename(carried, keys), keys)
-            .withColumn(out, F.coalesce("_lag", "_prev")).drop("_lag", "_prev"))
+            .withColumn(out, F.coalesce("__lag", "__prev")).drop("__lag", "__prev"))
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
                 include_current: bool = False, width: int = WIDTH) -> DataFrame:
     """Greatest ``value`` among the earlier rows of the key (and this one, if asked), null when none."""
     end = 0 if include_current else -1
-    rows = _chunked(df.withColumn("_v", value), order, width)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    rows = rows.withColumn("_local", F.max("_v").over(local))
-    peaks = (_chunked(df.select(*keys, order, value.alias("_v")), order, width)
-             .groupBy(*keys, "_chunk").agg(F.max("_v").alias("_peak")))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = peaks.withColumn("_before", F.max("_peak").over(before)).drop("_peak")
+    rows = _chunked(df.withColumn("__v", value), order, width)
+    local = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    rows = rows.withColumn("__local", F.max("__v").over(local))
+    peaks = (_chunked(df.select(*keys, order, value.alias("__v")), order, width)
+             .groupBy(*keys, "__chunk").agg(F.max("__v").alias("__peak")))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = peaks.withColumn("__before", F.max("__peak").over(before)).drop("__peak")
     return (_join_chunks(rows, _rename(carried, keys), keys)
-            .withColumn(out, F.greatest("_local", "_before")).drop("_v", "_local", "_before"))
+            .withColumn(out, F.greatest("__local", "__before")).drop("__v", "__local", "__before"))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: int = 128,
@@ -94,13 +94,13 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cell:
         def span(lo: str, hi: str) -> Column:
             return F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell))
         grown = df.filter((F.col(f"{p}x2") > F.col(f"{p}x1")) & (F.col(f"{p}y2") > F.col(f"{p}y1")))
-        return (grown.withColumn("_cx", F.explode(span(f"{p}x1", f"{p}x2")))
-                     .withColumn("_cy", F.explode(span(f"{p}y1", f"{p}y2"))))
-    pairs = cells(left, "l").join(cells(right, "r"), [*keys, "_cx", "_cy"])
+        return (grown.withColumn("__cx", F.explode(span(f"{p}x1", f"{p}x2")))
+                     .withColumn("__cy", F.explode(span(f"{p}y1", f"{p}y2"))))
+    pairs = cells(left, "l").join(cells(right, "r"), [*keys, "__cx", "__cy"])
     corner_x, corner_y = F.greatest("lx1", "rx1"), F.greatest("ly1", "ry1")
     pairs = pairs.filter(
         (F.least("lx2", "rx2") > corner_x) & (F.least("ly2", "ry2") > corner_y)
-        & (F.floor(corner_x / cell) == F.col("_cx")) & (F.floor(corner_y / cell) == F.col("_cy")))
+        & (F.floor(corner_x / cell) == F.col("__cx")) & (F.floor(corner_y / cell) == F.col("__cy")))
     if self_order:
         pairs = pairs.filter(F.col(self_order[0]) < F.col(self_order[1]))
-    return pairs.drop("_cx", "_cy")
+    return pairs.drop("__cx", "__cy")
