@@ -12,18 +12,12 @@ INSETS = ("safe_top", "safe_right", "safe_bottom", "safe_left")
 
 
 def _int(name: str, default: int | None = None) -> Column:
-    """JSON numbers only: anything else is null or the default.  Fractions are cut."""
-    text = F.col(name)
-    number = F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double").cast("int"))
-    return F.coalesce(number, F.lit(default)) if default is not None else number
-
-
-def _bool(name: str) -> Column:
-    return F.when(F.col(name) == "true", True).when(F.col(name) == "false", False)
+    number = F.col(name).cast("int")
+    return number if default is None else F.coalesce(number, F.lit(default))
 
 
 def project_specs(raw: DataFrame) -> DataFrame:
-    """Catalog rows from raw JSON rows (all scalars still text)."""
+    """Catalog rows from raw JSON rows; numbers are cut to whole ones, absent ones get their default."""
     ints = {"max_file_size_kb": "maxFileSizeKb", "min_file_size_kb": "minFileSizeKb", "safe_top": "safeTop",
             "safe_right": "safeRight", "safe_bottom": "safeBottom", "safe_left": "safeLeft",
             "safe_zone_width": "safeZoneWidth", "safe_zone_height": "safeZoneHeight",
@@ -38,7 +32,7 @@ def project_specs(raw: DataFrame) -> DataFrame:
     flat = raw.select(
         *[F.col(v).alias(k) for k, v in texts.items()], _int("width", 0).alias("width"), _int("height", 0).alias("height"),
         (_int("id", 0) + 10000).alias("sort_order"), F.lit(True).alias("active"),
-        *[_int(v).alias(k) for k, v in ints.items()], *[_bool(v).alias(k) for k, v in bools.items()],
+        *[_int(v).alias(k) for k, v in ints.items()], *[F.col(v).alias(k) for k, v in bools.items()],
         F.col("fileFormats").alias("file_formats"))
     return flat.withColumn("safe_zone", inset_map())
 

@@ -22,14 +22,15 @@ FROM fx_spec""")
 def s_project_specs(t: Tables) -> DataFrame:
     """Raw JSON text built from the parts, parsed with the file schema, then projected."""
     from adlattice.schemas import SPEC_RAW
-    raw = t.fx_spec.select(F.to_json(F.struct(
-        F.when(F.col("sort_order") % 8 == 0, F.lit("n/a")).otherwise(F.col("sort_order").cast("string")).alias("id"),
-        "media", F.concat(F.lit("n"), "slug").alias("slug"),
-        F.when(F.col("sort_order") % 9 == 0, F.lit("wide")).otherwise(F.col("width").cast("string")).alias("width"),
-        F.col("height"), F.col("parse_status").alias("safeZoneParseStatus"), F.col("safe_top").alias("safeTop"),
-        F.col("safe_right").alias("safeRight"), F.col("safe_bottom").alias("safeBottom"), F.col("safe_left").alias("safeLeft"),
-        F.when(F.col("sort_order") % 4 == 0, F.lit("true")).when(F.col("sort_order") % 4 == 1, F.lit("false"))
-        .when(F.col("sort_order") % 4 == 2, F.lit("yes")).alias("isVideo"))).alias("js"))
+    o = F.col("sort_order")
+    text = F.to_json(F.struct(
+        o.alias("id"), "media", F.concat(F.lit("n"), "slug").alias("slug"), "width", "height",
+        F.col("parse_status").alias("safeZoneParseStatus"), F.col("safe_top").alias("safeTop"), F.col("safe_right").alias("safeRight"),
+        F.col("safe_bottom").alias("safeBottom"), F.col("safe_left").alias("safeLeft"), F.when(o % 4 < 3, o % 4 == 0).alias("isVideo")))
+    text = F.when(o % 8 == 0, F.regexp_replace(text, r'"id":(\d+)', r'"id":"$1"')).otherwise(text)
+    text = F.when(o % 9 == 0, F.regexp_replace(text, r'"width":(\d+)', r'"width":"wide"')).otherwise(text)
+    text = F.when(o % 4 == 2, F.regexp_replace(text, r'"isVideo":false', r'"isVideo":"yes"')).otherwise(text)
+    raw = t.fx_spec.select(text.alias("js"))
     parsed = raw.select(F.from_json("js", SPEC_RAW).alias("r")).select("r.*")
     return C.project_specs(parsed).select(
         "media", "slug", "width", "height", "sort_order", "active", "safe_top", "safe_right", "safe_bottom", "safe_left",

@@ -1,13 +1,13 @@
 """Schemas of the tables that arrive as files."""
 
-# Every scalar of a raw catalog row is read as text first, so that a wrong-typed value becomes null, not a lost row.
+# Typed: a value of the wrong JSON type reads as null on its own.
 SPEC_RAW = (
-    "id string, media string, placementName string, slug string, width string, height string, ratio string, "
+    "id double, media string, placementName string, slug string, width double, height double, ratio string, "
     "ratioLabel string, category string, placementType string, sourceUrl string, sourceType string, sourceRef string, "
-    "fileFormats array<string>, maxFileSizeKb string, minFileSizeKb string, colorSpace string, safeTop string, "
-    "safeRight string, safeBottom string, safeLeft string, safeZoneWidth string, safeZoneHeight string, "
-    "safeZoneParseStatus string, headlineMaxChars string, descriptionMaxChars string, textMaxPct string, "
-    "bgTransparent string, isVideo string, notes string, needsReview string, lastVerified string, lastUpdated string")
+    "fileFormats array<string>, maxFileSizeKb double, minFileSizeKb double, colorSpace string, safeTop double, "
+    "safeRight double, safeBottom double, safeLeft double, safeZoneWidth double, safeZoneHeight double, "
+    "safeZoneParseStatus string, headlineMaxChars double, descriptionMaxChars double, textMaxPct double, "
+    "bgTransparent boolean, isVideo boolean, notes string, needsReview boolean, lastVerified string, lastUpdated string")
 
 EVENT = ("timestamp timestamp, jobId string, pipelineVersion string, stage string, event string, message string, "
          "metrics map<string,string>, failureCode string, artifact string")

@@ -115,3 +115,65 @@ GDN 반응형 정사각형|gdn_responsive_square|1200|1200|1:1"""),
 
 VALID_VERSIONS = ["clean_v1"]
 RESULT_SOURCE = "clean_pipeline"
+
+# --- model answers -----------------------------------------------------------------------------------------------
+RESIZE_MODES = ["smart-fit", "cover", "contain", "blur-bg"]
+STRENGTHS = ["safe", "balanced", "fill"]
+FOCAL_POSITIONS = ["center", "top", "bottom", "left", "right", "left-top", "right-top", "left-bottom", "right-bottom"]
+CREATIVE_TYPES = ["text_heavy", "product_focused", "balanced_mix", "poster_info"]
+LAYOUT_TYPES = ["single_subject", "product_visual", "poster_info", "horizontal_bands", "vertical_bands", "mixed_layout"]
+BAND_ROLES = ["main_title", "date_info", "description", "product_visual", "sub_copy", "cta", "logo", "decoration",
+              "headline", "date_cta", "subcopy", "background", "visual"]
+REFLOW_PRIORITIES = ["hero", "support", "optional"]
+TARGET_PLACEMENTS = ["top", "center", "bottom", "left", "right"]
+DENSITIES = ["high", "medium", "low"]
+ELEMENT_TYPES = ["product", "person", "text", "logo", "cta", "price", "discount", "badge", "decoration", "background"]
+IMPORTANCES = ["required", "priority", "optional"]
+GROUPS = ["main_product", "main_copy", "sub_copy", "price_discount", "cta", "logo", "decorations", "background"]
+GROUP_LABELS = {"main_product": "메인 제품", "main_copy": "메인 카피", "sub_copy": "서브 카피", "price_discount": "가격/할인",
+                "cta": "CTA", "logo": "로고", "decorations": "장식", "background": "배경"}
+
+OBJECT_ROLES = ["background", "title", "body_text", "main_image", "cta", "logo", "badge", "decoration", "unknown"]
+REFLOW_BEHAVIORS = ["fill_canvas", "keep_aspect", "move_only", "optional_drop"]
+REQUIRED_OBJECT_ROLES = ["background", "title", "main_image"]
+MATCHED_STATUSES = ["ready", "matched_low_confidence"]
+ROLE_SYNONYMS = {
+    "main_image": ["visual", "visual_element", "product", "product_image", "image", "key_visual", "keyvisual", "hero"],
+    "title": ["headline", "header", "main_copy"],
+    "body_text": ["sub_text", "body", "copy", "description"],
+    "cta": ["btn", "button"],
+    "logo": ["brand"],
+}
+ANALYSIS_VERSION = "psd-object-map-v2"
+
+# Detector category to scene role and required flag, per dialect; z-order by role for the strict dialect.
+SCENE_ROLES = {
+    "product": ("product", True), "sub_product": ("product", False), "title_group": ("title_group", True),
+    "person_zone": ("protected_subject", False), "protected_subject": ("protected_subject", False),
+    "decorative_panel": ("decorative_ad", False),
+}
+CATEGORY_ROLES = {
+    "main_product": ("product", True), "brand_logo": ("logo", False), "advertising_text": ("title_group", True),
+    "person_zone": ("protected_subject", False), "decorative_panel": ("decorative_ad", False),
+}
+SCENE_Z = {"product": 0, "protected_subject": 0, "decorative_ad": 0, "logo": 5, "title_group": 10}
+
+VISIBLE_EXCLUDED = ["decoration", "unknown"]
+OBJECT_CATEGORIES = {"image": ["main_image"], "text": ["title", "body_text"], "logo_cta": ["logo", "cta", "badge"],
+                     "person": ["person"], "bg_deco": ["background", "decoration"]}
+DATE_LABELS = ["날짜", "기간", "신청"]
+DATE_GROUPS = ["date", "period", "info"]
+COMPARE_CANDIDATES = ["safe", "balanced", "fill", "focus-fill", "poster-reflow", "center-crop", "letterbox", "object-aware-fit"]
+
+DEFAULT_PROMPTS = {
+    "product": ["cosmetic product", "product tube", "cosmetic tube", "product bottle", "cosmetic bottle", "product package",
+                "cream jar", "skincare product", "makeup product"],
+    "person": ["person", "woman", "man", "model"],
+    "hand": ["hand", "hands"],
+    "logo": ["brand logo", "logo"],
+    "cta": ["button", "call to action button"],
+}
+EXPERIMENTAL_PROMPTS = ["cta"]
+NATIVE_MASK_BASE = {"psd_isolated_layer": 95.0, "psd_alpha": 80.0, "psd_layer_mask": 82.0, "ai_bbox_crop": 60.0,
+                    "object_bbox_coarse": 40.0, "bbox_coarse": 35.0, "visual_context": 20.0, "composite_fallback": 10.0,
+                    "unknown": 5.0}
