@@ -45,12 +45,12 @@ g AS (SELECT *, CASE WHEN meas THEN least((top_cov + bottom_cov) / 2, 1.0) * 8 E
   CASE WHEN hand_overlap >= 0.1 THEN least(hand_overlap / 0.5, 1.0) * 25 WHEN hand_overlap >= 0.05 THEN hand_overlap / 0.1 * 8 ELSE 0 END AS l5,
   CASE WHEN person_overlap >= 0.1 THEN least(person_overlap / 0.5, 1.0) * 18 WHEN person_overlap >= 0.05 THEN person_overlap / 0.1 * 5 ELSE 0 END AS l6,
   CASE WHEN meas THEN (top_clipped::INT + bottom_clipped::INT) * 4.0 ELSE 0 END AS l7 FROM m)
-SELECT image_id, ord, reason AS fail_reason, round(CASE WHEN reason IS NULL THEN greatest(0, least(100, g1 + g2 + g3 + g4 + g5 + g6 + g7 + g8 + comp - (l1 + l2 + l3 + l4 + l5 + l6 + l7))) ELSE 0 END, 1)::DOUBLE AS total,
-  round(CASE WHEN reason IS NULL THEN comp ELSE 0 END, 1)::DOUBLE AS completeness, round(CASE WHEN reason IS NULL THEN -l5 ELSE 0 END, 1)::DOUBLE + 0 AS hand, round(CASE WHEN reason IS NULL THEN -l7 - l3 ELSE 0 END, 1)::DOUBLE + 0 AS clip_frag FROM g""")
+SELECT image_id, ord, reason AS fail_reason, round(CASE WHEN reason IS NULL THEN greatest(0, least(100, g1 + g2 + g3 + g4 + g5 + g6 + g7 + g8 + comp - (l1 + l2 + l3 + l4 + l5 + l6 + l7))) ELSE 0 END::DOUBLE, 2) AS total,
+  round(CASE WHEN reason IS NULL THEN comp ELSE 0 END::DOUBLE, 2) AS completeness, round(CASE WHEN reason IS NULL THEN -l5 ELSE 0 END::DOUBLE, 2) + 0 AS hand, round(CASE WHEN reason IS NULL THEN -l7 - l3 ELSE 0 END::DOUBLE, 2) + 0 AS clip_frag FROM g""")
 def c_mask_score(t: Tables) -> DataFrame:
     d = detections(t).withColumn("s", S.mask_score())
-    return d.select("image_id", "ord", "s.fail_reason", F.round("s.total", 1).alias("total"), F.round("s.gain_completeness", 1).alias("completeness"),
-                    (F.round("s.loss_hand", 1) + 0.0).alias("hand"), (F.round(F.col("s.loss_clipping") + F.col("s.loss_fragments"), 1) + 0.0).alias("clip_frag"))
+    return d.select("image_id", "ord", "s.fail_reason", "s.total", F.col("s.gain_completeness").alias("completeness"),
+                    (F.col("s.loss_hand") + 0.0).alias("hand"), (F.col("s.loss_clipping") + F.col("s.loss_fragments") + 0.0).alias("clip_frag"))
 
 
 @query("c03_score_helpers", f"""

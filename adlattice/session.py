@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -45,6 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def materialise(df: DataFrame) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    This cuts the lineage of iterative work.  The files outlive any executor, and nothing is computed twice.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/adlattice-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
