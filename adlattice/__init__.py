@@ -1 +1,7 @@
 """adlattice: DataFrame operators for advertising-creative data on Spark."""
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with the plan, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,7 +1,7 @@
 """Query plans over the test tables, grouped by family."""
 from importlib import import_module
 
-FAMILIES = ["layout", "catalog", "jobs", "objects", "scoring", "masks", "streaming"]
+FAMILIES = ["layout", "catalog", "jobs", "objects", "scoring", "masks", "streaming", "sources"]
 
 
 def load_all() -> None:

@@ -24,12 +24,15 @@ def _place(t: Tables) -> str:
     return f"{shared_folder(t.spark).rstrip('/')}/adlattice-stream-{uuid.uuid4().hex}"
 
 
-def drain(t: Tables, frame: DataFrame) -> DataFrame:
-    """Runs a stream over all present files into a Parquet table and reads that table."""
+def drain(t: Tables, frame: DataFrame, once: bool = False) -> DataFrame:
+    """Runs a stream over all present files into a Parquet table and reads that table.
+
+    ``once`` takes a single micro-batch: state with a processing-time limit asks for further batches without end.
+    """
     S.prepare(t.spark)
     place = _place(t)
     (frame.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/table")
-     .trigger(availableNow=True).start().awaitTermination())
+     .trigger(**({"once": True} if once else {"availableNow": True})).start().awaitTermination())
     return t.spark.read.schema(frame.schema).parquet(f"{place}/table")
 
 
@@ -108,7 +111,7 @@ def k_stuck(t: Tables) -> DataFrame:
 @query("k05_cached_lookup", "WITH r AS (SELECT doc_id, left(sha256(text), 16) AS k FROM documents), f AS (SELECT k, MIN(doc_id) AS m FROM r GROUP BY 1) SELECT k AS cache_key, doc_id AS request_id, doc_id <> m AS cache_hit, m AS served_by FROM r JOIN f USING (k)")
 def k_cache(t: Tables) -> DataFrame:
     requests = _stream(t, "documents").select(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("cache_key"), F.col("doc_id").alias("request_id"))
-    return drain(t, S.cached_lookup(requests))
+    return drain(t, S.cached_lookup(requests), once=True)
 
 
 @query("k06_live_counts", f"WITH z AS ({_STATE.replace('WITH s AS', 'WITH s AS', 1)}) SELECT status, COUNT(*)::BIGINT AS jobs FROM z GROUP BY 1")
