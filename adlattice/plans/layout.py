@@ -207,7 +207,7 @@ fin AS (SELECT w.job_id, unnest(w.kept) AS k FROM walk w JOIN mx ON mx.job_id =
 SELECT job_id, k.o AS object_id, k.a AS anchor, k.x AS cx, k.y AS cy, k.w AS cw, k.h AS ch FROM fin""")
 def greedy_placement(t: Tables) -> DataFrame:
     ok = LO.valid_static(extracted(t), protected(t), ["job_id"])
-    return LO.place(ok, ["job_id"]).select("job_id", "object_id", "anchor", "cx", "cy", "cw", "ch")
+    return LO.place(ok, ["job_id"], objects=t.fx_object.select(F.col("image_id").alias("job_id"))).select("job_id", "object_id", "anchor", "cx", "cy", "cw", "ch")
 
 
 @query("q04_validate_layout", f"""
