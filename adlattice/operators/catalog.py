@@ -135,7 +135,7 @@ def upsert_specs(existing: DataFrame, incoming: DataFrame, order: str = "batch_o
     fields = [c for c in compared if c in existing.columns]
     image = F.struct(*fields)
     old = existing.select(F.col(key).alias("_key"), image.alias("_old"))
-    seq = previous_row(incoming, [key], order, fields, "_prev")
+    seq = previous_row(incoming, [key], order, fields, "_prev", null_safe=True)
     joined = seq.join(old, seq[key].eqNullSafe(old["_key"]), "left").drop("_key")
     before = F.coalesce("_prev", "_old")
     status = (F.when(before.isNull(), "INSERTED").when(before.eqNullSafe(image), "UNCHANGED").otherwise("UPDATED"))

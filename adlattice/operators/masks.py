@@ -104,31 +104,39 @@ def complement(runs: DataFrame, canvas: DataFrame, keys: Sequence[str]) -> DataF
     return gap.filter(F.col("_b") > F.col("_a")).select(*_row(keys), F.col("_a").alias("x0"), F.col("_b").alias("x1"))
 
 
-def _sweep(a: DataFrame, b: DataFrame, keys: Sequence[str], keep: Column) -> DataFrame:
-    """Row segments where a condition on the cover counts ``ca``, ``cb`` holds: one sorted pass, no run pairs."""
-    def edges(runs: DataFrame, da: int, db: int) -> DataFrame:
+def _sweep(masks: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Row segments with the number of runs of each mask over them (``c0``, ``c1`` …): one sorted pass, no run pairs."""
+    def edges(i: int, runs: DataFrame) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("s")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("s"))))
-        return runs.select(*_row(keys), ends.alias("_e")).select(*_row(keys), F.col("_e.x").alias("x"), (F.col("_e.s") * da).alias("da"), (F.col("_e.s") * db).alias("db"))
-    both = edges(a, 1, 0).unionByName(edges(b, 0, 1)).groupBy(*_row(keys), "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+        return runs.select(*_row(keys), ends.alias("_e")).select(
+            *_row(keys), F.col("_e.x").alias("x"), *[(F.col("_e.s") if i == j else F.lit(0)).alias(f"d{j}") for j in range(len(masks))])
+    both = edges(0, masks[0])
+    for i, m in enumerate(masks[1:], 1):
+        both = both.unionByName(edges(i, m))
+    steps = both.groupBy(*_row(keys), "x").agg(*[F.sum(f"d{j}").alias(f"d{j}") for j in range(len(masks))])
     w = Window.partitionBy(*_row(keys)).orderBy("x")
     sofar = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = both.select(*_row(keys), F.col("x").alias("x0"), F.lead("x").over(w).alias("x1"), F.sum("da").over(sofar).alias("ca"), F.sum("db").over(sofar).alias("cb"))
-    return seg.filter(F.col("x1").isNotNull() & keep).select(*_row(keys), "x0", "x1")
+    seg = steps.select(*_row(keys), F.col("x").alias("x0"), F.lead("x").over(w).alias("x1"),
+                       *[F.sum(f"d{j}").over(sofar).alias(f"c{j}") for j in range(len(masks))])
+    return seg.filter(F.col("x1").isNotNull())
 
 
 def mask_and(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return mask_union(_sweep(a, b, keys, (F.col("ca") > 0) & (F.col("cb") > 0)), keys)
+    return mask_union(_sweep([a, b], keys).filter("c0 > 0 AND c1 > 0"), keys)
 
 
 def mask_minus(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return mask_union(_sweep(a, b, keys, (F.col("ca") > 0) & (F.col("cb") == 0)), keys)
+    return mask_union(_sweep([a, b], keys).filter("c0 > 0 AND c1 = 0"), keys)
+
+
+def _pixels_where(cond: str) -> Column:
+    return F.sum(F.when(F.expr(cond), F.col("x1") - F.col("x0")).otherwise(0).cast("long"))
 
 
 def overlap_ratio(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of each mask of ``a`` covered by ``b``; 0 without cover."""
-    both = mask_area(mask_and(a, b, keys), keys).withColumnRenamed("area", "shared")
-    return mask_area(a, keys).join(both, list(keys), "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))).withColumn(
-        "ratio", F.coalesce(F.try_divide("shared", "area"), F.lit(0.0)))
+    """Share of each mask of ``a`` covered by ``b``; 0 without cover.  One sweep gives both areas."""
+    areas = _sweep([a, b], keys).groupBy(*keys).agg(_pixels_where("c0 > 0").alias("area"), _pixels_where("c0 > 0 AND c1 > 0").alias("shared"))
+    return areas.filter("area > 0").withColumn("ratio", F.col("shared") / F.col("area"))
 
 
 def spread_to(masks: DataFrame, covers: DataFrame, key: str, mask_key: str) -> DataFrame:
@@ -142,12 +150,12 @@ def subtract_candidates(prod: DataFrame, hand: DataFrame, person: DataFrame, key
     away: where an overlap is above 5 % and over 30 % of the area remains."""
     keys = [key, mask_key]
     h, p = spread_to(prod, hand, key, mask_key), spread_to(prod, person, key, mask_key)
-    hr = overlap_ratio(prod, h, keys).select(*keys, "area", F.col("ratio").alias("hand_ratio"))
-    pr = overlap_ratio(prod, p, keys).select(*keys, F.col("ratio").alias("person_ratio"))
-    left = mask_minus(prod, h.unionByName(p), keys)
-    rest = mask_area(left, keys).withColumnRenamed("area", "sub_area")
-    ratios = hr.join(pr, keys).join(rest, keys, "left").withColumn("sub_area", F.coalesce("sub_area", F.lit(0).cast("long")))
+    seg = _sweep([prod, h, p], keys)
+    areas = seg.groupBy(*keys).agg(_pixels_where("c0 > 0").alias("area"), _pixels_where("c0 > 0 AND c1 > 0").alias("_h"),
+                                   _pixels_where("c0 > 0 AND c2 > 0").alias("_p"), _pixels_where("c0 > 0 AND c1 = 0 AND c2 = 0").alias("sub_area"))
+    ratios = areas.select(*keys, "area", (F.col("_h") / F.col("area")).alias("hand_ratio"), (F.col("_p") / F.col("area")).alias("person_ratio"), "sub_area")
     ratios = ratios.withColumn("has_sub", ((F.col("hand_ratio") > 0.05) | (F.col("person_ratio") > 0.05)) & (F.col("sub_area") > F.col("area") * 0.30))
+    left = mask_union(seg.filter("c0 > 0 AND c1 = 0 AND c2 = 0"), keys)
     return ratios, left.join(ratios.filter("has_sub").select(*keys), keys, "left_semi")
 
 
@@ -292,7 +300,7 @@ def polygon_runs(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def alpha_leak(alpha: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pixels where alpha and mask differ, per key, and the code when there are any."""
-    diff = mask_union(_sweep(alpha, mask, keys, (F.col("ca") > 0) != (F.col("cb") > 0)), keys)
+    diff = mask_union(_sweep([alpha, mask], keys).filter("(c0 > 0) <> (c1 > 0)"), keys)
     return mask_area(diff, keys).withColumnRenamed("area", "diff_px").withColumn("code", F.lit("POLYGON_ALPHA_LEAK"))
 
 

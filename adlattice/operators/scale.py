@@ -30,8 +30,13 @@ def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("__chunk", F.floor(F.col(order) / F.lit(width)))
 
 
-def _join_chunks(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [rows[k].eqNullSafe(carried[f"__k_{k}"]) for k in keys] + [rows["__chunk"] == carried["__kc"]]
+def _join_chunks(rows: DataFrame, carried: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    """Summary rows back to their chunk.  Plain equality keeps the rows where the window has put them; the null-safe
+    form moves them once more and is only for keys that may be null."""
+    def same(k: str) -> Column:
+        a, b = rows[k], carried[f"__k_{k}"]
+        return a.eqNullSafe(b) if null_safe else a == b
+    on = [same(k) for k in keys] + [rows["__chunk"] == carried["__kc"]]
     return rows.join(carried, on, "left").drop("__chunk", "__kc", *[f"__k_{k}" for k in keys])
 
 
@@ -43,19 +48,19 @@ def _rename(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str, ties: Sequence[str] = (),
                 width: int = WIDTH) -> DataFrame:
-    """Exact ``row_number()`` over ``keys`` by the integer column ``order`` (then ``ties``), from 1."""
+    """Exact ``row_number()`` over non-null ``keys`` by the integer column ``order`` (then ``ties``), from 1."""
     rows = _chunked(df, order, width)
     local = Window.partitionBy(*keys, "__chunk").orderBy(order, *ties)
     rows = rows.withColumn("__local", F.row_number().over(local))
     sizes = _chunked(df.select(*keys, order), order, width).groupBy(*keys, "__chunk").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return (_join_chunks(rows, _rename(offsets, keys), keys)
+    return (_join_chunks(rows, _rename(offsets, keys), keys, False)
             .withColumn(out, (F.col("__local") + F.col("__before")).cast("int")).drop("__local", "__before"))
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], out: str,
-                 width: int = WIDTH) -> DataFrame:
+                 width: int = WIDTH, null_safe: bool = False) -> DataFrame:
     """``lag(struct(cols))`` over ``keys`` by ``order``; null on the first row of a key."""
     rows = _chunked(df, order, width)
     image = F.struct(*cols)
@@ -63,7 +68,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[
     tails = (_chunked(df.select(*dict.fromkeys([*keys, order, *cols])), order, width)
              .groupBy(*keys, "__chunk").agg(F.max_by(image, F.col(order)).alias("__tail")))
     carried = tails.withColumn("__prev", F.lag("__tail").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__tail")
-    return (_join_chunks(rows, _rename(carried, keys), keys)
+    return (_join_chunks(rows, _rename(carried, keys), keys, null_safe)
             .withColumn(out, F.coalesce("__lag", "__prev")).drop("__lag", "__prev"))
 
 
@@ -78,7 +83,7 @@ def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, o
              .groupBy(*keys, "__chunk").agg(F.max("__v").alias("__peak")))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = peaks.withColumn("__before", F.max("__peak").over(before)).drop("__peak")
-    return (_join_chunks(rows, _rename(carried, keys), keys)
+    return (_join_chunks(rows, _rename(carried, keys), keys, False)
             .withColumn(out, F.greatest("__local", "__before")).drop("__v", "__local", "__before"))
 
 
