@@ -30,6 +30,12 @@ COMPARE = ("bestCandidate string, summary string, candidates array<struct<streng
            "lostRequiredGroups:array<string>>>")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time per row: a nested expression that is named several times would
+    otherwise be parsed as often."""
+    return F.transform(F.array(value), use)[0]
+
+
 def one_of(value: Column, allowed: list[str], default: str) -> Column:
     return F.when(value.isin(*allowed), value).otherwise(default)
 
@@ -62,29 +68,28 @@ def strip_fence(raw: Column) -> Column:
     """Pattern variant: opening fence with its language word and the closing fence go."""
     def bare(c: Column) -> Column:
         return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    t = bare(raw)
-    inner = bare(F.regexp_replace(F.regexp_replace(t, r"(?s)^```[a-zA-Z]*\s*", ""), r"(?s)```\s*$", ""))
-    return F.when(t.startswith("```"), inner).otherwise(t)
+
+    def inner(t: Column) -> Column:
+        return bare(F.regexp_replace(F.regexp_replace(t, r"(?s)^```[a-zA-Z]*\s*", ""), r"(?s)```\s*$", ""))
+    return once(bare(raw), lambda t: F.when(t.startswith("```"), inner(t)).otherwise(t))
 
 
 def json_start(raw: Column) -> Column:
     """The stripped text if it begins like JSON, else null (blank and chatty answers alike)."""
-    t = strip_fence(raw)
-    return F.when(t.startswith("{") | t.startswith("["), t)
+    return once(strip_fence(raw), lambda t: F.when(t.startswith("{") | t.startswith("["), t))
 
 
 def strip_fence_lines(raw: Column) -> Column:
     """Line variant: the first line and all closing fence lines go."""
-    t = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    body = F.regexp_replace(F.regexp_replace(t, r"^[^\n]*\n?", ""), r"(\n?[ \t]*```[ \t]*)+$", "")
-    return F.when(t.startswith("```"), body).otherwise(t)
+    def body(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, r"^[^\n]*\n?", ""), r"(\n?[ \t]*```[ \t]*)+$", "")
+    return once(F.regexp_replace(raw, r"^\s+|\s+$", ""), lambda t: F.when(t.startswith("```"), body(t)).otherwise(t))
 
 
 # --- answers -----------------------------------------------------------------------------------------------------
 
 def parse_analysis(raw: Column) -> Column:
-    r = F.from_json(raw, ANALYSIS)
-    return F.struct(
+    return once(F.from_json(raw, ANALYSIS), lambda r: F.struct(
         one_of(r["creativeType"], vocab.CREATIVE_TYPES, "balanced_mix").alias("creative_type"),
         one_of(r["textDensity"], vocab.DENSITIES, "medium").alias("text_density"),
         one_of(r["edgeRisk"], vocab.DENSITIES, "medium").alias("edge_risk"),
@@ -96,7 +101,7 @@ def parse_analysis(raw: Column) -> Column:
         F.coalesce(F.lower(r["reflowRecommended"]) == "true", F.lit(False)).alias("reflow_recommended"),
         r["confidence"].alias("confidence"), text(r["reason"]).alias("reason"),
         word_list(r["warnings"]).alias("warnings"), parse_elements(r["detectedElements"]).alias("elements"),
-        parse_groups(r["elementGroups"]).alias("groups"), parse_bands(r["contentBands"]).alias("bands"))
+        parse_groups(r["elementGroups"]).alias("groups"), parse_bands(r["contentBands"]).alias("bands")))
 
 
 def _items(raw: Column, schema: str) -> Column:
@@ -140,8 +145,8 @@ def normalise_role(raw: Column) -> Column:
 
 def parse_objects(raw: Column) -> Column:
     """Object list of a raw (possibly fenced) answer ``{"objects": [...]}``; empty when unusable."""
-    listed = F.get_json_object(json_start(raw), "$.objects")
-    return F.transform(F.coalesce(_items(listed, OBJECTS), F.from_json(F.lit("[]"), OBJECTS)), lambda o: F.struct(
+    listed = F.from_json(json_start(raw), f"objects {OBJECTS}")["objects"]
+    return F.transform(F.coalesce(listed, F.array().cast(OBJECTS)), lambda o: F.struct(
         text(o["id"]).alias("id"), normalise_role(text(o["role"], "unknown")).alias("role"), text(o["label"]).alias("label"),
         one_of(o["importance"], vocab.IMPORTANCES, "optional").alias("importance"), box(o["bbox"]).alias("bbox"),
         o["confidence"].alias("confidence"),
@@ -154,28 +159,33 @@ def parse_objects(raw: Column) -> Column:
 
 def build_manifest(raw: Column) -> Column:
     """Struct error, objects of a scene answer.  Missing fields get defaults that use the object's position."""
-    body = strip_fence_lines(raw)
-    listed = F.get_json_object(body, "$.objects")
-    is_doc = F.try_parse_json(body).isNotNull()
-    error = (F.when(~is_doc, "JSON_PARSE_FAILED").when(listed.isNotNull() & ~listed.startswith("["), "OBJECTS_NOT_A_LIST"))
-    empty = F.from_json(F.lit("[]"), SCENE)
-    objects = F.transform(F.coalesce(_items(listed, SCENE), empty), lambda o, i: F.struct(
-        F.coalesce(o["id"], F.concat(F.lit("obj_"), i.cast("string"))).alias("id"),
-        text(o["role"], "decorative_ad").alias("role"), flag(o["required"], False).alias("required"),
-        flag(o["movable"], True).alias("movable"), flag(o["removableFromScene"], True).alias("removable"),
-        whole(o["bbox"]["x"]).alias("x"), whole(o["bbox"]["y"]).alias("y"), whole(o["bbox"]["width"]).alias("w"),
-        whole(o["bbox"]["height"]).alias("h"),
-        F.coalesce(o["polygon"], F.array().cast("array<array<int>>")).alias("polygon"),
-        F.coalesce(o["confidence"], F.lit(0.5)).alias("confidence"),
-        F.nullif(o["groupId"], F.lit("")).alias("group_id"), F.coalesce(whole(o["zIndex"], None), i).alias("z_index"),
-        text(o["textContent"]).alias("text_content"), text(o["description"]).alias("description")))
-    return F.struct(error.alias("error"), F.when(error.isNull(), objects).alias("objects"))
+    def objects(listed: Column) -> Column:
+        return F.transform(F.coalesce(_items(listed, SCENE), F.array().cast(SCENE)), lambda o, i: F.struct(
+            F.coalesce(o["id"], F.concat(F.lit("obj_"), i.cast("string"))).alias("id"),
+            text(o["role"], "decorative_ad").alias("role"), flag(o["required"], False).alias("required"),
+            flag(o["movable"], True).alias("movable"), flag(o["removableFromScene"], True).alias("removable"),
+            whole(o["bbox"]["x"]).alias("x"), whole(o["bbox"]["y"]).alias("y"), whole(o["bbox"]["width"]).alias("w"),
+            whole(o["bbox"]["height"]).alias("h"),
+            F.coalesce(o["polygon"], F.array().cast("array<array<int>>")).alias("polygon"),
+            F.coalesce(o["confidence"], F.lit(0.5)).alias("confidence"),
+            F.nullif(o["groupId"], F.lit("")).alias("group_id"), F.coalesce(whole(o["zIndex"], None), i).alias("z_index"),
+            text(o["textContent"]).alias("text_content"), text(o["description"]).alias("description")))
+
+    def build(doc: Column) -> Column:
+        listed = doc["listed"]
+        error = F.when(~doc["is_json"], "JSON_PARSE_FAILED").when(listed.isNotNull() & ~listed.startswith("["), "OBJECTS_NOT_A_LIST")
+        return F.struct(error.alias("error"), F.when(error.isNull(), objects(listed)).alias("objects"))
+    read = once(strip_fence_lines(raw), lambda t: F.struct(F.get_json_object(t, "$.objects").alias("listed"),
+                                                           F.try_parse_json(t).isNotNull().alias("is_json")))
+    return once(read, build)
 
 
 def parse_validation(raw: Column) -> Column:
-    body = strip_fence_lines(raw)
-    r = F.from_json(body, VALIDATION)
-    bad = F.try_parse_json(body).isNull()
+    read = once(strip_fence_lines(raw), lambda t: F.struct(F.from_json(t, VALIDATION).alias("r"), F.try_parse_json(t).isNull().alias("bad")))
+    return once(read, lambda d: _verdict(d["r"], d["bad"]))
+
+
+def _verdict(r: Column, bad: Column) -> Column:
     return F.struct(
         F.when(bad, "AI_RESPONSE_PARSE_FAILED").alias("error"), flag(r["adObjectsRemaining"], False).alias("ad_objects_remaining"),
         F.coalesce(r["remainingObjectIds"], F.array().cast("array<string>")).alias("remaining_ids"),
@@ -186,14 +196,13 @@ def parse_validation(raw: Column) -> Column:
 
 
 def parse_compare(raw: Column) -> Column:
-    r = F.from_json(raw, COMPARE)
-    return F.struct(
+    return once(F.from_json(raw, COMPARE), lambda r: F.struct(
         one_of(F.coalesce(r["bestCandidate"], F.lit("balanced")), vocab.COMPARE_CANDIDATES, "balanced").alias("best"),
         text(r["summary"]).alias("summary"),
         F.transform(r["candidates"], lambda c: F.struct(
             c["strength"].alias("strength"), whole(c["score"]).alias("score"), word_list(c["pros"]).alias("pros"),
             word_list(c["cons"]).alias("cons"), word_list(c["preservedRequiredGroups"]).alias("preserved_required"),
-            word_list(c["lostRequiredGroups"]).alias("lost_required"))).alias("candidates"))
+            word_list(c["lostRequiredGroups"]).alias("lost_required"))).alias("candidates")))
 
 
 def error_code(body: Column) -> Column:
