@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from adlattice import vocab
 from adlattice.functions import geometry as G
 from adlattice.operators.scale import number_rows, overlap_pairs
+from adlattice.session import materialise
 
 SWALLOWED = 0.6
 MIN_IOU = 0.25
 MIN_QUALITY = 50.0
 UNION_PAIRS = 5
+STAGES = (0.9, 0.75, 0.5)
 INPAINT_PAD = 10
 
 
@@ -126,31 +128,109 @@ def drop_product_titles(objects: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def iou_match(objects: DataFrame, dets: DataFrame, key: str = "image_id", min_iou: float = MIN_IOU,
-              min_quality: float = MIN_QUALITY) -> DataFrame:
+              min_quality: float = MIN_QUALITY, crowd: int = 1024) -> DataFrame:
     """Best detection per eligible object by IoU; the earliest detection wins a tie, its role plays no part.
 
-    ``dets``: key, det, x, y, w, h, quality.  Copies of a box collapse to their first detection before the join.
+    ``dets``: key, det, x, y, w, h, quality.  Copies of a box collapse to their first detection before the join.  Images
+    with more than ``crowd`` distinct detections are matched in stages of falling threshold, the others by grid overlap.
     """
     box = ["x", "y", "w", "h"]
     eligible = objects.filter(F.col("role").isin("product", "logo") & F.col("movable") & F.col("removable"))
-    left = _corners(eligible.select(key, *box).distinct(), "l")
-    best_dets = (dets.filter(F.col("quality") >= min_quality).groupBy(key, *box).agg(F.min("det").alias("det")))
-    right = _corners(best_dets, "r").drop(*box)
-    score = G.iou(*box, "rx1", "ry1", F.col("rx2") - F.col("rx1"), F.col("ry2") - F.col("ry1"))
-    pairs = overlap_pairs(left, right, [key]).withColumn("iou", score).filter(F.col("iou") >= min_iou)
-    best = pairs.groupBy(key, *box).agg(F.min_by(F.struct("det", "iou"), F.struct(-F.col("iou"), "det")).alias("_m"))
+    todo = eligible.filter("w > 0 AND h > 0").select(key, *box).distinct()
+    best_dets = dets.filter((F.col("quality") >= min_quality) & (F.col("w") > 0) & (F.col("h") > 0)).groupBy(key, *box).agg(F.min("det").alias("det"))
+    crowded = best_dets.groupBy(key).count().filter(F.col("count") > crowd).select(key)
+    found = None
+    if not crowded.isEmpty():
+        # A box whose best partner reaches a threshold is settled by the pairs above that threshold alone, and the higher
+        # the threshold the closer the partner's corner and size must be.
+        some = best_dets.join(crowded, key, "left_semi")
+        hot = materialise(todo.join(crowded, key, "left_semi"))
+        todo, best_dets = todo.join(crowded, key, "left_anti"), best_dets.join(crowded, key, "left_anti")
+        for level in [t for t in STAGES if t > min_iou] + [min_iou]:
+            step = materialise(_close_pairs(hot, some, key, level))
+            found = step if found is None else found.unionByName(step)
+            hot = materialise(hot.join(step, [key, *box], "left_anti"))
+    left, right = _corners(todo, "l"), _corners(best_dets, "r").drop(*box)
+    pairs = overlap_pairs(left, right, [key]).withColumn("iou", _pair_iou(box)).filter(F.col("iou") >= min_iou)
+    best = _best_of(pairs, [key, *box])
+    best = best if found is None else best.unionByName(found)
     return eligible.join(best, [key, *box], "left").withColumns({"det": F.col("_m.det"), "iou": F.col("_m.iou")}).drop("_m")
 
 
-def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_PAIRS) -> DataFrame:
+def _pair_iou(box: Sequence[str]) -> Column:
+    return G.iou(*box, "rx1", "ry1", F.col("rx2") - F.col("rx1"), F.col("ry2") - F.col("ry1"))
+
+
+def _best_of(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pairs.groupBy(*keys).agg(F.min_by(F.struct("det", "iou"), F.struct(-F.col("iou"), "det")).alias("_m"))
+
+
+def _close_pairs(left: DataFrame, right: DataFrame, key: str, level: float) -> DataFrame:
+    """Best partner of IoU at least ``level`` per box.
+
+    Such a partner's sides are between ``level`` and 1 / ``level`` times as long, so its size class (a power of 1 / level) is
+    the same or a neighbour, and its corner is at most (1 - level) of the longer side away, so its corner lies in a few cells
+    of that class's grid.
+    """
+    box = ["x", "y", "w", "h"]
+    base = 1.0 / level
+
+    def size_class(c: str) -> Column:
+        return F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(base)) + 1e-9)
+
+    def cell(cls: Column) -> Column:
+        return F.greatest(F.lit(1.0), F.pow(F.lit(base), cls + 1) * (1.0 - level))
+    keyed = right.withColumns({"_cw": size_class("w"), "_ch": size_class("h")}).withColumns(
+        {"_gx": F.floor(F.col("x") / cell(F.col("_cw"))), "_gy": F.floor(F.col("y") / cell(F.col("_ch")))})
+    keyed = _corners(keyed, "r").drop(*box)
+    near = F.sequence(F.lit(-1), F.lit(1))
+    probe = left.withColumn("_dw", F.explode(near)).withColumn("_dh", F.explode(near)).withColumns(
+        {"_cw": size_class("w") + F.col("_dw"), "_ch": size_class("h") + F.col("_dh")})
+
+    def cells(pos: str, side: str, cls: str) -> Column:
+        reach = F.greatest(F.col(side).cast("double"), F.pow(F.lit(base), F.col(cls) + 1)) * (1.0 - level) + 1
+        return F.sequence(F.floor((F.col(pos) - reach) / cell(F.col(cls))), F.floor((F.col(pos) + reach) / cell(F.col(cls))))
+    probe = probe.withColumn("_gx", F.explode(cells("x", "w", "_cw"))).withColumn("_gy", F.explode(cells("y", "h", "_ch")))
+    pairs = probe.join(keyed, [key, "_cw", "_ch", "_gx", "_gy"]).withColumn("iou", _pair_iou(box)).filter(F.col("iou") >= level)
+    return _best_of(pairs, [key, *box])
+
+
+CROWD = 1024
+
+
+def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_PAIRS, crowd: int = CROWD) -> DataFrame:
     """The best ``pairs`` nearby product pairs of each image as one hull box.
 
-    ``dets``: key, i (position), x, y, w, h, conf, mask_conf.  Among equal boxes only the best ``pairs`` + 1 can be part
-    of a winning pair, so the others are left out beforehand; the result is that of comparing all pairs.
+    ``dets``: key, i (position), x, y, w, h, conf, mask_conf.  Two exact short cuts keep crowded images small.  Among equal
+    boxes only the best ``pairs`` + 1 can be part of a winning pair.  And in an image with more than ``crowd`` detections
+    the best ``crowd`` by (confidence, position) are paired first: that settles the image if its last winner outranks
+    every pair which could still hold one of the others.  Images that stay open are paired in full.
     """
     box = ["x", "y", "w", "h"]
-    rank = Window.partitionBy(key, *box).orderBy(F.col("conf").desc(), F.col("i").desc())
-    few = dets.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= pairs + 1).drop("_r")
+    copies = Window.partitionBy(key, *box).orderBy(F.col("conf").desc(), F.col("i").desc())
+    few = dets.withColumn("_r", F.row_number().over(copies)).filter(F.col("_r") <= pairs + 1).drop("_r")
+    big = few.groupBy(key).agg(F.count("*").alias("_n"), F.max("conf").alias("_top")).filter(F.col("_n") > crowd).drop("_n")
+    if big.isEmpty():
+        return _best_pairs(few, key, pairs)
+    settled_small = _best_pairs(few.join(big, key, "left_anti"), key, pairs)
+    rank = Window.partitionBy(key).orderBy(F.col("conf").desc(), F.col("i").desc())
+    # a rank filter is applied per partition before the shuffle, so an image never lands whole in one task
+    best = materialise(few.join(big, key, "left_semi").withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= crowd + 1))
+    first = materialise(_best_pairs(best.filter(F.col("_r") <= crowd).drop("_r"), key, pairs))
+    last = first.filter(F.col("pair_rank") == pairs).select(key, F.col("conf_sum").alias("_s"), F.col("i").alias("_i"))
+    rest = best.filter(F.col("_r") == crowd + 1).select(key, F.col("conf").alias("_c"), F.col("i").alias("_ri"))
+    limit = F.col("_top") + F.col("_c")
+    done = (big.join(last, key).join(rest, key)
+            .filter((F.col("_s") > limit) | ((F.col("_s") == limit) & (F.col("_i") > F.col("_ri")))).select(key))
+    out = settled_small.unionByName(first.join(done, key, "left_semi"))
+    open_ = big.select(key).join(done, key, "left_anti")
+    if not open_.isEmpty():
+        out = out.unionByName(_best_pairs(few.join(open_, key, "left_semi"), key, pairs))
+    return out
+
+
+def _best_pairs(few: DataFrame, key: str, pairs: int) -> DataFrame:
+    box = ["x", "y", "w", "h"]
     reach_x, reach_y = F.greatest("w", F.lit(1)) * 3, F.greatest("h", F.lit(1)) * 4
     # doubled coordinates keep centres whole; boxes grown by their own reach must overlap if the pair is near
     few = few.withColumns({"_cx": F.col("x") * 2 + F.col("w"), "_cy": F.col("y") * 2 + F.col("h"), "_rx": reach_x, "_ry": reach_y})
@@ -163,7 +243,7 @@ def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_
     met = overlap_pairs(side("l"), side("r"), [key], cell=512, self_order=("l_i", "r_i"))
     near = met.filter((F.abs(F.col("l_cy") - F.col("r_cy")) < F.greatest("l_h", "r_h", F.lit(1)) * 4)
                       & (F.abs(F.col("l_cx") - F.col("r_cx")) < F.greatest("l_w", "r_w", F.lit(1)) * 3))
-    total = (F.col("l_conf") + F.col("r_conf"))
+    total = F.col("l_conf") + F.col("r_conf")
     top = Window.partitionBy(key).orderBy(total.desc(), F.col("l_i").desc(), F.col("r_i").desc())
     best = near.withColumn("pair_rank", F.row_number().over(top)).filter(F.col("pair_rank") <= pairs)
     ux, uy = F.least("l_x", "r_x"), F.least("l_y", "r_y")
@@ -171,7 +251,7 @@ def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_
         key, F.col("l_i").alias("i"), F.col("r_i").alias("j"), "pair_rank", ux.alias("x"), uy.alias("y"),
         F.greatest(F.lit(1), F.greatest(F.col("l_x") + F.col("l_w"), F.col("r_x") + F.col("r_w")) - ux).alias("w"),
         F.greatest(F.lit(1), F.greatest(F.col("l_y") + F.col("l_h"), F.col("r_y") + F.col("r_h")) - uy).alias("h"),
-        F.greatest("l_conf", "r_conf").alias("conf"), F.greatest("l_mask_conf", "r_mask_conf").alias("mask_conf"))
+        F.greatest("l_conf", "r_conf").alias("conf"), F.greatest("l_mask_conf", "r_mask_conf").alias("mask_conf"), total.alias("conf_sum"))
 
 
 def purge_protected(verdicts: DataFrame, manifest: DataFrame, key: str = "image_id") -> DataFrame:

@@ -338,7 +338,7 @@ p AS (SELECT a.image_id, a.i, b.i AS j, least(a.x, b.x) AS x, least(a.y, b.y) AS
 SELECT * FROM p WHERE pair_rank <= 5""")
 def j_union(t: Tables) -> DataFrame:
     d = t.fx_object.selectExpr("image_id", "ord AS i", "x", "y", "w", "h", "conf_pct AS conf", "(conf_pct * 3) % 50 AS mask_conf")
-    return O.union_candidates(d)
+    return O.union_candidates(d).drop("conf_sum")
 
 
 @query("j22_group_names", f"""

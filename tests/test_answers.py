@@ -109,4 +109,32 @@ def test_union_pairs_equal_all_pairs_with_many_copies(spark):
                 want.append((a[6] + b[6], a[1], b[1]))
     want = [(i, j) for _, i, j in sorted(want, reverse=True)[:5]]
     df = spark.createDataFrame(dets, "image_id int, i int, x int, y int, w int, h int, conf int, mask_conf int")
-    assert [(x.i, x.j) for x in O.union_candidates(df).orderBy("pair_rank").collect()] == want
+    for crowd in (1024, 12, 30):
+        assert [(x.i, x.j) for x in O.union_candidates(df, crowd=crowd).orderBy("pair_rank").collect()] == want
+
+
+def test_iou_match_in_stages_equals_all_pairs(spark):
+    import random
+    r = random.Random(7)
+
+    def boxes(n):
+        return [(1, i, "product", True, True, r.randrange(200), r.randrange(150), r.randrange(4, 90), r.randrange(4, 70)) for i in range(n)]
+    objs, dets = boxes(120), [(k, i, x, y, w, h, r.randrange(30, 100)) for k, i, _, _, _, x, y, w, h in boxes(150)]
+    dets += [(1, 150 + n, o[5] + r.randrange(-2, 3), o[6] + r.randrange(-2, 3), o[7] + 1, max(1, o[8] - 1), 90) for n, o in enumerate(objs[::3])]
+
+    def best(o):
+        scored = []
+        for d in dets:
+            if d[6] < 50:
+                continue
+            dx, dy = min(o[5] + o[7], d[2] + d[4]) - max(o[5], d[2]), min(o[6] + o[8], d[3] + d[5]) - max(o[6], d[3])
+            inter = max(dx, 0) * max(dy, 0)
+            v = inter / (o[7] * o[8] + d[4] * d[5] - inter)
+            if v >= 0.25:
+                scored.append((-v, d[1]))
+        return min(scored)[1] if scored else None
+    want = {o[1]: best(o) for o in objs}
+    od = spark.createDataFrame(objs, "image_id int, ord int, role string, movable boolean, removable boolean, x int, y int, w int, h int")
+    dd = spark.createDataFrame(dets, "image_id int, det int, x int, y int, w int, h int, quality int")
+    for crowd in (1024, 10):
+        assert {x.ord: x.det for x in O.iou_match(od, dd, crowd=crowd).collect()} == want
