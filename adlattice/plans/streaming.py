@@ -102,7 +102,8 @@ def k_stuck_batch(t: Tables) -> DataFrame:
     return S.stuck_jobs_batch(calls(t.fx_event), F.lit("2100-01-01").cast("timestamp"))
 
 
-@query("k04_stuck_jobs")
+@query("k04_stuck_jobs", f"""WITH {_CALLS}, wm AS (SELECT epoch_ms(MAX(ts)) - 600000 AS w FROM calls), n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS nxt FROM calls)
+SELECT job_id, event_id FROM n, wm WHERE kind = 'start' AND CASE WHEN nxt IS NOT NULL THEN epoch_ms(nxt) > epoch_ms(ts) + 900000 ELSE epoch_ms(ts) + 900000 <= w END""")
 def k_stuck(t: Tables) -> DataFrame:
     """Timer variant: starts near the end of the log stay open, as no watermark passes them."""
     return drain(t, S.stuck_jobs(calls(event_stream(t))))
@@ -142,15 +143,16 @@ def k_sessions(t: Tables) -> DataFrame:
     return S.job_sessions(t.fx_event).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query("k07_stage_counts_stream")
+@query("k07_stage_counts_stream", """WITH wm AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS w FROM fx_event)
+SELECT date_trunc('hour', ts) AS window_start, stage, event, COUNT(*) AS n FROM fx_event, wm WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= w GROUP BY 1, 2, 3""")
 def k_stage_stream(t: Tables) -> DataFrame:
     """Closed windows only: the last ones wait for the watermark."""
-    return drain(t, S.stage_counts(event_stream(t)))
+    return drain(t, S.stage_counts(event_stream(t))).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "stage", "event", "n")
 
 
-@query("k08_live_failures")
+@query("k08_live_failures", "SELECT DISTINCT job_id, stage FROM fx_event WHERE event = 'stage_fail'")
 def k_failures(t: Tables) -> DataFrame:
-    return drain(t, S.live_failures(event_stream(t)))
+    return drain(t, S.live_failures(event_stream(t))).select("job_id", "stage")
 
 
 @query("k09_stream_upsert", """
