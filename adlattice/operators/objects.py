@@ -111,22 +111,40 @@ def reflow_ready(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
                       (F.col("_s_title") & F.col("_s_main_image")).alias("screen_ready"))
 
 
-def drop_product_titles(objects: DataFrame, key: str = "image_id") -> DataFrame:
+def drop_product_titles(objects: DataFrame, key: str = "image_id", crowd: int = 1024) -> DataFrame:
     """Objects without the titles and logos that lie over 60 % inside a product box.
 
-    Equal boxes are judged once, and only boxes which share a grid cell meet.
+    Equal boxes are judged once, and only boxes which share a grid cell meet.  In images with more than ``crowd`` product
+    boxes the ``crowd`` largest are tried first, and only titles they leave meet the others.
     """
     box = ["x", "y", "w", "h"]
     titles = F.col("role").isin("title_group", "logo")
-    left = _corners(objects.filter(titles).select(key, *box).distinct(), "l")
-    right = _corners(objects.filter("role = 'product'").select(key, *box).distinct(), "r").drop(*box)
-    inside = overlap_pairs(left, right, [key])
-    inter = G.intersection_area("x", "y", "w", "h", "rx1", "ry1", F.col("rx2") - F.col("rx1"), F.col("ry2") - F.col("ry1"))
-    gone = (inside.filter(inter / (F.col("w").cast("long") * F.col("h")) > SWALLOWED).select(key, *box).distinct()
-            .withColumn("_gone", F.lit(True)))
+    ask = objects.filter(titles).select(key, *box).distinct()
+    products = objects.filter("role = 'product'").select(key, *box).distinct()
+    crowded = products.groupBy(key).count().filter(F.col("count") > crowd).select(key)
+    gone = None
+    if not crowded.isEmpty():
+        many = products.join(crowded, key, "left_semi")
+        size = F.col("w").cast("long") * F.col("h")
+        rank = Window.partitionBy(key).orderBy(size.desc(), *box)
+        large = many.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= crowd).drop("_r")
+        hot = materialise(ask.join(crowded, key, "left_semi"))
+        by_large = materialise(_swallowed(hot, large, key))
+        by_any = materialise(_swallowed(hot.join(by_large, [key, *box], "left_anti"), many, key))
+        gone = by_large.unionByName(by_any)
+        ask, products = ask.join(crowded, key, "left_anti"), products.join(crowded, key, "left_anti")
+    rest = _swallowed(ask, products, key)
+    gone = (rest if gone is None else rest.unionByName(gone)).withColumn("_gone", F.lit(True))
     return objects.join(gone, [key, *box], "left").filter(~(titles & F.coalesce("_gone", F.lit(False)))).drop("_gone")
 
 
+def _swallowed(ask: DataFrame, products: DataFrame, key: str) -> DataFrame:
+    box = ["x", "y", "w", "h"]
+    inside = overlap_pairs(_corners(ask, "l"), _corners(products, "r").drop(*box), [key])
+    inter = G.intersection_area("x", "y", "w", "h", "rx1", "ry1", F.col("rx2") - F.col("rx1"), F.col("ry2") - F.col("ry1"))
+    return inside.filter(inter / (F.col("w").cast("long") * F.col("h")) > SWALLOWED).select(key, *box).distinct()
+
+
 def iou_match(objects: DataFrame, dets: DataFrame, key: str = "image_id", min_iou: float = MIN_IOU,
               min_quality: float = MIN_QUALITY, crowd: int = 1024) -> DataFrame:
     """Best detection per eligible object by IoU; the earliest detection wins a tie, its role plays no part.

@@ -138,3 +138,18 @@ def test_iou_match_in_stages_equals_all_pairs(spark):
     dd = spark.createDataFrame(dets, "image_id int, det int, x int, y int, w int, h int, quality int")
     for crowd in (1024, 10):
         assert {x.ord: x.det for x in O.iou_match(od, dd, crowd=crowd).collect()} == want
+
+
+def test_swallowed_titles_same_when_crowded(spark):
+    import random
+    r = random.Random(3)
+    rows = [(1, i, r.choice(["product", "logo", "title_group", "badge"]), r.randrange(200), r.randrange(150), r.randrange(4, 60), r.randrange(4, 60)) for i in range(160)]
+    df = spark.createDataFrame(rows, "image_id int, ord int, role string, x int, y int, w int, h int")
+
+    def swallowed(o):
+        return o[2] in ("logo", "title_group") and any(
+            max(0, min(o[3] + o[5], p[3] + p[5]) - max(o[3], p[3])) * max(0, min(o[4] + o[6], p[4] + p[6]) - max(o[4], p[4])) / (o[5] * o[6]) > 0.6 for p in rows if p[2] == "product")
+    want = {o[1] for o in rows if not swallowed(o)}
+    assert 0 < len(want) < len(rows)
+    for crowd in (1024, 5):
+        assert {x.ord for x in O.drop_product_titles(df, crowd=crowd).collect()} == want
