@@ -5,7 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup
+from adlattice.llm import dedup, mixing
+
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +29,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op5_exact_dedup", dedup.oracle())
 def op5(spark, folder):
     return dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_mix_sources", mixing.ORACLE)
+def op7(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
