@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, mixing
+from adlattice.llm import dedup, mixing, packing
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -34,3 +34,8 @@ def op5(spark, folder):
 @query("op7_mix_sources", mixing.ORACLE)
 def op7(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op8_pack")
+def op8(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
