@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, mixing, packing
+from adlattice.llm import dedup, langid, mixing, packing
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -39,3 +39,8 @@ def op7(spark, folder):
 @query("op8_pack")
 def op8(spark, folder):
     return packing.pack(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query("op10_language_id")
+def op10(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
