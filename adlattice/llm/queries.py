@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, langid, mixing, packing
+from adlattice.llm import dedup, langid, mixing, ngrams, packing
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -44,3 +44,8 @@ def op8(spark, folder):
 @query("op10_language_id")
 def op10(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
+
+
+@query("op4_ngram_jaccard", ngrams.ORACLE)
+def op4(spark, folder):
+    return ngrams.jaccard_components(table(spark, folder, "documents"))
