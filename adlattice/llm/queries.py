@@ -49,3 +49,9 @@ def op10(spark, folder):
 @query("op4_ngram_jaccard", ngrams.ORACLE)
 def op4(spark, folder):
     return ngrams.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, folder):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)
