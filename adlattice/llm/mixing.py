@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adlattice.session import materialise
+
 BUCKET_BITS = 16
 HASH_BITS = 52
 
@@ -44,12 +46,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], factor: float, epochs:
              .select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target")))
 
 
-def plan(docs: DataFrame, key: str, text: str, source: str, weights, factor, epochs, seed: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``row``, ``size``, ``draw``; one row per source with target, whole, last_draw, last_key)."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
-    cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    sized = docs.select(cells.alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size"), draw.alias("draw"))
-    narrow = sized.drop("row").withColumn("bucket", F.shiftright("draw", HASH_BITS - BUCKET_BITS))
+def seeded(key: Column, seed: str) -> Column:
+    """A draw of 52 bits from seed and key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def plan(narrow: DataFrame, weights, factor, epochs) -> DataFrame:
+    """One row per source of ``narrow`` (key, source, size, draw): of, source_size, target, whole, last, takes; written, so its size is known."""
+    narrow = narrow.withColumn("bucket", F.shiftright("draw", HASH_BITS - BUCKET_BITS))
     buckets = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     shares = targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
@@ -74,31 +78,44 @@ def plan(docs: DataFrame, key: str, text: str, source: str, weights, factor, epo
                 .groupBy("source").agg(F.min("place").alias("last"), F.min_by(F.col("upto") - F.col("rest") <= F.col("rest") - F.col("earlier"), "place").alias("takes")))
     ends = (shares.join(crossing, same(shares, crossing), "left")
             .select(shares["source"].alias("of"), "source_size", "target", "whole", "last", F.coalesce("takes", F.lit(False)).alias("takes")))
-    return sized, ends
+    return materialise(ends)
+
 
+def times(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``rows`` (key, source, draw, ...) with source_size, target and ``times``, how often each is taken.
 
-def mixed(docs: DataFrame, key="doc_id", text="text", source="source", weights=(3, 1, 2), factor=1.5, epochs=2.0, seed="mix") -> DataFrame:
-    sized, ends = plan(docs, key, text, source, weights, factor, epochs, seed)
+    One row per source meets the documents: sent to all tasks while Spark finds it small, else in slices of a source.
+    """
+    slices = 32
+    spread = ends.withColumn("part_of", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    met = rows.withColumn("slice", F.pmod("draw", F.lit(slices)).cast("int"))
+    met = met.join(spread, met["source"].eqNullSafe(spread["of"]) & (met["slice"] == spread["part_of"]))
     place = F.struct("draw", F.col("key").isNull().alias("none"), "key")
     extra = F.when(F.col("takes"), place <= F.col("last")).otherwise(place < F.col("last"))
-    out = sized.join(ends, sized["source"].eqNullSafe(ends["of"]))
-    return out.withColumn("times", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("bigint"))
+    return met.withColumn("times", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("bigint"))
+
+
+def sized(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
+    return materialise(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size"), seeded(F.col(key), seed).alias("draw")))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, key="doc_id", text="text", source="source", weights=(3, 1, 2), factor=1.5, epochs=2.0, seed="mix") -> DataFrame:
     """One row per document: ``key``, size, source_size, target, taken (words, repeats counted).
 
     Null texts have size 0, a null source is a source of its own (last in order), null keys draw like an empty one and come
     last among equal draws, repeated rows share their draw and so their fate.  An empty table gives no rows; if all texts are
     empty, all targets are 0.  Reruns agree: the draw is a hash of seed and key.
     """
-    key = options.get("key", "doc_id")
-    return mixed(docs, **options).select(F.col("key").alias(key), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    narrow = sized(docs, key, text, source, seed)
+    out = times(narrow, plan(narrow, weights, factor, epochs))
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
-def repeat(docs: DataFrame, **options) -> DataFrame:
+def repeat(docs: DataFrame, key="doc_id", text="text", source="source", weights=(3, 1, 2), factor=1.5, epochs=2.0, seed="mix") -> DataFrame:
     """The mix itself: each document's row as often as it is taken, all columns kept."""
-    return mixed(docs, **options).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    ends = plan(sized(docs, key, text, source, seed), weights, factor, epochs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), seeded(F.col(key), seed).alias("draw"))
+    return times(rows, ends).where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("row.*")
 
 
 ORACLE = r"""
