@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, langid, mixing, ngrams, packing
+from adlattice.llm import dedup, langid, mixing, ngrams, packing, quality
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -51,6 +51,11 @@ def op4(spark, folder):
     return ngrams.jaccard_components(table(spark, folder, "documents"))
 
 
+@query("op9_quality_rules")
+def op9(spark, folder):
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
