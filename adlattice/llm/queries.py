@@ -5,9 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, langid, mixing, ngrams, packing, quality
+from adlattice.llm import dedup, langid, lengths, mixing, ngrams, packing, quality
 
 TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: how the byte-level vocabulary cuts a text before merging.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +58,11 @@ def op9(spark, folder):
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op2_token_counts")
+def op2(spark, folder):
+    return lengths.histogram(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
