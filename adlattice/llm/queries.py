@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, langid, lengths, mixing, ngrams, packing, quality
+from adlattice.llm import dedup, langid, lengths, mixing, ngrams, packing, quality, urls
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
@@ -63,6 +63,11 @@ def op2(spark, folder):
     return lengths.histogram(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
 
 
+@query("op3_url_rules", urls.ORACLE)
+def op3(spark, folder):
+    return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
