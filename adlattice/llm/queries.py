@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, langid, lengths, mixing, ngrams, packing, quality, urls
+from adlattice.llm import dedup, langid, lengths, maintext, mixing, ngrams, packing, quality, urls
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
@@ -68,6 +68,11 @@ def op3(spark, folder):
     return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark))
 
 
+@query("op6_main_text")
+def op6(spark, folder):
+    return maintext.extract(table(spark, folder, "pages"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
