@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, langid, lengths, maintext, mixing, ngrams, packing, quality, urls
+from adlattice.llm import dedup, langid, lengths, maintext, mixing, ngrams, packing, pii, quality, urls
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
@@ -73,6 +73,11 @@ def op6(spark, folder):
     return maintext.extract(table(spark, folder, "pages"))
 
 
+@query("op1_pii")
+def op1(spark, folder):
+    return pii.find(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline
