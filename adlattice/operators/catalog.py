@@ -48,13 +48,8 @@ def inset_map(need_all: bool = True) -> Column:
 
 def default_specs(spark: SparkSession) -> DataFrame:
     """The 64 built-in placements, a literal table."""
-    rows = []
-    for media, start, text in vocab.DEFAULT_SPECS:
-        for i, line in enumerate(text.strip().splitlines()):
-            name, slug, w, h, ratio = line.split("|")
-            rows.append((media, name, slug, int(w), int(h), ratio, start + i, True))
     return spark.createDataFrame(
-        rows, "media string, placement_name string, slug string, width int, height int, aspect_ratio string, "
+        [(*row, True) for row in vocab.DEFAULT_SPECS], "media string, placement_name string, slug string, width int, height int, aspect_ratio string, "
               "sort_order int, active boolean")
 
 
@@ -193,14 +188,17 @@ def verify_catalog(specs: DataFrame, media: str) -> DataFrame:
 
 
 def deactivate(specs: DataFrame, media: str, slugs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Switches listed specs of a media off; the second frame counts, and flags more finds than the list is long."""
+    """Switches listed specs of a media off.  With more finds than the list is long (``limit``) it refuses: nothing changes.
+
+    The second frame, one row, counts finds, those active at the start, those changed, and says whether it refused.
+    """
     listed = specs.join(slugs.select("slug").distinct().withColumn("_hit", F.lit(True)), "slug", "left")
     hit = F.coalesce(F.col("_hit") & (F.col("media") == media), F.lit(False))
-    counts = listed.agg(F.count_if(hit).alias("found"), F.count_if(hit & F.col("active")).alias("active_at_start"),
-                        F.count_if(hit & F.col("active")).alias("matched"),
-                        F.count_if(hit & F.col("active")).alias("modified")).withColumn(
-        "refused", F.col("found") > limit)
-    off = listed.withColumn("active", F.when(hit, False).otherwise(F.col("active"))).drop("_hit")
+    counts = listed.agg(F.count_if(hit).alias("found"), F.count_if(hit & F.col("active")).alias("active_at_start"))
+    counts = (counts.withColumn("refused", F.col("found") > limit)
+              .withColumn("modified", F.when(F.col("refused"), F.lit(0)).otherwise(F.col("active_at_start"))))
+    refused = counts.select("refused").scalar()
+    off = listed.withColumn("active", F.when(hit & ~refused, False).otherwise(F.col("active"))).drop("_hit")
     return off, counts
 
 

@@ -160,13 +160,13 @@ def job_outcome(results: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def name_results(results: DataFrame, keys: Sequence[str] = ("job_id",), order: str = "ordinal") -> DataFrame:
-    """File name ``NN_slug_WxH.ext``; NN is the position in the job, also standing in for a blank slug."""
+    """File name ``NN_slug_WxH.ext``; NN is the position in the job (two digits at least), also standing in for a blank slug."""
     n = number_rows(results, list(keys), order, "_n")
     index = F.col("_n") - 1
     slug = F.coalesce(F.when(F.col("slug") != "", F.col("slug")), F.concat(F.lit("spec"), index.cast("string")))
     ext = F.regexp_extract("file_path", r"(\.[^./]+)$", 1)
     ext = F.when(ext == "", ".png").otherwise(ext)
-    return n.withColumn("new_name", F.concat(F.lpad(index.cast("string"), 2, "0"), F.lit("_"), slug, F.lit("_"), F.col("width").cast("string"),
+    return n.withColumn("new_name", F.concat(F.when(index < 10, "0").otherwise(""), index.cast("string"), F.lit("_"), slug, F.lit("_"), F.col("width").cast("string"),
                                              F.lit("x"), F.col("height").cast("string"), ext)).drop("_n")
 
 

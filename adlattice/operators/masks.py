@@ -189,15 +189,15 @@ def completeness(runs: DataFrame, boxes: DataFrame, keys: Sequence[str], clip: f
 
 # --- components --------------------------------------------------------------------------------------------------
 
-def components(runs: DataFrame, keys: Sequence[str], diagonal: bool = True, max_rounds: int = 60) -> DataFrame:
+def components(runs: DataFrame, keys: Sequence[str], diagonal: bool = True) -> DataFrame:
     """Canonical runs with the component ``label`` they belong to.
 
     Runs of neighbouring rows are connected when they share a column (or touch diagonally).  Labels come from alternating
     large-star / small-star rounds over the edge list: each round is two aggregations with joins, the number of rounds
     grows with the logarithm of the component size, and the lineage is cut by a written table per round.
     """
-    node = F.xxhash64(*[F.col(k).cast("string") for k in keys], "y", "x0")
-    named = materialise(runs.withColumn("_id", node))
+    # numbers are written with their run, so they are the same in every later read
+    named = materialise(runs.withColumn("_id", F.monotonically_increasing_id()))
     slack = 1 if diagonal else 0
     # the runs of the next row meet through buckets of columns, so a wide row is not paired with a whole row
     cell = 64
@@ -209,7 +209,7 @@ def components(runs: DataFrame, keys: Sequence[str], diagonal: bool = True, max_
     touching = (F.col("_a0") - slack < F.col("_b1")) & (F.col("_b0") < F.col("_a1") + slack)
     edges = materialise(a.join(b, [*keys, "y", "_c"]).filter(touching)
                         .select(F.least("_u", "_v").alias("lo"), F.greatest("_u", "_v").alias("hi")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -221,8 +221,6 @@ def components(runs: DataFrame, keys: Sequence[str], diagonal: bool = True, max_
         # done once every edge points at a root: no lower end is itself below another node
         if edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty():
             break
-    else:
-        raise RuntimeError("component labels did not settle")
     labels = edges.groupBy(F.col("hi").alias("_id")).agg(F.min("lo").alias("label"))
     return named.join(labels, "_id", "left").withColumn("label", F.coalesce("label", "_id")).drop("_id")
 

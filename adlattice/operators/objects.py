@@ -62,10 +62,10 @@ def route_objects(strict_decorative: bool = False) -> Column:
 
 
 def composite_set(placed: DataFrame, objects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Placed objects which are pasted, with their drawing rank: required ones, by z-order then placement order."""
+    """Placed objects which are pasted, with their drawing rank (z, ord): required ones, by z-order then placement order."""
     z = objects.filter("required").groupBy(*keys, "object_id").agg(F.max(F.coalesce("z_index", F.lit(0))).alias("z"))
     kept = placed.join(z, [*keys, "object_id"])
-    return kept.withColumn("draw_key", F.col("z").cast("long") * 1_000_000 + F.col("ord"))
+    return kept.withColumn("draw_key", F.struct("z", "ord"))
 
 
 def inpaint_rects(objects: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:

@@ -56,7 +56,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str, ties:
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     return (_join_chunks(rows, _rename(offsets, keys), keys, False)
-            .withColumn(out, (F.col("__local") + F.col("__before")).cast("int")).drop("__local", "__before"))
+            .withColumn(out, F.col("__local") + F.col("__before")).drop("__local", "__before"))
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], out: str,

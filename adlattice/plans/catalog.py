@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from adlattice import vocab
 from adlattice.operators import catalog as C
 from adlattice.plans.fixtures import Tables
 from adlattice.plans.registry import query
@@ -46,6 +47,22 @@ def s_default_specs(t: Tables) -> DataFrame:
             .select("media", "catalog_specs", F.coalesce("n", F.lit(0)).alias("default_specs")))
 
 
+def _sql_text(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+_DEFAULT_ROWS = ", ".join("(" + ", ".join(map(_sql_text, (*row, True))) + ")" for row in vocab.DEFAULT_SPECS)
+
+
+@query("s02_default_specs", f"""
+SELECT d.media, placement_name, slug, width, height, aspect_ratio, sort_order, active, coalesce(n, 0)::BIGINT AS catalog_specs
+FROM (VALUES {_DEFAULT_ROWS}) d(media, placement_name, slug, width, height, aspect_ratio, sort_order, active) LEFT JOIN (SELECT media, COUNT(*) AS n FROM fx_spec GROUP BY 1) c ON c.media = d.media""")
+def s_default_rows(t: Tables) -> DataFrame:
+    """Every built-in placement, beside the number of catalog specs of its media."""
+    counts = t.fx_spec.groupBy("media").agg(F.count("*").alias("catalog_specs"))
+    return C.default_specs(t.spark).join(counts, "media", "left").fillna(0, ["catalog_specs"])
+
+
 @query("s03_init_specs", """SELECT media, COUNT(*) AS n FROM (SELECT media FROM fx_spec UNION ALL SELECT media FROM fx_spec WHERE sort_order % 3 = 0) u GROUP BY media""")
 def s_init_specs(t: Tables) -> DataFrame:
     return C.init_specs(t.fx_spec, t.fx_spec.filter("sort_order % 3 = 0"), reset=False).groupBy("media").agg(F.count("*").alias("n"))
@@ -182,14 +199,26 @@ def a_verify(t: Tables) -> DataFrame:
     return C.verify_catalog(s, "naver")
 
 
-@query("a03_deactivate", """
-WITH h AS (SELECT *, media = 'naver' AND slug IN (SELECT slug FROM fx_job_spec) AS hit FROM fx_spec)
-SELECT slug, CASE WHEN hit THEN false ELSE active END AS active, (SELECT COUNT(*) FROM h WHERE hit) AS found, (SELECT COUNT(*) FROM h WHERE hit AND active) AS modified,
-       (SELECT COUNT(*) FROM h WHERE hit) > 8 AS refused FROM h""")
+def _deactivated(limit: int) -> str:
+    return f"""
+WITH h AS (SELECT *, media = 'naver' AND slug IN (SELECT slug FROM fx_job_spec) AS hit FROM fx_spec),
+c AS (SELECT COUNT(*) FILTER (hit) AS found, COUNT(*) FILTER (hit AND active) AS was_active, COUNT(*) FILTER (hit) > {limit} AS refused FROM h)
+SELECT slug, active AND (refused OR NOT hit) AS active, found, CASE WHEN refused THEN 0 ELSE was_active END AS modified, refused FROM h, c"""
+
+
+def deactivated(t: Tables, limit: int) -> DataFrame:
+    off, counts = C.deactivate(t.fx_spec, "naver", t.fx_job_spec, limit)
+    return off.select("slug", "active", *[counts.select(c).scalar().alias(c) for c in ("found", "modified", "refused")])
+
+
+@query("a03_deactivate", _deactivated(8))
 def a_deactivate(t: Tables) -> DataFrame:
-    off, counts = C.deactivate(t.fx_spec, "naver", t.fx_job_spec, limit=8)
-    return off.select("slug", "active", counts.select("found").scalar().alias("found"), counts.select("modified").scalar().alias("modified"),
-                      counts.select("refused").scalar().alias("refused"))
+    return deactivated(t, 8)
+
+
+@query("a03_deactivate_accepted", _deactivated(1_000_000_000))
+def a_deactivate_accepted(t: Tables) -> DataFrame:
+    return deactivated(t, 1_000_000_000)
 
 
 @query("a06_media_selection", """

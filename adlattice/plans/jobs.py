@@ -135,7 +135,7 @@ def a_outcome(t: Tables) -> DataFrame:
 @query("w04_name_results", """
 WITH r AS (SELECT f.job_id, f.ordinal, CASE WHEN f.score % 8 = 0 THEN '' ELSE f.slug END AS slug, s.width, s.height, CASE WHEN f.score % 3 = 0 THEN '/o/a.b/r.jpg' ELSE '/o/a.b/result' END AS p FROM fx_result f JOIN fx_spec s USING (slug)),
 n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ordinal) - 1 AS i FROM r)
-SELECT job_id, ordinal, lpad(i::VARCHAR, 2, '0') || '_' || CASE WHEN slug = '' THEN 'spec' || i ELSE slug END || '_' || width || 'x' || height || CASE WHEN p LIKE '%.jpg' THEN '.jpg' ELSE '.png' END AS new_name FROM n""")
+SELECT job_id, ordinal, format('{:02d}', i) || '_' || CASE WHEN slug = '' THEN 'spec' || i ELSE slug END || '_' || width || 'x' || height || CASE WHEN p LIKE '%.jpg' THEN '.jpg' ELSE '.png' END AS new_name FROM n""")
 def w_names(t: Tables) -> DataFrame:
     r = t.fx_result.join(t.fx_spec.select("slug", "width", "height"), "slug").selectExpr(
         "job_id", "ordinal", "CASE WHEN score % 8 = 0 THEN '' ELSE slug END AS slug", "width", "height",

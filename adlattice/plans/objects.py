@@ -33,8 +33,8 @@ _ANSWER = r"""SELECT image_id, ord, CONCAT('{"creativeType":"', CASE ord % 3 WHE
 
 
 def _answers(t: Tables) -> DataFrame:
-    t.fx_object.createOrReplaceTempView("answer_objects")
-    return t.spark.sql(_ANSWER.replace("{obj}", "answer_objects"))
+    text = _ANSWER.replace("{obj}", "<obj>").replace("{", "{{").replace("}", "}}").replace("<obj>", "{obj}")
+    return t.spark.sql(text, obj=t.fx_object)
 
 
 @query("f01_parse_analysis", f"""
@@ -369,7 +369,8 @@ def w_suffix(t: Tables) -> DataFrame:
 
 @query("w03_number_detections", "SELECT image_id, det, 'det_' || lpad((row_number() OVER (PARTITION BY image_id ORDER BY CASE role WHEN 'product' THEN 0 WHEN 'person' THEN 1 ELSE 2 END, det))::VARCHAR, 3, '0') AS detection_id FROM fx_det")
 def w_number(t: Tables) -> DataFrame:
-    seq = F.when(F.col("role") == "product", 0).when(F.col("role") == "person", 1).otherwise(2) * 1000 + F.col("det")
+    # the class in the upper half of a long, so no position can reach the next class
+    seq = F.shiftleft(F.when(F.col("role") == "product", 0).when(F.col("role") == "person", 1).otherwise(2).cast("long"), 32) + F.col("det")
     return O.number_detections(t.fx_det.withColumn("seq", seq)).select("image_id", "det", "detection_id")
 
 

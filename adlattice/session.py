@@ -1,7 +1,10 @@
 """Session settings the operators are written for."""
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,15 +37,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without the setting falls back to a temporary folder.
+    Only a session in one process without the setting falls back to a temporary folder, removed when Python ends.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = os.path.join(tempfile.gettempdir(), f"adlattice-{spark.sparkContext.applicationId}")
-    os.makedirs(folder, exist_ok=True)
+    if not os.path.isdir(folder):
+        os.makedirs(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 

@@ -38,79 +38,72 @@ COMPARED_SPEC_FIELDS = [
     "notes", "last_verified", "last_updated",
 ]
 
-# Default placements: media, first sort order, then name | slug | width | height | ratio.
+# Default placements, fixed values: media, name, slug, width, height, ratio, sort order.
 DEFAULT_SPECS = [
-    ("google", 1, """
-GDN 스카이스크래퍼|gdn_skyscraper_sm|120|600|1:5
-GDN 와이드 스카이스크래퍼|gdn_wide_skyscraper|160|600|4:15
-GDN 소형 정사각형|gdn_small_square|200|200|1:1
-GDN 세로형|gdn_vertical_rectangle|240|400|3:5
-GDN 정사각형|gdn_square|250|250|1:1
-GDN 트리플 와이드스크린|gdn_triple_widescreen|250|360|25:36
-GDN 모바일 배너 소형|gdn_mobile_banner_sm|300|50|6:1
-GDN 중간 직사각형|gdn_medium_rectangle|300|250|6:5
-GDN 하프 페이지|gdn_half_page|300|600|1:2
-GDN 세로형 대형|gdn_portrait_large|300|1050|2:7
-GDN 모바일 리더보드|gdn_mobile_leaderboard|320|50|32:5
-GDN 모바일 대형 배너|gdn_mobile_large_banner|320|100|16:5
-GDN 대형 직사각형|gdn_large_rectangle|336|280|6:5
-GDN 배너|gdn_banner|468|60|39:5
-GDN 넷보드|gdn_netboard|580|400|29:20
-GDN 리더보드|gdn_leaderboard|728|90|728:90
-GDN 상단 배너|gdn_top_banner|930|180|31:6
-GDN 세로형 와이드|gdn_portrait_wide|960|1200|4:5
-GDN 빌보드|gdn_billboard|970|250|97:25
-GDN 파노라마|gdn_panorama|980|120|49:6
-GDN 세로형 XL|gdn_portrait_xl|900|1600|9:16
-GDN 반응형 가로형|gdn_responsive_landscape|1200|628|1.91:1
-GDN 반응형 정사각형|gdn_responsive_square|1200|1200|1:1"""),
-    ("meta", 201, """
-피드 1:1|feed_square|1080|1080|1:1
-피드 4:5|feed_portrait|1080|1350|4:5
-스토리/릴스 9:16|story_reels|1080|1920|9:16
-카탈로그 정사각형|catalog_square|1200|1200|1:1
-인스타그램 릴스|instagram_reels|1440|2560|9:16"""),
-    ("criteo", 301, """
-스카이스크래퍼|skyscraper_sm|120|600|1:5
-와이드 스카이스크래퍼|wide_skyscraper|160|600|4:15
-소형 정사각형|small_square|200|200|1:1
-소형 정사각형 2|small_square_md|240|240|1:1
-정사각형|square|250|250|1:1
-직사각형 소형|rectangle_sm|280|230|28:23
-중간 직사각형|medium_rectangle|300|250|6:5
-하프 페이지|half_page|300|600|1:2
-모바일 대형 배너|mobile_large_banner|320|100|16:5
-모바일 리더보드|mobile_leaderboard|320|50|32:5
-대형 직사각형|large_rectangle|336|280|6:5
-배너|banner|468|60|39:5
-리더보드|leaderboard|728|90|728:90
-빌보드|billboard|970|250|97:25
-대형 가로형|large_landscape|1200|600|2:1"""),
-    ("mobion", 401, """
-일반형 스카이스크래퍼|general_skyscraper_sm|120|600|1:5
-일반형 와이드 스카이스크래퍼|general_wide_skyscraper|160|600|4:15
-일반형 정사각형|general_square|250|250|1:1
-일반형 배너 소형|general_banner_sm|300|150|2:1
-일반형 직사각형|general_rectangle|336|280|6:5
-일반형 모바일|general_mobile|720|1230|12:21
-일반형 모바일 대형|general_mobile_lg|800|1500|8:15
-일반형 빌보드|general_billboard|970|250|97:25
-단색배경 직사각형|solid_rectangle_sm|300|180|5:3
-단색배경 배너|solid_banner|320|100|16:5
-단색배경 가로형|solid_landscape|720|120|6:1
-단색배경 대형 가로|solid_landscape_lg|1456|180|364:45"""),
-    ("kakao", 501, """
-비즈보드 가로형|bizboard_horizontal|1200|628|1.91:1
-모먼트 정사각형|moment_square|1080|1080|1:1
-모먼트 세로형|moment_portrait|1080|1350|4:5
-모먼트 스토리|moment_story|1080|1920|9:16
-모바일 배너|mobile_banner|320|50|32:5"""),
-    ("linkedin", 601, """
-가로형|landscape|1200|628|1.91:1
-정사각형|square|1080|1080|1:1
-세로형|portrait|1080|1350|4:5"""),
-    ("tiktok", 701, """
-인피드 광고|infeed|1080|1920|9:16"""),
+    ("google", "GDN 스카이스크래퍼", "gdn_skyscraper_sm", 120, 600, "1:5", 1),
+    ("google", "GDN 와이드 스카이스크래퍼", "gdn_wide_skyscraper", 160, 600, "4:15", 2),
+    ("google", "GDN 소형 정사각형", "gdn_small_square", 200, 200, "1:1", 3),
+    ("google", "GDN 세로형", "gdn_vertical_rectangle", 240, 400, "3:5", 4),
+    ("google", "GDN 정사각형", "gdn_square", 250, 250, "1:1", 5),
+    ("google", "GDN 트리플 와이드스크린", "gdn_triple_widescreen", 250, 360, "25:36", 6),
+    ("google", "GDN 모바일 배너 소형", "gdn_mobile_banner_sm", 300, 50, "6:1", 7),
+    ("google", "GDN 중간 직사각형", "gdn_medium_rectangle", 300, 250, "6:5", 8),
+    ("google", "GDN 하프 페이지", "gdn_half_page", 300, 600, "1:2", 9),
+    ("google", "GDN 세로형 대형", "gdn_portrait_large", 300, 1050, "2:7", 10),
+    ("google", "GDN 모바일 리더보드", "gdn_mobile_leaderboard", 320, 50, "32:5", 11),
+    ("google", "GDN 모바일 대형 배너", "gdn_mobile_large_banner", 320, 100, "16:5", 12),
+    ("google", "GDN 대형 직사각형", "gdn_large_rectangle", 336, 280, "6:5", 13),
+    ("google", "GDN 배너", "gdn_banner", 468, 60, "39:5", 14),
+    ("google", "GDN 넷보드", "gdn_netboard", 580, 400, "29:20", 15),
+    ("google", "GDN 리더보드", "gdn_leaderboard", 728, 90, "728:90", 16),
+    ("google", "GDN 상단 배너", "gdn_top_banner", 930, 180, "31:6", 17),
+    ("google", "GDN 세로형 와이드", "gdn_portrait_wide", 960, 1200, "4:5", 18),
+    ("google", "GDN 빌보드", "gdn_billboard", 970, 250, "97:25", 19),
+    ("google", "GDN 파노라마", "gdn_panorama", 980, 120, "49:6", 20),
+    ("google", "GDN 세로형 XL", "gdn_portrait_xl", 900, 1600, "9:16", 21),
+    ("google", "GDN 반응형 가로형", "gdn_responsive_landscape", 1200, 628, "1.91:1", 22),
+    ("google", "GDN 반응형 정사각형", "gdn_responsive_square", 1200, 1200, "1:1", 23),
+    ("meta", "피드 1:1", "feed_square", 1080, 1080, "1:1", 201),
+    ("meta", "피드 4:5", "feed_portrait", 1080, 1350, "4:5", 202),
+    ("meta", "스토리/릴스 9:16", "story_reels", 1080, 1920, "9:16", 203),
+    ("meta", "카탈로그 정사각형", "catalog_square", 1200, 1200, "1:1", 204),
+    ("meta", "인스타그램 릴스", "instagram_reels", 1440, 2560, "9:16", 205),
+    ("criteo", "스카이스크래퍼", "skyscraper_sm", 120, 600, "1:5", 301),
+    ("criteo", "와이드 스카이스크래퍼", "wide_skyscraper", 160, 600, "4:15", 302),
+    ("criteo", "소형 정사각형", "small_square", 200, 200, "1:1", 303),
+    ("criteo", "소형 정사각형 2", "small_square_md", 240, 240, "1:1", 304),
+    ("criteo", "정사각형", "square", 250, 250, "1:1", 305),
+    ("criteo", "직사각형 소형", "rectangle_sm", 280, 230, "28:23", 306),
+    ("criteo", "중간 직사각형", "medium_rectangle", 300, 250, "6:5", 307),
+    ("criteo", "하프 페이지", "half_page", 300, 600, "1:2", 308),
+    ("criteo", "모바일 대형 배너", "mobile_large_banner", 320, 100, "16:5", 309),
+    ("criteo", "모바일 리더보드", "mobile_leaderboard", 320, 50, "32:5", 310),
+    ("criteo", "대형 직사각형", "large_rectangle", 336, 280, "6:5", 311),
+    ("criteo", "배너", "banner", 468, 60, "39:5", 312),
+    ("criteo", "리더보드", "leaderboard", 728, 90, "728:90", 313),
+    ("criteo", "빌보드", "billboard", 970, 250, "97:25", 314),
+    ("criteo", "대형 가로형", "large_landscape", 1200, 600, "2:1", 315),
+    ("mobion", "일반형 스카이스크래퍼", "general_skyscraper_sm", 120, 600, "1:5", 401),
+    ("mobion", "일반형 와이드 스카이스크래퍼", "general_wide_skyscraper", 160, 600, "4:15", 402),
+    ("mobion", "일반형 정사각형", "general_square", 250, 250, "1:1", 403),
+    ("mobion", "일반형 배너 소형", "general_banner_sm", 300, 150, "2:1", 404),
+    ("mobion", "일반형 직사각형", "general_rectangle", 336, 280, "6:5", 405),
+    ("mobion", "일반형 모바일", "general_mobile", 720, 1230, "12:21", 406),
+    ("mobion", "일반형 모바일 대형", "general_mobile_lg", 800, 1500, "8:15", 407),
+    ("mobion", "일반형 빌보드", "general_billboard", 970, 250, "97:25", 408),
+    ("mobion", "단색배경 직사각형", "solid_rectangle_sm", 300, 180, "5:3", 409),
+    ("mobion", "단색배경 배너", "solid_banner", 320, 100, "16:5", 410),
+    ("mobion", "단색배경 가로형", "solid_landscape", 720, 120, "6:1", 411),
+    ("mobion", "단색배경 대형 가로", "solid_landscape_lg", 1456, 180, "364:45", 412),
+    ("kakao", "비즈보드 가로형", "bizboard_horizontal", 1200, 628, "1.91:1", 501),
+    ("kakao", "모먼트 정사각형", "moment_square", 1080, 1080, "1:1", 502),
+    ("kakao", "모먼트 세로형", "moment_portrait", 1080, 1350, "4:5", 503),
+    ("kakao", "모먼트 스토리", "moment_story", 1080, 1920, "9:16", 504),
+    ("kakao", "모바일 배너", "mobile_banner", 320, 50, "32:5", 505),
+    ("linkedin", "가로형", "landscape", 1200, 628, "1.91:1", 601),
+    ("linkedin", "정사각형", "square", 1080, 1080, "1:1", 602),
+    ("linkedin", "세로형", "portrait", 1080, 1350, "4:5", 603),
+    ("tiktok", "인피드 광고", "infeed", 1080, 1920, "9:16", 701),
 ]
 
 VALID_VERSIONS = ["clean_v1"]

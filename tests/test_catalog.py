@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from adlattice.operators import catalog as C
+from adlattice.operators import catalog as C, jobs as J
 from adlattice.sources.tables import read_specs
 
 
@@ -73,3 +73,20 @@ def test_lookup_pushes_filters(spark, tmp_path):
     C.default_specs(spark).write.parquet(path)
     plan = C.specs_by_media(spark.read.parquet(path), "meta").select("slug")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(media,meta)" in plan and "ReadSchema: struct<media:string,slug:string,active:boolean>" in plan
+
+
+def test_refused_deactivation_changes_nothing(spark):
+    specs = spark.createDataFrame([(f"s{i}", "naver", i % 3 > 0) for i in range(9)] + [("x", "meta", True)], "slug string, media string, active boolean")
+    listed = specs.select("slug")
+    for limit, refused in ((3, True), (9, False)):
+        off, counts = C.deactivate(specs, "naver", listed, limit)
+        row = counts.first()
+        assert (row["found"], row["refused"], row["modified"]) == (9, refused, 0 if refused else 6)
+        want = {r["slug"]: r["active"] if refused or r["media"] == "meta" else False for r in specs.collect()}
+        assert {r["slug"]: r["active"] for r in off.collect()} == want
+
+
+def test_names_of_many_results_are_distinct(spark):
+    rows = [(1, i, "a", 10, 10, "/o/r.png") for i in range(150)]
+    named = J.name_results(spark.createDataFrame(rows, "job_id int, ordinal int, slug string, width int, height int, file_path string")).collect()
+    assert sorted(r["new_name"] for r in named) == sorted(f"{i:02d}_a_10x10.png" for i in range(150))
