@@ -169,7 +169,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(sent.value)
         for texts in parts:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
-    return packed.select("row", score("text").alias("got")).select("row", "got.lang_pred", "got.score")
+    # as an indeterminate function it runs once, whatever filters follow
+    return packed.select("row", score.asNondeterministic()("text").alias("got")).select("row", "got.lang_pred", "got.score")
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
