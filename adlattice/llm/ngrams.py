@@ -71,7 +71,8 @@ def sketch(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
     ``docs`` should read a table: a lost task that is run again must see its rows in the same order.
     """
     kind = docs.schema[key].dataType.simpleString()
-    owner_bits = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    # four owners a shuffle partition: each holds a small range at a time
+    owner_bits = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() + 2
     low_bits = HASH_BITS - owner_bits
     columns = f"dest bigint, block bigint, n bigint, payload binary, key {kind}, sig binary, local int"
 
@@ -84,7 +85,7 @@ def sketch(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         memo = WordHash()
-        base, number = TaskContext.get().partitionId() << 24, 0
+        base, number, sent = TaskContext.get().partitionId() << 24, 0, 0
         sets, seen, held = [], {}, 0
 
         def flush(like):
@@ -118,8 +119,9 @@ def sketch(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
                 n, sig, local = zip(*out)
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1 - base - number] * m, pa.int64()), pa.array([base + number] * m, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()),
+                    [pa.array([-1 - base - (sent << 44)] * m, pa.int64()), pa.array([base + number] * m, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()),
                      part.column(0), pa.array(sig, pa.binary()), pa.array(local, pa.int32())], ["dest", "block", "n", "payload", "key", "sig", "local"])
+                sent += 1
                 if held >= block_grams:
                     yield flush(like)
                     number += 1
@@ -241,7 +243,7 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
     return components(links.union(linked(meet, sets, percent)))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_grams: int = 4_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_grams: int = 1_000_000) -> DataFrame:
     """One row per document: ``key``, n_shingles, component_id (the least key reachable by links, null if the component has none).
 
     Null, empty and white texts have no shingles and link with nothing: component_id is the document's own key.  Documents with
