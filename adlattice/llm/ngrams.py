@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
                 n, sig, local = zip(*out)
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1 - base - (sent << 44)] * m, pa.int64()), pa.array([base + number] * m, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()),
+                    [pa.array([-1 - base - ((sent & 0x3FFFF) << 44)] * m, pa.int64()), pa.array([base + number] * m, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()),
                      part.column(0), pa.array(sig, pa.binary()), pa.array(local, pa.int32())], ["dest", "block", "n", "payload", "key", "sig", "local"])
                 sent += 1
                 if held >= block_grams:
