@@ -7,14 +7,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlattice import vocab
 from adlattice.functions import geometry as G
-from adlattice.operators.scale import number_rows, overlap_pairs
+from adlattice.operators.scale import number_rows, overlap_pairs, top_n
 from adlattice.session import materialise
 
 SWALLOWED = 0.6
 MIN_IOU = 0.25
 MIN_QUALITY = 50.0
 UNION_PAIRS = 5
-STAGES = (0.9, 0.75, 0.5)
 INPAINT_PAD = 10
 
 
@@ -111,30 +110,15 @@ def reflow_ready(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
                       (F.col("_s_title") & F.col("_s_main_image")).alias("screen_ready"))
 
 
-def drop_product_titles(objects: DataFrame, key: str = "image_id", crowd: int = 1024) -> DataFrame:
+def drop_product_titles(objects: DataFrame, key: str = "image_id") -> DataFrame:
     """Objects without the titles and logos that lie over 60 % inside a product box.
 
-    Equal boxes are judged once, and only boxes which share a grid cell meet.  In images with more than ``crowd`` product
-    boxes the ``crowd`` largest are tried first, and only titles they leave meet the others.
+    Equal boxes are judged once, and only boxes which share a grid cell meet.
     """
     box = ["x", "y", "w", "h"]
     titles = F.col("role").isin("title_group", "logo")
     ask = objects.filter(titles).select(key, *box).distinct()
-    products = objects.filter("role = 'product'").select(key, *box).distinct()
-    crowded = products.groupBy(key).count().filter(F.col("count") > crowd).select(key)
-    gone = None
-    if not crowded.isEmpty():
-        many = products.join(crowded, key, "left_semi")
-        size = F.col("w").cast("long") * F.col("h")
-        rank = Window.partitionBy(key).orderBy(size.desc(), *box)
-        large = many.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= crowd).drop("_r")
-        hot = materialise(ask.join(crowded, key, "left_semi"))
-        by_large = materialise(_swallowed(hot, large, key))
-        by_any = materialise(_swallowed(hot.join(by_large, [key, *box], "left_anti"), many, key))
-        gone = by_large.unionByName(by_any)
-        ask, products = ask.join(crowded, key, "left_anti"), products.join(crowded, key, "left_anti")
-    rest = _swallowed(ask, products, key)
-    gone = (rest if gone is None else rest.unionByName(gone)).withColumn("_gone", F.lit(True))
+    gone = _swallowed(ask, objects.filter("role = 'product'").select(key, *box).distinct(), key).withColumn("_gone", F.lit(True))
     return objects.join(gone, [key, *box], "left").filter(~(titles & F.coalesce("_gone", F.lit(False)))).drop("_gone")
 
 
@@ -146,32 +130,17 @@ def _swallowed(ask: DataFrame, products: DataFrame, key: str) -> DataFrame:
 
 
 def iou_match(objects: DataFrame, dets: DataFrame, key: str = "image_id", min_iou: float = MIN_IOU,
-              min_quality: float = MIN_QUALITY, crowd: int = 1024) -> DataFrame:
+              min_quality: float = MIN_QUALITY) -> DataFrame:
     """Best detection per eligible object by IoU; the earliest detection wins a tie, its role plays no part.
 
-    ``dets``: key, det, x, y, w, h, quality.  Copies of a box collapse to their first detection before the join.  Images
-    with more than ``crowd`` distinct detections are matched in stages of falling threshold, the others by grid overlap.
+    ``dets``: key, det, x, y, w, h, quality.  Copies of a box collapse to their first detection before the join, and boxes meet
+    only in cells of their own size class.
     """
     box = ["x", "y", "w", "h"]
     eligible = objects.filter(F.col("role").isin("product", "logo") & F.col("movable") & F.col("removable"))
     todo = eligible.filter("w > 0 AND h > 0").select(key, *box).distinct()
     best_dets = dets.filter((F.col("quality") >= min_quality) & (F.col("w") > 0) & (F.col("h") > 0)).groupBy(key, *box).agg(F.min("det").alias("det"))
-    crowded = best_dets.groupBy(key).count().filter(F.col("count") > crowd).select(key)
-    found = None
-    if not crowded.isEmpty():
-        # A box whose best partner reaches a threshold is settled by the pairs above that threshold alone, and the higher
-        # the threshold the closer the partner's corner and size must be.
-        some = best_dets.join(crowded, key, "left_semi")
-        hot = materialise(todo.join(crowded, key, "left_semi"))
-        todo, best_dets = todo.join(crowded, key, "left_anti"), best_dets.join(crowded, key, "left_anti")
-        for level in [t for t in STAGES if t > min_iou] + [min_iou]:
-            step = materialise(_close_pairs(hot, some, key, level))
-            found = step if found is None else found.unionByName(step)
-            hot = materialise(hot.join(step, [key, *box], "left_anti"))
-    left, right = _corners(todo, "l"), _corners(best_dets, "r").drop(*box)
-    pairs = overlap_pairs(left, right, [key]).withColumn("iou", _pair_iou(box)).filter(F.col("iou") >= min_iou)
-    best = _best_of(pairs, [key, *box])
-    best = best if found is None else best.unionByName(found)
+    best = _close_pairs(todo, best_dets, key, min_iou)
     return eligible.join(best, [key, *box], "left").withColumns({"det": F.col("_m.det"), "iou": F.col("_m.iou")}).drop("_m")
 
 
@@ -213,38 +182,37 @@ def _close_pairs(left: DataFrame, right: DataFrame, key: str, level: float) -> D
     return _best_of(pairs, [key, *box])
 
 
-CROWD = 1024
-
-
-def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_PAIRS, crowd: int = CROWD) -> DataFrame:
+def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_PAIRS, block: int = 64) -> DataFrame:
     """The best ``pairs`` nearby product pairs of each image as one hull box.
 
-    ``dets``: key, i (position), x, y, w, h, conf, mask_conf.  Two exact short cuts keep crowded images small.  Among equal
-    boxes only the best ``pairs`` + 1 can be part of a winning pair.  And in an image with more than ``crowd`` detections
-    the best ``crowd`` by (confidence, position) are paired first: that settles the image if its last winner outranks
-    every pair which could still hold one of the others.  Images that stay open are paired in full.
+    ``dets``: key, i (position), x, y, w, h, conf, mask_conf.  Among equal boxes only the best ``pairs`` + 1 can be part of a
+    winning pair.  The best ``block`` detections by (confidence, position) of every image are paired first; an image is settled
+    when that is all it has, or when its last winner outranks every pair that could still hold one of the others.  The rest
+    goes on with four times as many.
     """
     box = ["x", "y", "w", "h"]
     copies = Window.partitionBy(key, *box).orderBy(F.col("conf").desc(), F.col("i").desc())
-    few = dets.withColumn("_r", F.row_number().over(copies)).filter(F.col("_r") <= pairs + 1).drop("_r")
-    big = few.groupBy(key).agg(F.count("*").alias("_n"), F.max("conf").alias("_top")).filter(F.col("_n") > crowd).drop("_n")
-    if big.isEmpty():
-        return _best_pairs(few, key, pairs)
-    settled_small = _best_pairs(few.join(big, key, "left_anti"), key, pairs)
-    rank = Window.partitionBy(key).orderBy(F.col("conf").desc(), F.col("i").desc())
-    # a rank filter is applied per partition before the shuffle, so an image never lands whole in one task
-    best = materialise(few.join(big, key, "left_semi").withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= crowd + 1))
-    first = materialise(_best_pairs(best.filter(F.col("_r") <= crowd).drop("_r"), key, pairs))
-    last = first.filter(F.col("pair_rank") == pairs).select(key, F.col("conf_sum").alias("_s"), F.col("i").alias("_i"))
-    rest = best.filter(F.col("_r") == crowd + 1).select(key, F.col("conf").alias("_c"), F.col("i").alias("_ri"))
-    limit = F.col("_top") + F.col("_c")
-    done = (big.join(last, key).join(rest, key)
-            .filter((F.col("_s") > limit) | ((F.col("_s") == limit) & (F.col("_i") > F.col("_ri")))).select(key))
-    out = settled_small.unionByName(first.join(done, key, "left_semi"))
-    open_ = big.select(key).join(done, key, "left_anti")
-    if not open_.isEmpty():
-        out = out.unionByName(_best_pairs(few.join(open_, key, "left_semi"), key, pairs))
-    return out
+    few = materialise(dets.withColumn("_r", F.row_number().over(copies)).filter(F.col("_r") <= pairs + 1).drop("_r"))
+    out = None
+    while True:
+        rank = [F.col("conf").desc(), F.col("i").desc()]
+        head = top_n(few, [key], rank, block + 1, "i")
+        order = F.struct("conf", "i")
+        seen = head.groupBy(key).agg(F.count("*").alias("_n"), F.max("conf").alias("_top"), F.min(order).alias("_least"))
+        head = materialise(head.join(seen, key))
+        inside = head.filter((F.col("_n") <= block) | (order > F.col("_least"))).drop("_n", "_top", "_least")
+        first = materialise(_best_pairs(inside, key, pairs))
+        last = first.filter(F.col("pair_rank") == pairs).select(key, F.col("conf_sum").alias("_s"), F.col("i").alias("_i"))
+        limit = F.col("_top") + F.col("_least.conf")
+        beyond = (F.col("_s") > limit) | ((F.col("_s") == limit) & (F.col("_i") > F.col("_least.i")))
+        open_ = (head.select(key, "_n", "_top", "_least").distinct().filter(F.col("_n") > block).join(last, key, "left")
+                 .filter(~F.coalesce(beyond, F.lit(False))).select(key))
+        settled = first.join(open_, key, "left_anti")
+        out = settled if out is None else out.unionByName(settled)
+        few = materialise(few.join(open_, key, "left_semi"))
+        if few.isEmpty():
+            return out
+        block *= 4
 
 
 def _best_pairs(few: DataFrame, key: str, pairs: int) -> DataFrame:

@@ -26,6 +26,18 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
               .select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest]))
 
 
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: str, slices: int = 16) -> DataFrame:
+    """The first ``n`` rows of every key by ``order``, which must be total; ``spread`` names a column that tells rows apart.
+
+    Ranks are taken in slices of a key first, so a key with a third of all rows is not sorted in one task: the second ranking
+    sees at most ``slices`` * ``n`` rows of a key.
+    """
+    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
+    first = Window.partitionBy(*keys, "__slice").orderBy(*order)
+    few = sliced.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= n).drop("__rank", "__slice")
+    return few.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__rank") <= n).drop("__rank")
+
+
 def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("__chunk", F.floor(F.col(order) / F.lit(width)))
 

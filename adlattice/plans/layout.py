@@ -1,7 +1,7 @@
 """Geometry and layout queries."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adlattice import vocab
 from adlattice.functions import geometry as G
@@ -113,14 +113,15 @@ def safe_metrics(t: Tables) -> DataFrame:
 
 # --- candidates and placement ------------------------------------------------------------------------------------
 
+LAYOUT = ["job_id", "ordinal"]
+
+
 def candidate_input(t: Tables) -> DataFrame:
-    """Objects of every image against the first placement of its job (least ordinal)."""
-    first = targets(t).groupBy("job_id").agg(F.min_by(F.struct(
-        "tgt_w", "tgt_h", "src_w", "src_h", "safe_top", "safe_right", "safe_bottom", "safe_left"), "ordinal").alias("g"))
-    g = first.select("job_id", "g.*")
-    objects = t.fx_object.withColumnRenamed("image_id", "job_id").join(g, "job_id")
+    """Objects of every image against every placement of its job."""
+    objects = t.fx_object.withColumnRenamed("image_id", "job_id").join(
+        targets(t).select(*LAYOUT, "tgt_w", "tgt_h", "src_w", "src_h", "safe_top", "safe_right", "safe_bottom", "safe_left"), "job_id")
     return objects.select(
-        "job_id", F.format_string("o%d", F.col("ord")).alias("object_id"), "ord", "role", "required", "movable",
+        *LAYOUT, F.format_string("o%d", F.col("ord")).alias("object_id"), "ord", "role", "required", "movable",
         "x", "y", "w", "h", F.col("src_w").alias("image_w"), F.least(F.col("tgt_w") / F.col("src_w"), F.col("tgt_h") / F.col("src_h")).alias("scale"),
         F.col("safe_left").alias("zone_left"), F.col("safe_top").alias("zone_top"),
         (F.col("tgt_w") - F.col("safe_right")).alias("zone_right"), (F.col("tgt_h") - F.col("safe_bottom")).alias("zone_bottom"),
@@ -131,15 +132,14 @@ _ANCHOR_SQL = "CASE role " + " ".join(
     f"WHEN '{r}' THEN [{', '.join(repr(a) for a in v)}]" for r, v in vocab.ROLE_ANCHORS.items()) + " ELSE ['top-center'] END"
 CANDIDATE_SQL = f"""
 WITH {TARGETS_SQL},
-firsts AS (SELECT * FROM tx QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ordinal) = 1),
 obj AS (
-  SELECT f.job_id, 'o' || o.ord AS object_id, o.ord, o.role, o.required, o.movable, o.x, o.y, o.w, o.h, f.src_w AS image_w,
+  SELECT f.job_id, f.ordinal, 'o' || o.ord AS object_id, o.ord, o.role, o.required, o.movable, o.x, o.y, o.w, o.h, f.src_w AS image_w,
          safe_left AS zl, safe_top AS zt, tgt_w - safe_right AS zr, tgt_h - safe_bottom AS zb, tgt_w AS canvas_w, tgt_h AS canvas_h,
          greatest(1, round_even(o.w * least(tgt_w / src_w, tgt_h / src_h), 0)::INT) AS ow,
          greatest(1, round_even(o.h * least(tgt_w / src_w, tgt_h / src_h), 0)::INT) AS oh,
          {_ANCHOR_SQL} AS anchors, CASE WHEN o.x + o.w / 2 > f.src_w / 2 THEN 'right' ELSE 'left' END AS side,
          off_x, off_y, proj_w, proj_h, src_w, src_h
-  FROM firsts f JOIN fx_object o ON o.image_id = f.job_id),
+  FROM tx f JOIN fx_object o ON o.image_id = f.job_id),
 sided AS (
   SELECT *, list_concat(list_filter(anchors, lambda a: contains(a, side)), list_filter(anchors, lambda a: NOT contains(a, side))) AS aa,
          CASE WHEN role = 'product' AND ow < round_even(image_w * 0.25::DOUBLE, 0) THEN [round_even(round_even(image_w * 0.25::DOUBLE, 0) / ow * 100, 0) / 100, 1.0, 0.9, 0.8, 0.7, 0.6]::DOUBLE[]
@@ -155,13 +155,13 @@ cands AS (
                         WHEN 'top-right' THEN zr - cw WHEN 'right-center' THEN zr - cw WHEN 'bottom-right' THEN zr - cw ELSE zl END AS cx,
          CASE WHEN anchor LIKE 'top%' THEN zt WHEN anchor LIKE 'bottom%' THEN zb - ch ELSE zt + floor((zb - zt - ch) / 2)::INT END AS cy
   FROM e3),
-prot AS (SELECT job_id, off_x + round_even(x * (proj_w / src_w), 0)::INT AS qx, off_y + round_even(y * (proj_h / src_h), 0)::INT AS qy,
+prot AS (SELECT job_id, ordinal, off_x + round_even(x * (proj_w / src_w), 0)::INT AS qx, off_y + round_even(y * (proj_h / src_h), 0)::INT AS qy,
                 greatest(1, round_even(w * (proj_w / src_w), 0)::INT) AS qw, greatest(1, round_even(h * (proj_h / src_h), 0)::INT) AS qh
          FROM obj WHERE role = 'protected_subject'),
 valid AS (
   SELECT * FROM cands c WHERE cx >= 0 AND cy >= 0 AND cx + cw <= canvas_w AND cy + ch <= canvas_h
     AND (NOT required OR (cx >= zl AND cy >= zt AND cx + cw <= zr AND cy + ch <= zb))
-    AND NOT EXISTS (SELECT 1 FROM prot p WHERE p.job_id = c.job_id
+    AND NOT EXISTS (SELECT 1 FROM prot p WHERE p.job_id = c.job_id AND p.ordinal = c.ordinal
         AND greatest(0, least(cx + cw, qx + qw) - greatest(cx, qx)) * greatest(0, least(cy + ch, qy + qh) - greatest(cy, qy)) / (qw * qh) > 0.30))
 """
 
@@ -172,42 +172,72 @@ def extracted(t: Tables) -> DataFrame:
 
 def protected(t: Tables) -> DataFrame:
     mine = LO.project_objects(candidate_input(t).filter("role = 'protected_subject'"))
-    return mine.select("job_id", *[F.col(f"p{k}").alias(f"q{k}") for k in "xywh"])
+    return mine.select(*LAYOUT, *[F.col(f"p{k}").alias(f"q{k}") for k in "xywh"])
+
+
+def per_object(cands: DataFrame, *cols: Column) -> DataFrame:
+    """One row per object with its candidates in order, each as colon-joined ``cols``; an object has at most a few dozen."""
+    text = F.concat_ws(":", *cols)
+    listed = F.array_sort(F.collect_list(F.struct("cand", text.alias("text"))))
+    return cands.groupBy(*LAYOUT, "object_id").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda c: c["text"]), ";").alias("candidates"))
 
 
-@query("g05_candidate_generation", CANDIDATE_SQL +
-       "SELECT job_id, object_id, cand, anchor, cand_scale, cx, cy, cw, ch FROM cands WHERE role <> 'protected_subject'")
+_BOX = ["cand", "cx", "cy", "cw", "ch"]
+
+
+@query("g05_candidate_generation", CANDIDATE_SQL + """
+SELECT job_id, ordinal, object_id, COUNT(*) AS n, string_agg(concat_ws(':', cand, anchor, round(cand_scale * 100)::INT, cx, cy, cw, ch), ';' ORDER BY cand) AS candidates
+FROM cands WHERE role <> 'protected_subject' GROUP BY ALL""")
 def candidate_generation(t: Tables) -> DataFrame:
-    return extracted(t).select("job_id", "object_id", "cand", "anchor", "cand_scale", "cx", "cy", "cw", "ch")
+    return per_object(extracted(t), F.col("cand"), F.col("anchor"), F.rint(F.col("cand_scale") * 100).cast("int"), *map(F.col, _BOX[1:]))
 
 
-@query("g06_static_constraints", CANDIDATE_SQL +
-       "SELECT job_id, object_id, cand, cx, cy, cw, ch FROM valid WHERE role <> 'protected_subject'")
+@query("g06_static_constraints", CANDIDATE_SQL + """
+SELECT job_id, ordinal, object_id, COUNT(*) AS n, string_agg(concat_ws(':', cand, cx, cy, cw, ch), ';' ORDER BY cand) AS candidates FROM valid WHERE role <> 'protected_subject' GROUP BY ALL""")
 def static_constraints(t: Tables) -> DataFrame:
-    return LO.valid_static(extracted(t), protected(t), ["job_id"]).select("job_id", "object_id", "cand", "cx", "cy", "cw", "ch")
+    return per_object(LO.valid_static(extracted(t), protected(t), LAYOUT), *map(F.col, _BOX))
 
 
 _PRIO_SQL = "CASE role " + " ".join(f"WHEN '{r}' THEN {p}" for r, p in vocab.ROLE_PRIORITY.items()) + " ELSE 99 END"
 
 
-@query("g07_greedy_placement", CANDIDATE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-ranked AS (SELECT job_id, object_id, anchor, cx, cy, cw, ch,
-                  row_number() OVER (PARTITION BY job_id ORDER BY NOT required, {_PRIO_SQL}, object_id, cand) AS rn
+_GREEDY_SQL = CANDIDATE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ranked AS (SELECT job_id, ordinal, object_id, anchor, cx, cy, cw, ch,
+                  row_number() OVER (PARTITION BY job_id, ordinal ORDER BY NOT required, {_PRIO_SQL}, object_id, cand) AS rn
            FROM valid WHERE role <> 'protected_subject'),
-mx AS (SELECT job_id, MAX(rn) AS n FROM ranked GROUP BY job_id),
+mx AS (SELECT job_id, ordinal, MAX(rn) AS n FROM ranked GROUP BY job_id, ordinal),
 walk AS (
-  SELECT job_id, 0::BIGINT AS step, []::STRUCT(o VARCHAR, a VARCHAR, x INT, y INT, w INT, h INT)[] AS kept FROM mx
+  SELECT job_id, ordinal, 0::BIGINT AS step, []::STRUCT(o VARCHAR, a VARCHAR, x INT, y INT, w INT, h INT)[] AS kept FROM mx
   UNION ALL
-  SELECT w.job_id, r.rn, CASE WHEN list_any_value(list_filter(w.kept, lambda k: k.o = r.object_id OR
+  SELECT w.job_id, w.ordinal, r.rn, CASE WHEN list_any_value(list_filter(w.kept, lambda k: k.o = r.object_id OR
            (greatest(0, least(k.x + k.w, r.cx + r.cw) - greatest(k.x, r.cx)) * greatest(0, least(k.y + k.h, r.cy + r.ch) - greatest(k.y, r.cy)))
             / least(k.w * k.h, r.cw * r.ch) > 0.30)) IS NOT NULL THEN w.kept
          ELSE list_append(w.kept, {{'o': r.object_id, 'a': r.anchor, 'x': r.cx, 'y': r.cy, 'w': r.cw, 'h': r.ch}}) END
-  FROM walk w JOIN ranked r ON r.job_id = w.job_id AND r.rn = w.step + 1),
-fin AS (SELECT w.job_id, unnest(w.kept) AS k FROM walk w JOIN mx ON mx.job_id = w.job_id AND mx.n = w.step)
-SELECT job_id, k.o AS object_id, k.a AS anchor, k.x AS cx, k.y AS cy, k.w AS cw, k.h AS ch FROM fin""")
+  FROM walk w JOIN ranked r ON r.job_id = w.job_id AND r.ordinal = w.ordinal AND r.rn = w.step + 1),
+fin AS (SELECT w.job_id, w.ordinal, unnest(w.kept) AS k FROM walk w JOIN mx ON mx.job_id = w.job_id AND mx.ordinal = w.ordinal AND mx.n = w.step),
+verdicts AS (SELECT o.job_id, o.ordinal, COUNT(f.k) AS placed, COUNT(*) FILTER (o.required AND f.k IS NULL) AS unmet
+             FROM obj o LEFT JOIN fin f ON f.job_id = o.job_id AND f.ordinal = o.ordinal AND f.k.o = o.object_id WHERE o.role <> 'protected_subject' GROUP BY 1, 2)
+"""
+
+
+def greedy(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(extracted objects, what the greedy pass places of them)."""
+    wanted = candidate_input(t).filter("role <> 'protected_subject'").select(*LAYOUT, "object_id", "required")
+    return wanted, LO.place(LO.valid_static(extracted(t), protected(t), LAYOUT), LAYOUT)
+
+
+@query("g07_greedy_placement", _GREEDY_SQL + """
+SELECT f.job_id, f.ordinal, k.o AS object_id, k.a AS anchor, k.x AS cx, k.y AS cy, k.w AS cw, k.h AS ch FROM fin f JOIN verdicts v USING (job_id, ordinal) WHERE v.unmet = 0""")
 def greedy_placement(t: Tables) -> DataFrame:
-    ok = LO.valid_static(extracted(t), protected(t), ["job_id"])
-    return LO.place(ok, ["job_id"], objects=t.fx_object.select(F.col("image_id").alias("job_id"))).select("job_id", "object_id", "anchor", "cx", "cy", "cw", "ch")
+    """Placements of the layouts that succeed; a failed one has none."""
+    wanted, placed = greedy(t)
+    return LO.laid_out(wanted, placed, LAYOUT).select(*LAYOUT, "object_id", "anchor", "cx", "cy", "cw", "ch")
+
+
+@query("g07_placement_outcome", _GREEDY_SQL + "SELECT job_id, ordinal, CASE WHEN unmet > 0 THEN 'NO_VALID_CANDIDATES' END AS code, unmet, placed FROM verdicts")
+def placement_outcome(t: Tables) -> DataFrame:
+    wanted, placed = greedy(t)
+    return LO.placement_outcome(wanted, placed, LAYOUT).select(*LAYOUT, "code", "unmet", "placed")
 
 
 @query("q04_validate_layout", f"""

@@ -109,8 +109,8 @@ def test_union_pairs_equal_all_pairs_with_many_copies(spark):
                 want.append((a[6] + b[6], a[1], b[1]))
     want = [(i, j) for _, i, j in sorted(want, reverse=True)[:5]]
     df = spark.createDataFrame(dets, "image_id int, i int, x int, y int, w int, h int, conf int, mask_conf int")
-    for crowd in (1024, 12, 30):
-        assert [(x.i, x.j) for x in O.union_candidates(df, crowd=crowd).orderBy("pair_rank").collect()] == want
+    for block in (1024, 12, 30):
+        assert [(x.i, x.j) for x in O.union_candidates(df, block=block).orderBy("pair_rank").collect()] == want
 
 
 def test_iou_match_in_stages_equals_all_pairs(spark):
@@ -136,8 +136,7 @@ def test_iou_match_in_stages_equals_all_pairs(spark):
     want = {o[1]: best(o) for o in objs}
     od = spark.createDataFrame(objs, "image_id int, ord int, role string, movable boolean, removable boolean, x int, y int, w int, h int")
     dd = spark.createDataFrame(dets, "image_id int, det int, x int, y int, w int, h int, quality int")
-    for crowd in (1024, 10):
-        assert {x.ord: x.det for x in O.iou_match(od, dd, crowd=crowd).collect()} == want
+    assert {x.ord: x.det for x in O.iou_match(od, dd).collect()} == want
 
 
 def test_swallowed_titles_same_when_crowded(spark):
@@ -151,5 +150,4 @@ def test_swallowed_titles_same_when_crowded(spark):
             max(0, min(o[3] + o[5], p[3] + p[5]) - max(o[3], p[3])) * max(0, min(o[4] + o[6], p[4] + p[6]) - max(o[4], p[4])) / (o[5] * o[6]) > 0.6 for p in rows if p[2] == "product")
     want = {o[1] for o in rows if not swallowed(o)}
     assert 0 < len(want) < len(rows)
-    for crowd in (1024, 5):
-        assert {x.ord for x in O.drop_product_titles(df, crowd=crowd).collect()} == want
+    assert {x.ord for x in O.drop_product_titles(df).collect()} == want

@@ -58,22 +58,26 @@ SCHEMA = "g string, object_id string, role string, required boolean, cand int, c
 
 
 def test_place_equals_plain_loop_in_one_block_and_in_many(spark):
-    groups = {f"g{s}": make(s, n) for s, n in ((1, 6), (2, 25))}
+    groups = {f"g{s}": make(s, n) for s, n in ((1, 6), (2, 25), (5, 1250))}
     df = spark.createDataFrame([c for g in groups.values() for c in g], SCHEMA)
     want = {(g, *x) for g, c in groups.items() for x in greedy(c)}
-    for block in (5000, 17):
+    for block in (5000, LO.BLOCK, 17):
         got = {(r.g, r.object_id, r.cand) for r in LO.place(df, ["g"], block=block).collect()}
         assert got == want
 
 
-def test_static_filter_same_for_few_and_many_protected(spark, monkeypatch):
+def test_static_filter_equals_all_pairs(spark):
     df = spark.createDataFrame(make(3, 20), SCHEMA).selectExpr("*", "600 AS canvas_w", "500 AS canvas_h", "0 AS zone_left", "0 AS zone_top", "600 AS zone_right", "500 AS zone_bottom")
     r = random.Random(8)
     prot = spark.createDataFrame([("g3", r.randrange(500), r.randrange(400), r.randrange(5, 90), r.randrange(5, 90)) for _ in range(12)], "g string, qx int, qy int, qw int, qh int")
-    few = {(x.object_id, x.cand) for x in LO.valid_static(df, prot, ["g"]).collect()}
-    monkeypatch.setattr(LO, "FEW_BOXES", 3)
-    many = {(x.object_id, x.cand) for x in LO.valid_static(df, prot, ["g"]).collect()}
-    assert few == many and 0 < len(few) < 80
+    got = {(x.object_id, x.cand) for x in LO.valid_static(df, prot, ["g"]).collect()}
+
+    def covered(c, q):
+        dx, dy = min(c.cx + c.cw, q.qx + q.qw) - max(c.cx, q.qx), min(c.cy + c.ch, q.qy + q.qh) - max(c.cy, q.qy)
+        return dx > 0 and dy > 0 and dx * dy / (q.qw * q.qh) > 0.30
+    boxes = prot.collect()
+    want = {(c.object_id, c.cand) for c in df.collect() if c.cx + c.cw <= 600 and c.cy + c.ch <= 500 and not any(covered(c, q) for q in boxes)}
+    assert got == want and 0 < len(want) < 80
 
 
 def test_no_valid_candidates(spark):
