@@ -66,7 +66,7 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, memo_size: int = 300_000):
+    def __init__(self, model: Model, memo_size: int = 50_000):
         self.model, self.memo_size = model, memo_size
         self.memo: dict[str, np.ndarray] = {}
 
@@ -119,8 +119,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch: counts of every word (order 0) and n-gram by language."""
         for rb in rows:
-            for at in range(0, rb.num_rows, 500):
-                part = rb.slice(at, 500)
+            for at in range(0, rb.num_rows, 200):
+                part = rb.slice(at, 200)
                 by: dict[str, Counter] = {}
                 for t, tag in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     by.setdefault(tag, Counter()).update(text_words(t))

@@ -34,7 +34,7 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -128,6 +128,7 @@ def sketch(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
                     sets, seen, held = [], {}, 0
         if sets:
             yield flush(like)
+        pa.default_memory_pool().release_unused()
 
     def own(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         dest = key[0].as_py()
@@ -243,7 +244,7 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
     return components(links.union(linked(meet, sets, percent)))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_grams: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_grams: int = 500_000) -> DataFrame:
     """One row per document: ``key``, n_shingles, component_id (the least key reachable by links, null if the component has none).
 
     Null, empty and white texts have no shingles and link with nothing: component_id is the document's own key.  Documents with
