@@ -72,13 +72,16 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str, ties:
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], out: str,
-                 width: int = WIDTH, null_safe: bool = False) -> DataFrame:
-    """``lag(struct(cols))`` over ``keys`` by ``order``; null on the first row of a key."""
+                 width: int = WIDTH, null_safe: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """``lag(struct(cols))`` over ``keys`` by ``order`` (then ``ties``); null on the first row of a key.
+
+    ``width`` is the span of one slice in the units of ``order``: for a time in microseconds, say, an hour of them.
+    """
     rows = _chunked(df, order, width)
     image = F.struct(*cols)
-    rows = rows.withColumn("__lag", F.lag(image).over(Window.partitionBy(*keys, "__chunk").orderBy(order)))
-    tails = (_chunked(df.select(*dict.fromkeys([*keys, order, *cols])), order, width)
-             .groupBy(*keys, "__chunk").agg(F.max_by(image, F.col(order)).alias("__tail")))
+    rows = rows.withColumn("__lag", F.lag(image).over(Window.partitionBy(*keys, "__chunk").orderBy(order, *ties)))
+    tails = (_chunked(df.select(*dict.fromkeys([*keys, order, *ties, *cols])), order, width)
+             .groupBy(*keys, "__chunk").agg(F.max_by(image, F.struct(order, *ties)).alias("__tail")))
     carried = tails.withColumn("__prev", F.lag("__tail").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__tail")
     return (_join_chunks(rows, _rename(carried, keys), keys, null_safe)
             .withColumn(out, F.coalesce("__lag", "__prev")).drop("__lag", "__prev"))

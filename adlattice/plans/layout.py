@@ -379,7 +379,7 @@ p0 AS (SELECT p.*, l.x1 AS lx1, l.y1 AS ly1, l.x2 AS lx2, l.y2 AS ly2, q.x1 AS q
 
 
 @query("g10_edge_anchoring", _PIVOT_SQL + """,
-e1 AS (SELECT *, least(1.0::DOUBLE, tgt_h / src_h) AS s FROM p0 WHERE psd_id % 2 = 0),
+e1 AS (SELECT * REPLACE (970 AS tgt_w, 250 AS tgt_h), least(1.0::DOUBLE, 250 / src_h) AS s FROM p0),
 e2 AS (SELECT *, (tgt_h - src_h * s) / 2 AS oy, round_even(tgt_w - (mx2 - mx1) * s, 0)::INT AS nmx, round_even(30 + (qx2 - qx1) * s, 0)::INT AS nqx,
        round_even((tgt_h - (qy2 - qy1) * s) / 2, 0)::INT AS nqy FROM e1),
 e3 AS (SELECT *, round_even(my1 * s + oy, 0)::INT AS nmy, coalesce(nmx, tgt_w - 30) AS rlim, coalesce(nqx + 30, 30) AS llim,
@@ -394,11 +394,12 @@ SELECT psd_id, mo AS ord, 'model' AS slot, nmx AS nx1, nmy AS ny1, tgt_w AS nx2,
 UNION ALL SELECT psd_id, po, 'prod', 30, nqy, nqx, round_even(nqy + (qy2 - qy1) * s, 0)::INT, round(s, 6) FROM e6 WHERE po IS NOT NULL
 UNION ALL SELECT psd_id, ord, slot, nx1, ny1, round_even(nx1 + (x2 - x1) * ts, 0)::INT, round_even(ny1 + (y2 - y1) * ts, 0)::INT, round(ts, 6) FROM blk""")
 def edge_anchoring(t: Tables) -> DataFrame:
-    return LY.edge_layout(sized_targets(t).filter("psd_id % 2 = 0")).withColumn("scale_used", F.round("scale_used", 6))
+    """Every file on a wide banner."""
+    return LY.edge_layout(sized_targets(t).withColumns({"tgt_w": F.lit(970), "tgt_h": F.lit(250)})).withColumn("scale_used", F.round("scale_used", 6))
 
 
 @query("g11_vertical_stacking", _PIVOT_SQL + """,
-v1 AS (SELECT *, greatest(0.4::DOUBLE, least(1.0::DOUBLE, (tgt_w - 60) / src_w)) AS s FROM p0 WHERE psd_id % 2 = 1),
+v1 AS (SELECT * REPLACE (160 AS tgt_w, 600 AS tgt_h), greatest(0.4::DOUBLE, least(1.0::DOUBLE, (160 - 60) / src_w)) AS s FROM p0),
 v2 AS (SELECT *, round_even((tgt_w - (qx2 - qx1) * s) / 2, 0)::INT AS ax1, round_even(30 + (qy2 - qy1) * s, 0)::INT AS ay2 FROM v1),
 v3 AS (SELECT *, coalesce(ay2 + 15, 30) AS top1, round_even((tgt_w - (lx2 - lx1) * s) / 2, 0)::INT AS bx1 FROM v2),
 v4 AS (SELECT *, round_even(top1 + (ly2 - ly1) * s, 0)::INT AS by2 FROM v3),
@@ -413,7 +414,8 @@ UNION ALL SELECT psd_id, lo, 'logo', bx1, top1, round_even(bx1 + (lx2 - lx1) * s
 UNION ALL SELECT psd_id, mo, 'model', cx1, top2, round_even(cx1 + (mx2 - mx1) * fs, 0)::INT, round_even(top2 + (my2 - my1) * fs, 0)::INT, round(fs, 6) FROM v8 WHERE mo IS NOT NULL
 UNION ALL SELECT psd_id, ord, 'text', nx1, ny1, round_even(nx1 + (x2 - x1) * ts, 0)::INT, round_even(ny1 + (y2 - y1) * ts, 0)::INT, round(ts, 6) FROM blk""")
 def vertical_stacking(t: Tables) -> DataFrame:
-    return LY.vertical_layout(sized_targets(t).filter("psd_id % 2 = 1")).withColumn("scale_used", F.round("scale_used", 6))
+    """Every file on a tall banner."""
+    return LY.vertical_layout(sized_targets(t).withColumns({"tgt_w": F.lit(160), "tgt_h": F.lit(600)})).withColumn("scale_used", F.round("scale_used", 6))
 
 
 @query("j11_merge_layers", _AP_SQL + """,

@@ -261,12 +261,12 @@ def x_edges(t: Tables) -> DataFrame:
     return M.edge_sharpness(pixels(t).groupBy("vec_id", F.col("g").alias("value")).agg(F.count("*").alias("n")), V)
 
 
-@query("x24_trim_by_profile", f"""WITH {PIX}, e AS (SELECT vec_id, x * 5 AS x, y * 4 AS y FROM pix WHERE r > 150 AND vec_id % 9 <> 0), cy AS (SELECT vec_id, y, COUNT(*) AS n FROM e GROUP BY 1, 2), ry AS (SELECT vec_id, MIN(y) AS y1, MAX(y) AS y2 FROM (SELECT *, MAX(n) OVER (PARTITION BY vec_id) AS pk FROM cy) z WHERE n > pk * 0.3 GROUP BY 1),
+@query("x24_trim_by_profile", f"""WITH {PIX}, e AS (SELECT vec_id, x * 5 AS x, y * 4 AS y FROM pix WHERE r > 150), cy AS (SELECT vec_id, y, COUNT(*) AS n FROM e GROUP BY 1, 2), ry AS (SELECT vec_id, MIN(y) AS y1, MAX(y) AS y2 FROM (SELECT *, MAX(n) OVER (PARTITION BY vec_id) AS pk FROM cy) z WHERE n > pk * 0.3 GROUP BY 1),
 cx AS (SELECT e.vec_id, x, COUNT(*) AS n FROM e JOIN ry USING (vec_id) WHERE y BETWEEN y1 AND y2 GROUP BY 1, 2), rx AS (SELECT vec_id, MIN(x) AS x1, MAX(x) AS x2 FROM (SELECT *, MAX(n) OVER (PARTITION BY vec_id) AS pk FROM cx) z WHERE n > pk * 0.3 GROUP BY 1),
 b AS (SELECT vec_id, greatest(0, x1 - 3) AS a, greatest(0, y1 - 3) AS b, least(40, x2 + 4) AS c, least(32, y2 + 4) AS d FROM ry JOIN rx USING (vec_id))
 SELECT vec_id, CASE WHEN c - a < 10 OR d - b < 10 THEN 0 ELSE a END::INT AS cx1, CASE WHEN c - a < 10 OR d - b < 10 THEN 0 ELSE b END::INT AS cy1, CASE WHEN c - a < 10 OR d - b < 10 THEN 40 ELSE c END::INT AS cx2, CASE WHEN c - a < 10 OR d - b < 10 THEN 32 ELSE d END::INT AS cy2 FROM b""")
 def x_trim(t: Tables) -> DataFrame:
-    e = pixels(t).filter("r > 150 AND vec_id % 9 <> 0").selectExpr("vec_id", "x * 5 AS x", "y * 4 AS y", "40 AS w", "32 AS h")
+    e = pixels(t).filter("r > 150").selectExpr("vec_id", "x * 5 AS x", "y * 4 AS y", "40 AS w", "32 AS h")
     return M.trim_by_profile(e, V, share=0.3)
 
 

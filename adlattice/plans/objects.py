@@ -377,16 +377,18 @@ def w_number(t: Tables) -> DataFrame:
 # --- rules -------------------------------------------------------------------------------------------------------
 
 @query("q01_validate_manifest", f"""
-WITH o AS (SELECT *, CASE WHEN conf_pct = 13 AND ord > 1 THEN 'o1' ELSE 'o' || ord END AS oid, role <> 'protected_subject' AS rem, CASE WHEN conf_pct % 19 = 0 THEN 0 ELSE 1 END AS poly FROM {_OBJ} WHERE image_id % 23 <> 0),
+WITH o AS (SELECT *, CASE WHEN conf_pct = 13 AND ord > 1 THEN 'o1' ELSE 'o' || ord END AS oid, role <> 'protected_subject' AS rem, CASE WHEN conf_pct % 19 = 0 THEN 0 ELSE 1 END AS poly FROM {_OBJ}),
 c AS (SELECT o.*, CASE WHEN role = 'protected_subject' AND (movable OR rem) THEN 'PROTECTED_SUBJECT_VIOLATION' WHEN required AND poly = 0 THEN 'REQUIRED_POLYGON_MISSING'
    WHEN x < 0 OR y < 0 OR x + w > i.width OR y + h > i.height OR (poly = 1 AND (x * 3 > i.width OR y > i.height)) THEN 'COORDINATES_OUT_OF_BOUNDS' END AS code FROM o JOIN fx_image i USING (image_id)),
 g AS (SELECT image_id, COUNT(*) AS n, COUNT(DISTINCT oid) AS d, bool_or(rem) AS rem, arg_min(code, ord) FILTER (code IS NOT NULL) AS code FROM c GROUP BY 1)
-SELECT i.image_id, CASE WHEN g.n IS NULL THEN 'MANIFEST_EMPTY' WHEN g.n > g.d THEN 'DUPLICATE_IDS' WHEN g.code IS NOT NULL THEN g.code WHEN NOT g.rem THEN 'NO_REMOVABLE_OBJECTS' END AS code FROM fx_image i LEFT JOIN g USING (image_id)""")
+SELECT i.image_id, CASE WHEN g.n IS NULL THEN 'MANIFEST_EMPTY' WHEN g.n > g.d THEN 'DUPLICATE_IDS' WHEN g.code IS NOT NULL THEN g.code WHEN NOT g.rem THEN 'NO_REMOVABLE_OBJECTS' END AS code FROM (SELECT image_id FROM fx_image UNION ALL SELECT -1 - image_id FROM fx_image WHERE image_id % 23 = 0) i LEFT JOIN g USING (image_id)""")
 def q_manifest(t: Tables) -> DataFrame:
-    o = objects(t).filter("image_id % 23 <> 0").withColumns({
+    """Every image, and beside them some that have no objects at all."""
+    bare = images(t).filter("image_id % 23 = 0").withColumn("image_id", -1 - F.col("image_id"))
+    o = objects(t).withColumns({
         "object_id": F.when((F.col("conf_pct") == 13) & (F.col("ord") > 1), "o1").otherwise(F.col("object_id")),
         "polygon": F.when(F.col("conf_pct") % 19 == 0, F.array().cast("array<array<int>>")).otherwise(F.array(F.array(F.col("x") * 3, F.col("y"))))})
-    return O.validate_manifest(o, images(t))
+    return O.validate_manifest(o, images(t).unionByName(bare))
 
 
 @query("q02_validate_extraction", f"""

@@ -12,8 +12,8 @@ from adlattice.streaming import jobs as S
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    """The table's files as a stream; the pattern matches a single file as well as a folder of parts."""
-    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parque[t]")
+    """The table's files as a stream, at most 64 a micro-batch; the pattern matches a single file as well as a folder of parts."""
+    return t.spark.readStream.option("maxFilesPerTrigger", 64).schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -137,10 +137,10 @@ def k_stage_counts(t: Tables) -> DataFrame:
 
 
 @query("k07_job_sessions", """
-WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM fx_event WINDOW w AS (PARTITION BY job_id ORDER BY ts)), s AS (SELECT *, SUM(brk) OVER (PARTITION BY job_id ORDER BY ts) AS sid FROM g)
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM fx_event WINDOW w AS (PARTITION BY job_id ORDER BY ts)), s AS (SELECT *, SUM(brk) OVER (PARTITION BY job_id ORDER BY ts) AS sid FROM g)
 SELECT job_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS n FROM s GROUP BY job_id, sid""")
 def k_sessions(t: Tables) -> DataFrame:
-    return S.job_sessions(t.fx_event).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+    return S.job_sessions_batch(t.fx_event).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query("k07_stage_counts_stream", """WITH wm AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS w FROM fx_event)
@@ -150,9 +150,10 @@ def k_stage_stream(t: Tables) -> DataFrame:
     return drain(t, S.stage_counts(event_stream(t))).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "stage", "event", "n")
 
 
-@query("k08_live_failures", "SELECT DISTINCT job_id, stage FROM fx_event WHERE event = 'stage_fail'")
+@query("k08_live_failures", "SELECT job_id, stage, arg_min(event_id, {'t': ts, 'e': event_id}) AS event_id FROM fx_event WHERE event = 'stage_fail' GROUP BY 1, 2")
 def k_failures(t: Tables) -> DataFrame:
-    return drain(t, S.live_failures(event_stream(t))).select("job_id", "stage")
+    found = drain_batches(t, S.live_failures(event_stream(t)), "update")
+    return found.groupBy("job_id", "stage").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 @query("k09_stream_upsert", """

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from adlattice.operators import catalog as C
-from adlattice.operators.scale import previous_row
+from adlattice.operators.scale import previous_row, running_max
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 START, FINISH = ("job_start",), ("job_pass", "job_fail", "stage_fail")
 STUCK_SECONDS = 900
+SLICE_US = 3_600_000_000  # events of a key are ordered within an hour, then hour by hour
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
@@ -80,7 +81,8 @@ def dedupe_active(calls: DataFrame) -> DataFrame:
 
 def dedupe_active_batch(calls: DataFrame) -> DataFrame:
     """The same over a finished table: any start leaves the job active, so only the call just before a start counts."""
-    seen = previous_row(calls, ["job_id"], "event_id", ["kind"], "_p")
+    timed = calls.withColumn("_us", _micros(F.col("ts")))
+    seen = previous_row(timed, ["job_id"], "_us", ["kind"], "_p", width=SLICE_US, ties=["event_id"])
     duplicate = F.coalesce(F.col("_p.kind") == "start", F.lit(False))
     return seen.filter("kind = 'start'").select("job_id", "event_id", F.when(duplicate, "DUPLICATE").otherwise("ACCEPTED").alias("verdict"))
 
@@ -96,14 +98,19 @@ def job_status(event) -> Column:
 
 class _Machine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "status string, event_id long")
+        self._state = handle.getValueState("state", "status string, micros long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values(["ts", "event_id"]).iloc[-1]
-        old, seen = self._state.get() if self._state.exists() else (None, -1)
-        if last["event_id"] <= seen:
+        old, micros, event_id = self._state.get() if self._state.exists() else (None, None, None)
+        best, last = None if micros is None else (micros, event_id), None
+        for frame in rows:
+            row = frame.sort_values(["ts", "event_id"]).iloc[-1]
+            at = (pd.Timestamp(row["ts"]).value // 1000, int(row["event_id"]))
+            if best is None or at > best:
+                best, last = at, row
+        if last is None:
             return
-        self._state.update((last["status"], int(last["event_id"])))
+        self._state.update((last["status"], *best))
         yield pd.DataFrame({"job_id": [key[0]], "old_status": [old], "status": [last["status"]], "updated_at": [last["ts"]]})
 
     def close(self) -> None:
@@ -181,9 +188,10 @@ def stuck_jobs_batch(calls: DataFrame, now: Column, seconds: int = STUCK_SECONDS
     """The same over a finished table, with ``now`` for starts that are a job's last call."""
     def overdue(later: Column, start: Column) -> Column:
         return _micros(later) - _micros(start) > seconds * 1_000_000
-    seen = previous_row(calls, ["job_id"], "event_id", ["event_id", "ts", "kind"], "_p")
+    timed = calls.withColumn("_us", _micros(F.col("ts")))
+    seen = previous_row(timed, ["job_id"], "_us", ["event_id", "ts", "kind"], "_p", width=SLICE_US, ties=["event_id"])
     between = seen.filter((F.col("_p.kind") == "start") & overdue(F.col("ts"), F.col("_p.ts"))).select("job_id", F.col("_p.event_id").alias("event_id"))
-    last = calls.groupBy("job_id").agg(F.max_by(F.struct("event_id", "ts", "kind"), "event_id").alias("_l"))
+    last = calls.groupBy("job_id").agg(F.max_by(F.struct("event_id", "ts", "kind"), F.struct("ts", "event_id")).alias("_l"))
     open_ = last.filter((F.col("_l.kind") == "start") & overdue(now, F.col("_l.ts"))).select("job_id", F.col("_l.event_id").alias("event_id"))
     return between.unionByName(open_)
 
@@ -231,10 +239,23 @@ def job_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 min
             .select("job_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"))
 
 
-def live_failures(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """First failure of a job and stage within the watermark."""
+def live_failures(events: DataFrame) -> DataFrame:
+    """Earliest failure by (ts, event_id) of every job and stage: one value per key as state, sent again only when an earlier
+    one arrives (update mode), so the last row of a key is right however the log is cut into micro-batches."""
     bad = events.filter(F.col("event").isin("stage_fail", "job_fail"))
-    return _timed(bad, late).dropDuplicatesWithinWatermark(["job_id", "stage"])
+    return bad.groupBy("job_id", "stage").agg(F.min(F.struct("ts", "event_id")).alias("_f")).select("job_id", "stage", "_f.ts", "_f.event_id")
+
+
+def job_sessions_batch(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """The same bursts over a finished table, without a window over a whole job: a session starts where the event before is
+    more than ``gap_seconds`` away, as in ``session_window``, and its start is carried forward slice by slice."""
+    gap = gap_seconds * 1_000_000
+    timed = events.select("job_id", "ts", _micros(F.col("ts")).alias("_us"))
+    seen = previous_row(timed, ["job_id"], "_us", ["_us"], "_p", width=SLICE_US)
+    opens = F.when(F.coalesce(F.col("_us") - F.col("_p._us") > gap, F.lit(True)), F.col("_us"))
+    run = running_max(seen.withColumn("_opens", opens).drop("_p"), ["job_id"], "_us", F.col("_opens"), "_start", include_current=True, width=SLICE_US)
+    return (run.groupBy("job_id", "_start").agg(F.max("_us").alias("_end"), F.count("*").alias("n"))
+            .select("job_id", F.timestamp_micros("_start").alias("session_start"), F.timestamp_micros(F.col("_end") + gap).alias("session_end"), "n"))
 
 
 def job_timing(events: DataFrame) -> DataFrame:
