@@ -68,7 +68,7 @@ class WordEncoder:
 
     PUNCTUATION = ".,!?;:*$%&#|()-"
 
-    def __init__(self, path: str, ranks: tuple[list[bytes], list[int], list[bool]], memo_size: int = 400_000):
+    def __init__(self, path: str, ranks: tuple[list[bytes], list[int], list[bool]], memo_size: int = 200_000):
         self.path, self.memo_size = path, memo_size
         self.memo: dict[str, bytes] = {"": b""}
         self.tokenizer = None
@@ -130,7 +130,7 @@ def latin(text: str) -> bool:
     return True
 
 
-def batches(column: list, chars: int = 4_000_000) -> Iterator[list]:
+def batches(column: list, chars: int = 1_000_000) -> Iterator[list]:
     """Runs of (index, text) of bounded length in all; a longer text comes alone."""
     run, size = [], 0
     for i, t in enumerate(column):
@@ -153,16 +153,17 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         from pyspark import TaskContext
         encoder, part, start = WordEncoder(path, ranks), TaskContext.get().partitionId(), 0
         for rb in rows:
-            keys = rb.column(0)
-            for run in batches(rb.column(1).to_pylist()):
+            # a few texts at a time, so a batch of long ones is never held as Python objects at once
+            for row, run in ((at, run) for at in range(0, rb.num_rows, 256) for run in batches(rb.column(1).slice(at, 256).to_pylist())):
                 ids = [b + last for b in encoder.encode([t for _, t in run])]
                 starts = []
                 for b in ids:
                     starts.append(start)
                     start += len(b) // 4
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(run[0][0], len(run)), pa.array([part] * len(run), pa.int32()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())],
+                    [rb.column(0).slice(row + run[0][0], len(run)), pa.array([part] * len(run), pa.int32()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())],
                     ["key", "part", "start", "ids"])
+        pa.default_memory_pool().release_unused()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, f"key {kind}, part int, start bigint, ids binary")
 
 
