@@ -60,7 +60,7 @@ SIGNALS: dict[str, tuple[Callable[[], Column], list[float]]] = {
     "symbols": (lambda: F.col("n_symbols") / F.col("n_words"), [i / 20 for i in range(1, 21)]),
     "repeated_lines": (lambda: F.col("n_dup_lines") / F.col("n_lines"), [i / 20 for i in range(1, 20)]),
     "repeated_words": (lambda: F.col("n_repeat_words") / F.col("n_words"), [i / 100 for i in range(1, 21)]),
-    "long_words": (lambda: F.col("word_chars") / F.col("n_words"), [i / 2 for i in range(10, 31)]),
+    "long_words": (lambda: (F.col("word_chars") - F.col("n_symbols")) / F.col("n_words"), [i / 2 for i in range(10, 31)]),
     "short_words": (lambda: -F.col("word_chars") / F.col("n_words"), [-i / 4 for i in range(4, 21)][::-1]),
 }
 
