@@ -65,26 +65,41 @@ SIGNALS: dict[str, tuple[Callable[[], Column], list[float]]] = {
 }
 
 
+def stirling_error(n: Column) -> Column:
+    """log(n!) less Stirling's formula: exact for small n, else the series."""
+    exact = F.array(*[F.lit(math.lgamma(i + 1) - (i + 0.5) * math.log(i or 1) + i - (0.5 * math.log(2 * math.pi) if i else 0.0)) for i in range(20)])
+    x = n.cast("double")
+    return F.when(n < 20, F.get(exact, n.cast("int"))).otherwise((F.lit(1 / 12) - (F.lit(1 / 360) - F.lit(1 / 1260) / (x * x)) / (x * x)) / x)
+
+
 def tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial (n, p), for k up to n * p; 1 above.  Terms are chained as logarithms."""
-    start = n * F.lit(math.log1p(-p))
-    odds = math.log(p) - math.log1p(-p)
+    """P(X <= k) for X binomial (n, p), for k up to n * p; 1 above.
+
+    The greatest term, that of k, comes from its deviances; the smaller ones follow downward as ratios.  The product of the
+    first j ratios is at most exp(-j (j - 1) / 2k), so after ``sqrt(200 k) + 2`` terms all others are below e-100 of the first.
+    """
+    def deviance(x: Column, mean: Column) -> Column:
+        return x * F.log(x / mean) + mean - x
+    rest = n - k
+    first = F.when(k == 0, n * F.lit(math.log1p(-p))).otherwise(
+        stirling_error(n) - stirling_error(k) - stirling_error(rest) - deviance(k, n * F.lit(p)) - deviance(rest, n * F.lit(1 - p))
+        + F.log(n / (F.lit(2 * math.pi) * k * rest)) / 2)
+    terms = F.least(k, F.ceil(F.sqrt(200 * k)).cast("bigint") + 2)
+    # ratio of the term of i - 1 to that of i
     chained = F.aggregate(
-        F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>")), F.struct(start.alias("log"), F.exp(start).alias("sum")),
-        lambda a, i: let(a["log"] + F.log((n - i + 1) / i) + F.lit(odds), lambda x: F.struct(x.alias("log"), (a["sum"] + F.exp(x)).alias("sum"))), lambda a: a["sum"])
-    return F.when(k > n * p, F.lit(1.0)).otherwise(chained)
+        F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), terms - 1), lambda j: k - j)).otherwise(F.array().cast("array<bigint>")),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda a, i: let(a["term"] * i / (n - i + 1) * F.lit((1 - p) / p), lambda x: F.struct(x.alias("term"), (a["sum"] + x).alias("sum"))), lambda a: a["sum"])
+    return F.when(k > n * p, F.lit(1.0)).otherwise(F.exp(first + F.log(chained)))
 
 
-def thresholds(seen: DataFrame, labels: DataFrame, key: str, risk: float, error: float, least_gain: float, holdout: int) -> DataFrame:
+def thresholds(seen: DataFrame, labels: DataFrame, key: str, risk: float, error: float, least_gain: float) -> DataFrame:
     """(stratum, cutoffs: map of signal to cutoff) certified on the labelled documents that pass the base rules.
 
     ``labels``: ``key`` and quality (1 good, 0 bad); a key labelled twice counts as bad if any label says so, null labels are
-    left out.  At most about ``holdout`` labelled documents are used, chosen by a hash of the key.
+    left out.  All labels count, however many there are.
     """
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("of")).agg(F.min("quality").alias("quality"))
-    n = marks.count()
-    if n > holdout:
-        marks = marks.where(F.pmod(F.xxhash64("of"), F.lit(1 << 20)) < int((1 << 20) * holdout / n))
     known = seen.where(~base_failed()).join(marks, F.col("key") == F.col("of"))
     tests = sum(len(grid) for _, grid in SIGNALS.values())
     allowed = risk / len(SIGNALS)
@@ -112,14 +127,14 @@ def thresholds(seen: DataFrame, labels: DataFrame, key: str, risk: float, error:
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.05, error: float = 0.05,
-          least_gain: float = 0.1, holdout: int = 1_000_000) -> DataFrame:
+          least_gain: float = 0.1) -> DataFrame:
     """One row per document: ``key``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, reasons.
 
     A null text is empty (and fails the base rules), a null stratum is the stratum ''; documents with null keys are judged but
     never labelled.  Rows may repeat.  Without labels only the base rules reject; an empty table gives no rows.
     """
     seen = materialise(features(docs, key, text, stratum))
-    limits = materialise(thresholds(seen, labels, key, risk, error, least_gain, holdout))
+    limits = materialise(thresholds(seen, labels, key, risk, error, least_gain))
     judged = seen.join(limits.withColumnRenamed("stratum", "of_stratum"), F.col("stratum") == F.col("of_stratum"), "left").withColumn("base_failed", base_failed())
     over = F.array_compact(F.array(*[F.when(value() > F.col("cutoffs")[name], F.lit(name)) for name, (value, _) in SIGNALS.items()]))
     judged = judged.withColumn("reasons", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(over))

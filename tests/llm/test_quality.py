@@ -38,6 +38,16 @@ def test_tail_is_exact(spark, n, p):
         assert x == pytest.approx(want, rel=1e-6)
 
 
+def test_tail_of_many_labels(spark):
+    """Millions of labels: few terms, and the whole tail; the reference sums every term."""
+    n, p = 5_000_000, 0.01
+    ks = [1, 40_000, 49_500, 50_000]
+    got = [r[0] for r in spark.createDataFrame([(k, n) for k in ks], "k bigint, n bigint").select(quality.tail(F.col("k"), F.col("n"), p)).collect()]
+    for k, x in zip(ks, got):
+        want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        assert x == pytest.approx(want, rel=1e-6, abs=1e-300)
+
+
 def corpus(n):
     rng = random.Random(n)
     texts, marks = [], []
@@ -59,6 +69,14 @@ def test_cutoffs_need_enough_labels(spark):
             assert all("symbols" in r["reasons"] for r in got if not r["kept"])
 
 
+def test_all_labels_count(spark):
+    """A small stratum keeps its cutoff however many labels the table has for other documents."""
+    texts, marks = corpus(3000)
+    others = spark.range(10_000, 4_010_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = quality.judge(docs(spark, texts), spark.createDataFrame(marks, "doc_id bigint, quality int").unionByName(others)).collect()
+    assert all(r["kept"] == (r["doc_id"] % 4 != 0) for r in got)
+
+
 def test_risk_is_kept_in_every_stratum(spark):
     """Good documents with symbols make a stratum lose its cutoff; the other one keeps it."""
     texts, marks = corpus(4000)
