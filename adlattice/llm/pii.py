@@ -14,14 +14,17 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, ISLAND_CHARS = 16, 400
+#: Tokens of a segment; tokens whose segments are held at a time; characters of a piece that is fitted.
+MAX_TOKENS, BLOCK_TOKENS, PIECE_CHARS = 16, 256, 400
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -101,15 +104,22 @@ def candidate(s: str) -> bool:
     return (s[0].isdigit() or s[0] in "+(") and s[-1].isdigit() and 7 <= len(digits_of(s)) <= 19
 
 
-def segments(island: str, left: str, right: str) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """Token starts (and the end), and (first token, end token, features) of all candidates of at most ``MAX_TOKENS``."""
-    cuts = [m.start() for m in TOKEN.finditer(island)] + [len(island)]
-    out = []
-    for i in range(len(cuts) - 1):
-        for j in range(i + 1, min(i + MAX_TOKENS, len(cuts) - 1) + 1):
+def tokens_of(island: str) -> list[int]:
+    """Token starts, and the end."""
+    return [m.start() for m in TOKEN.finditer(island)] + [len(island)]
+
+
+def segments(island: str, left: str, right: str, cuts: list[int] | None = None, first: int = 0, last: int | None = None) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
+    """``cuts``, and (first token, end token, features) of all candidates of at most ``MAX_TOKENS`` that start in [first, last)."""
+    cuts = tokens_of(island) if cuts is None else cuts
+    n, plain, out = len(cuts) - 1, "@" not in island, []
+    for i in range(first, n if last is None else min(last, n)):
+        if plain and not (island[cuts[i]].isdigit() or island[cuts[i]] in "+("):
+            continue
+        for j in range(i + 1, min(i + MAX_TOKENS, n) + 1):
             s = island[cuts[i]:cuts[j]]
             if candidate(s):
-                out.append((i, j, features(s, island[cuts[i] - 1] if i else left, island[cuts[j]] if j < len(cuts) - 1 else right)))
+                out.append((i, j, features(s, island[cuts[i] - 1] if i else left, island[cuts[j]] if j < n else right)))
     return cuts, out
 
 
@@ -140,31 +150,64 @@ class Field:
         return np.array([np.exp(np.minimum(ahead[i] + s + back[j] - z, 0.0)) for i, j, s in segs]).reshape(len(segs), len(KINDS)), z
 
     def decode(self, island: str, left: str = " ", right: str = " ", sure: float = 0.9) -> list[tuple[str, int, int]]:
-        """The best segmentation's segments whose probability is at least ``sure``."""
-        cuts, found = segments(island, left, right)
-        if not found:
-            return []
-        segs = [(i, j, self.score(f)) for i, j, f in found]
+        """The best segmentation's segments whose probability is at least ``sure``, over the whole island.
+
+        Sums and best scores run through all tokens, forward and then backward; only segments are made a block of starts at a
+        time, so an island of any length has no boundary inside and needs a few numbers a token.
+        """
+        cuts = tokens_of(island)
         n = len(cuts) - 1
-        best, pick = np.zeros(n + 1), [None] * (n + 1)
-        ends: dict[int, list] = {}
-        for k, (i, j, s) in enumerate(segs):
-            ends.setdefault(j, []).append((i, k, int(s.argmax()), float(s.max())))
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for i, k, kind, s in ends.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], pick[j] = best[i] + s, (i, k, kind)
-        chance, _ = self.marginals(n, segs)
-        out, j = [], n
+        held: tuple[int, list] = (-1, [])
+
+        def block(at: int) -> list[tuple[int, int, np.ndarray]]:
+            nonlocal held
+            if held[0] != at:
+                held = at, [(i, j, self.score(f)) for i, j, f in segments(island, left, right, cuts, at, at + BLOCK_TOKENS)[1]]
+            return held[1]
+
+        # forward: a segment adds to its end once all that end at its start are known
+        ahead, best, pick, any_found = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), {}, False
+        ahead[0] = best[0] = 0.0
+        starts = range(0, n, BLOCK_TOKENS)
+        for at in starts:
+            by: dict[int, list] = {}
+            for i, j, s in block(at):
+                by.setdefault(i, []).append((j, s))
+                any_found = True
+            for i in range(at, min(at + BLOCK_TOKENS, n)):
+                if best[i] >= best[i + 1]:
+                    best[i + 1] = best[i]
+                    pick.pop(i + 1, None)
+                ahead[i + 1] = np.logaddexp(ahead[i + 1], ahead[i])
+                for j, s in by.get(i, ()):
+                    ahead[j] = np.logaddexp(ahead[j], ahead[i] + np.logaddexp.reduce(s))
+                    top = int(s.argmax())
+                    if best[i] + s[top] > best[j]:
+                        best[j], pick[j] = best[i] + s[top], (i, top)
+        if not any_found:
+            return []
+        chosen, j = {}, n
         while j > 0:
-            if pick[j] is None:
-                j -= 1
-            else:
-                i, k, kind = pick[j]
-                if chance[k, kind] >= sure:
-                    out.append((KINDS[kind], cuts[i], cuts[j]))
+            if j in pick:
+                i, kind = pick[j]
+                chosen[i] = j, kind
                 j = i
+            else:
+                j -= 1
+        back, out = np.full(n + 1, -np.inf), []
+        back[n] = 0.0
+        for at in reversed(starts):
+            by = {}
+            for i, j, s in block(at):
+                by.setdefault(i, []).append((j, s))
+            for i in range(min(at + BLOCK_TOKENS, n) - 1, at - 1, -1):
+                back[i] = back[i + 1]
+                for j, s in by.get(i, ()):
+                    back[i] = np.logaddexp(back[i], back[j] + np.logaddexp.reduce(s))
+                    if i in chosen and chosen[i][0] == j:
+                        kind = chosen[i][1]
+                        if math.exp(min(ahead[i] + s[kind] + back[j] - ahead[n], 0.0)) >= sure:
+                            out.append((KINDS[kind], cuts[i], cuts[j]))
         return out[::-1]
 
 
@@ -231,26 +274,33 @@ def fit(islands: list[tuple[str, str, str]], passes: int = 12, rate: float = 0.5
 
 
 def islands_of(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(start, island, left and right neighbour); long runs come in pieces that end between tokens."""
+    """(start, island, left and right neighbour) of whole islands."""
     if DIGIT.search(text) is None and "@" not in text:
         return
     for m in ISLAND.finditer(text):
         a, b = m.span()
+        yield a, m[0], text[a - 1:a] or " ", text[b:b + 1] or " "
+
+
+def pieces_of(text: str) -> Iterator[tuple[str, str, str]]:
+    """(piece, left and right neighbour) to learn from: islands, long ones cut at a blank of the last ``PIECE_CHARS`` or inside a token."""
+    for start, island, _, _ in islands_of(text):
+        a, b = start, start + len(island)
         while a < b:
-            end = min(b, a + ISLAND_CHARS)
+            end = min(b, a + PIECE_CHARS)
             if end < b:
                 space = text.rfind(" ", a + 1, end)
                 end = space if space > a else end
-            yield a, text[a:end], text[a - 1:a] or " ", text[end:end + 1] or " "
+            yield text[a:end], text[a - 1:a] or " ", text[end:end + 1] or " "
             a = end
 
 
 def sample_islands(docs: DataFrame, text: str, size: int) -> list[tuple[str, str, str]]:
-    """The ``size`` distinct islands with 7 digits or "@" whose hashes are least, from all documents."""
+    """The ``size`` distinct pieces of islands with 7 digits or "@" whose hashes are least, from all documents."""
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             for at in range(0, rb.num_rows, 500):
-                found = {(s, left, right) for t in rb.slice(at, 500).column(0).to_pylist() for _, s, left, right in islands_of(t or "") if "@" in s or len(digits_of(s)) >= 7}
+                found = {(s, left, right) for t in rb.slice(at, 500).column(0).to_pylist() for s, left, right in pieces_of(t or "") if "@" in s or len(digits_of(s)) >= 7}
                 ranked = sorted((hashlib.blake2b("\0".join(x).encode("utf-8", "replace"), digest_size=8).hexdigest(), *x) for x in found)
                 if ranked:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*ranked)], ["rank", "island", "before", "after"])
@@ -281,9 +331,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
                     added = []
                     if t:
                         taken = sorted((a, b) for _, a, b in base)
+                        # the furthest end of the spans up to each
+                        reach = list(accumulate((b for _, b in taken), max))
+
+                        def free(i: int, j: int) -> bool:
+                            before = bisect_left(taken, (j,))
+                            return not before or reach[before - 1] <= i
                         for a, s, left, right in islands_of(t):
-                            near = [x for x in taken if x[0] < a + len(s) and a < x[1]]
-                            added += [(k, a + i, a + j) for k, i, j in model.decode(s, left, right, sure) if not any(x < a + j and a + i < y for x, y in near)]
+                            added += [(k, a + i, a + j) for k, i, j in model.decode(s, left, right, sure) if free(a + i, a + j)]
                     n = [sum(k == x for k, _, _ in base) for x in KINDS]
                     spans = sorted([*base, *added], key=lambda x: (KINDS.index(x[0]), x[1]))
                     out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(added)))

@@ -72,6 +72,21 @@ def test_method_finds_what_rules_miss(field):
         assert field.decode(other) == []
 
 
+def test_long_islands_are_read_whole(field):
+    """A one-line list has every number, wherever 400 characters or a block of tokens end."""
+    numbers = [f"(212) 555-{k}" for k in range(1000, 1400)]
+    text = "call " + " ".join(numbers)
+    (a, island, left, right), = pii.islands_of(text)
+    assert island == text[5:]
+    got = field.decode(island, left, right)
+    assert [island[i:j] for _, i, j in got] == numbers and {k for k, _, _ in got} == {"phone"}
+    # the same chances as by all segments at once
+    cuts, found = pii.segments(island, left, right)
+    chance, _ = field.marginals(len(cuts) - 1, [(i, j, field.score(f)) for i, j, f in found])
+    sure = {(pii.KINDS[k], cuts[i], cuts[j]) for (i, j, _), p in zip(found, chance) for k in range(4) if p[k] >= 0.9}
+    assert set(got) == sure
+
+
 def test_rows(spark):
     got = {r["doc_id"]: r for r in pii.find(docs(spark, TEXTS)).collect()}
     for i, t in enumerate(TEXTS):
