@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from adlattice.session import materialise
+
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment; tokens whose segments are held at a time; characters of a piece that is fitted.
 MAX_TOKENS, BLOCK_TOKENS, PIECE_CHARS = 16, 256, 400
@@ -295,24 +297,42 @@ def pieces_of(text: str) -> Iterator[tuple[str, str, str]]:
             a = end
 
 
+def stratum(piece: str) -> str:
+    """The kind a piece is drawn as: the first of these that the rules find in it, or none."""
+    kinds = {k for k, _, _ in base_spans(piece)}
+    return next((k for k in ("phone", "card", "ip", "email") if k in kinds), "none")
+
+
+def shares(sizes: list[int], total: int) -> list[int]:
+    """How many to take of each: alike, and what a small one leaves goes to the others."""
+    out, left = [0] * len(sizes), total
+    for k, at in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[at] = min(sizes[at], left // (len(sizes) - k))
+        left -= out[at]
+    return out
+
+
 def sample_islands(docs: DataFrame, text: str, size: int) -> list[tuple[str, str, str]]:
-    """The ``size`` distinct pieces of islands with 7 digits or "@" whose hashes are least, from all documents."""
+    """At most ``size`` distinct pieces of islands with 7 digits or "@", from all documents: of every kind the rules find, and of
+    pieces without one, those whose hashes are least."""
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             for at in range(0, rb.num_rows, 500):
                 found = {(s, left, right) for t in rb.slice(at, 500).column(0).to_pylist() for s, left, right in pieces_of(t or "") if "@" in s or len(digits_of(s)) >= 7}
-                ranked = sorted((hashlib.blake2b("\0".join(x).encode("utf-8", "replace"), digest_size=8).hexdigest(), *x) for x in found)
+                ranked = sorted((hashlib.blake2b("\0".join(x).encode("utf-8", "replace"), digest_size=8).hexdigest(), stratum(x[0]), *x) for x in found)
                 if ranked:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*ranked)], ["rank", "island", "before", "after"])
-    found = docs.select(F.col(text)).mapInArrow(work, "rank string, island string, before string, after string")
-    return [(r["island"], r["before"], r["after"]) for r in found.distinct().orderBy("rank", "island", "before", "after").limit(size).collect()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*ranked)], ["rank", "kind", "island", "before", "after"])
+    found = materialise(docs.select(F.col(text)).mapInArrow(work, "rank string, kind string, island string, before string, after string").distinct())
+    order = ["rank", "island", "before", "after"]
+    drawn = [[(r["island"], r["before"], r["after"]) for r in found.where(F.col("kind") == k).orderBy(*order).limit(size).collect()] for k in (*KINDS, "none")]
+    return [x for some, n in zip(drawn, shares([len(d) for d in drawn], size)) for x in some[:n]]
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 1_500, sure: float = 0.9) -> DataFrame:
     """One row per document: ``key``, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans and n_added of all.
 
     A null or empty text has no spans: counts 0, the hash of an empty string, spans ''.  Keys may repeat or be null; an empty
-    table gives no rows.  At most ``sample`` islands are fitted.
+    table gives no rows.  At most ``sample`` islands are fitted, of every kind alike.
     """
     field = docs.sparkSession.sparkContext.broadcast(fit(sample_islands(docs, text, sample)))
     kind = docs.schema[key].dataType.simpleString()

@@ -99,6 +99,16 @@ def test_rows(spark):
         assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), int(s[1])))
 
 
+def test_every_kind_has_its_share_of_the_sample(spark):
+    """Where nearly all islands are e-mails, phones and cards are fitted all the same."""
+    texts = [" ".join(f"u{i}x{k}@mail.example.com" for k in range(20)) for i in range(200)]
+    texts += [f"call +1 (212) 555-{1000 + i} now" for i in range(30)] + [f"card {CARD}", f"no {7654321}"]
+    got = pii.sample_islands(docs(spark, texts), "text", 60)
+    kinds = [pii.stratum(s) for s, _, _ in got]
+    assert len(got) == 60 and kinds.count("phone") >= 12 and kinds.count("card") == 1 and kinds.count("none") == 1 and kinds.count("email") >= 12
+    assert pii.shares([0, 5, 100, 100], 60) == [0, 5, 27, 28] and pii.shares([1, 2], 60) == [1, 2]
+
+
 def test_empty(spark):
     assert pii.find(docs(spark, [])).count() == 0
     assert {r["spans"] for r in pii.find(docs(spark, ["no data", None])).collect()} == {""}
