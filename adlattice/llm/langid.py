@@ -1,7 +1,7 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
-Training counts words and character n-grams per language over a bounded sample of the labelled documents, chosen by a hash of
-the key; the sample's size, the vocabulary's size and the n-gram lengths are parameters.  Prediction reads every whole text: a
+Training counts words and character n-grams per language over a bounded sample of the labelled documents, drawn by language with
+a hash of the key; the sample's size, the vocabulary's size and the n-gram lengths are parameters.  Prediction reads every whole text: a
 word in the vocabulary scores its log frequency per language, any other word backs off to its n-grams of the greatest length at
 which one of them is known, down to single letters.
 """
@@ -14,12 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adlattice.operators.scale import top_n
 from adlattice.session import materialise
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+#: Documents that a language gives to the sample at least, if it has them.
+LEAST = 20
 
 
 def text_words(text: str) -> list[str]:
@@ -104,17 +107,34 @@ class Scorer:
         return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
+def quotas(sizes: dict[str, int], total: int) -> dict[str, float]:
+    """Documents to take of each language: alike, and what a small one leaves goes to the others; ``LEAST`` even if that exceeds ``total``."""
+    out, left = {}, float(total)
+    for k, x in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[x] = min(float(sizes[x]), max(left / (len(sizes) - k), LEAST))
+        left -= out[x]
+    return out
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = 20_000,
           max_words: int = 50_000, max_grams: int = 50_000, orders: tuple[int, ...] = (4, 3, 2, 1)) -> Model:
     """Fit on about ``sample`` labelled documents outside the held-out fold, whole texts; fewer if there are fewer.
 
-    The documents are those with the smallest hashes of their key, so reruns agree.  At most ``max_words`` words and, of every
-    order, ``max_grams`` n-grams stay, the most frequent ones over all languages (ties by text).
+    Every language has its quota, and takes the documents with the smallest hashes of their key (of the text without a key), so
+    reruns agree.  At most ``max_words`` words and, of every order, ``max_grams`` n-grams stay: each language's most frequent
+    ones, rank by rank (ties: the more frequent one over all languages, then by text).
     """
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("key", folds))
-    n = own.count()
-    draw = F.coalesce(F.crc32(F.concat(F.lit("sample:"), F.col("key").cast("string")).cast("binary")), F.lit(0)) / F.lit(float(1 << 32))
-    chosen = own.where(draw < sample / n) if n > sample else own
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    chosen = own
+    if sum(sizes.values()) > sample:
+        mark = F.coalesce(F.concat(F.lit("sample:"), F.col("key").cast("string")), F.concat(F.lit("text:"), F.col("text")))
+        draw = F.crc32(mark.cast("binary")) / F.lit(float(1 << 32))
+        quota = quotas(sizes, sample)
+        # languages that are taken whole are the default
+        rates = {x: quota[x] / n for x, n in sizes.items() if quota[x] < n}
+        rate = F.coalesce(F.create_map(*[F.lit(v) for pair in rates.items() for v in pair])[F.col("lang")], F.lit(1.0))
+        chosen = own.where(draw < rate)
 
     def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch: counts of every word (order 0) and n-gram by language."""
@@ -144,8 +164,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         sums[r["n"]][column[r["lang"]]] = r["c"]
     tables: dict[int, dict[str, list[int]]] = {}
     for o in (0, *orders):
-        top = (counted.where(F.col("n") == o).groupBy("piece").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
-               .where(F.col("c") > 1).orderBy(F.desc("c"), "piece").limit(max_grams if o else max_words).select("piece", "by"))
+        most = max_grams if o else max_words
+        by_piece = (counted.where(F.col("n") == o).groupBy("piece").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where(F.col("all") > 1))
+        order = [F.desc("c"), F.desc("all"), F.col("piece")]
+        first = top_n(by_piece.select("piece", "all", "by", F.explode("by").alias("lang", "c")), ["lang"], order, most, "piece")
+        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+        top = (ranked.groupBy("piece").agg(F.min("rank").alias("rank"), F.max("all").alias("all"), F.first("by").alias("by"))
+               .orderBy("rank", F.desc("all"), "piece").limit(most).select("piece", "by"))
         rows = top.toArrow()
         tables[o] = {}
         for piece, by in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):

@@ -53,3 +53,23 @@ def test_sample_is_bounded(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     small = langid.train(source, sample=50, max_words=100, max_grams=60)
     assert len(small.words[0]) <= 100 and all(len(t) <= 60 for t, _ in small.ngrams.values())
+
+
+def test_rare_languages_are_learnt(spark):
+    """A language with a thousandth of the documents is drawn, and keeps its words beside a large one's."""
+    texts = [" ".join(f"{a}{b}ing" for a in ("war", "bed", "sol", "tun") for b in "bdfgk") + f" {chr(97 + i % 26)}om" for i in range(4000)] + ["zxqv qvzx vqxz zxqv"] * 4
+    langs = ["en"] * 4000 + ["zz"] * 4
+    ids = [5 * i + 1 for i in range(4004)]
+    rows = docs(spark, texts, langs=langs, ids=ids)
+    model = langid.train(rows, sample=100, max_words=6, max_grams=40)
+    assert model.languages == ["en", "zz"] and {"zxqv", "qvzx", "vqxz"} & set(model.words[0]) and len(model.words[0]) == 6
+    assert langid.Scorer(model).predict("zxqv qvzx")[0] == "zz" and langid.Scorer(model).predict("warbing bedding")[0] == "en"
+    assert langid.quotas({"a": 3, "b": 1000, "c": 1000}, 103) == {"a": 3.0, "b": 50.0, "c": 50.0}
+
+
+def test_rows_without_key_are_drawn(spark):
+    """Null keys do not escape the bound of the sample."""
+    words = [f"{a}{b}{c}" for a in "bcdfghklm" for b in "aeiou" for c in "nrst"]
+    rows = docs(spark, [f"{words[i % 180]} {words[i // 180]}" for i in range(3000)], ids=[None] * 3000)
+    model = langid.train(rows, sample=100)
+    assert len(model.words[0]) < 120 and model.languages == ["en"]
