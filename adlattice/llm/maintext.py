@@ -4,7 +4,7 @@ Each block node gets its characters per tag, adjusted for links: with C characte
 body's share of link characters, the density is ``C/T * log_base(C/LC * T/LT)`` with ``base = ln(C/(C-LC) * LC + LC_b/C_b * C + e)``.
 A node's density sum adds up its children's densities.  The least density on the path from the node of the greatest sum up to
 the body is the threshold: below every node that reaches it, the node of the greatest sum is content, and the article is the
-smallest subtree that holds all content.  Menus, forms, adverts and the like are cut out by tag and name before.
+smallest subtree that holds all content, or the article or main element around it, with the headings and low-link text beside it.  Menus, forms, adverts and the like are cut out by tag and name before.
 """
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ NO_TEXT = frozenset("aside button canvas dialog footer form head iframe menu nav
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KEPT = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that name a part which is not the article.
 NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation
 breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup
@@ -204,7 +205,37 @@ def article(root: Node) -> Node | None:
         while id(n) not in depth:
             n = n.parent
         reach = max(reach, depth[id(n)])
-    return path[reach]
+    found = path[reach]
+    # an article or main is taken whole
+    return next((n for n in path[reach:] if n.tag in ("article", "main")), found)
+
+
+def beside(found: Node, share: float = 0.3) -> list[Node]:
+    """``found`` and, level by level up to a main element or the root, what belongs to it, in page order.
+
+    Those are headings before it and, unless it is an article, all blocks and loose texts with few links.
+    """
+    out, n, whole = [found], found, found.tag == "article"
+    while n.parent is not None and n.tag != "main":
+        kids = [k for k in n.parent.items if isinstance(k, Node) and not k.dropped]
+        own, own_links = (getattr(n.parent, c) - sum(getattr(k, c) for k in kids) for c in ("chars", "link_chars"))
+        before, after, passed = [], [], False
+        for k in n.parent.items:
+            side = after if passed else before
+            if k is n:
+                passed = True
+            elif isinstance(k, str):
+                if not whole and own_links <= share * own:
+                    if not side or side[-1].tag != "#":
+                        side.append(Node("#", None, False))
+                    side[-1].items.append(k)
+            elif k.dropped or k.link_chars > share * k.chars:
+                if side and side[-1].tag == "#":
+                    side.append(Node("", None, True))
+            elif not whole or not passed and k.tag in HEADINGS:
+                side.append(k)
+        out, n = [*before, *out, *after], n.parent
+    return out
 
 
 def blocks(node: Node) -> list[str]:
@@ -233,7 +264,7 @@ def blocks(node: Node) -> list[str]:
 
 def main_text(page: str | None) -> str:
     found = article(parse(page)) if page else None
-    return "\n".join(blocks(found)) if found is not None else ""
+    return "\n".join(line for n in beside(found) if not n.dropped for line in blocks(n)) if found is not None else ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

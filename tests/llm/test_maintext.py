@@ -27,6 +27,16 @@ def test_pages(body, want):
     assert maintext.main_text(page(body)) == "\n".join(" ".join(w.split()) for w in want)
 
 
+@pytest.mark.parametrize("body, want", [
+    (f"<main><h1>A headline of some forty characters here</h1><div><p>{LONG * 7}</p><p>{LONG * 7}</p></div></main>", ["A headline of some forty characters here", LONG * 7, LONG * 7]),
+    (f"<main><section><p>{LONG}</p></section><section><p>{LONG * 7}</p><p>{LONG * 7}</p></section></main>", [LONG, LONG * 7, LONG * 7]),
+    (f"<h1>Headline</h1><div><p>{LONG * 7}</p><p>{LONG * 7}</p></div>", ["Headline", LONG * 7, LONG * 7]),
+    (f"<div><h1>Headline</h1><article><p>{LONG * 7}</p></article></div>", ["Headline", LONG * 7]),
+])
+def test_short_parts_beside_a_long_one(body, want):
+    assert maintext.main_text(page(body)) == "\n".join(" ".join(w.split()) for w in want)
+
+
 @pytest.mark.parametrize("bad, want", [(None, ""), ("", ""), ("<p>cut <b", "cut"), ("plain", "plain"), ("a < b", "a < b"), ("<!-- open", ""), ("<script>x", ""), ("<nav>x</nav>", ""), ("</p></div>x", "x"), ('<p a="open>x</p>', "x")])
 def test_broken(bad, want):
     assert maintext.main_text(bad) == want
