@@ -4,7 +4,8 @@ Each block node gets its characters per tag, adjusted for links: with C characte
 body's share of link characters, the density is ``C/T * log_base(C/LC * T/LT)`` with ``base = ln(C/(C-LC) * LC + LC_b/C_b * C + e)``.
 A node's density sum adds up its children's densities.  The least density on the path from the node of the greatest sum up to
 the body is the threshold: below every node that reaches it, the node of the greatest sum is content, and the article is the
-smallest subtree that holds all content, or the article or main element around it, with the headings and low-link text beside it.  Menus, forms, adverts and the like are cut out by tag and name before.
+smallest subtree that holds all content, or the article or main element around it, with the headings and low-link text beside it.  Menus, adverts and the like are cut out by tag
+before; forms and parts with such a name are, unless they hold nearly all text.
 """
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
-NO_TEXT = frozenset("aside button canvas dialog footer form head iframe menu nav noscript object select svg template".split())
+NO_TEXT = frozenset("aside button canvas dialog footer head iframe menu nav noscript object select svg template".split())
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KEPT = frozenset("html body main article".split())
@@ -34,25 +35,51 @@ LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]|"[^"]*+"|'[^']*+')*+)>""")
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+WITHOUT = re.compile(r"(?<![a-z0-9])(?:no|has|with)[-_][^\s]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marked")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.items: list = []
+        self.marked = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
 
-def not_article(tag: str, attributes: str, stack: list[Node]) -> bool:
-    if tag in KEPT:
+def not_article(tag: str, stack: list[Node]) -> bool:
+    """Whether the tag alone says that a part has no article text."""
+    return tag not in KEPT and (tag in NO_TEXT or tag == "header" and not any(n.tag in ("article", "main") for n in stack))
+
+
+def suspect(tag: str, attributes: str) -> bool:
+    """Whether a part is a form or named like something else; what a name says is absent or only contained does not count."""
+    if tag in KEPT or tag in VOID:
         return False
-    if tag in NO_TEXT or tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+    if tag == "form":
         return True
     if "=" not in attributes:
         return False
-    return any(not NOT_ARTICLE.isdisjoint(WORD.findall("".join(m.groups("")).lower())) for m in NAMES.finditer(attributes))
+    return any(not NOT_ARTICLE.isdisjoint(WORD.findall(WITHOUT.sub(" ", "".join(m.groups("")).lower()))) for m in NAMES.finditer(attributes))
+
+
+def cut_suspects(root: Node, most: float = 0.8) -> None:
+    """Drops suspect parts, except those with more than ``most`` of the page's text outside of links."""
+    order, todo, own = [], [root], {}
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo.extend(k for k in n.items if isinstance(k, Node) and not k.dropped)
+    if not any(n.marked for n in order):
+        return
+    for n in reversed(order):
+        own[id(n)] = own.get(id(n), 0) + n.chars - n.link_chars
+        if n.parent is not None:
+            own[id(n.parent)] = own.get(id(n.parent), 0) + own[id(n)]
+    for n in order:
+        if n.marked and own[id(n)] <= most * own[id(root)]:
+            n.dropped = True
 
 
 def parse(page: str) -> Node:
@@ -135,7 +162,8 @@ def parse(page: str) -> Node:
                     if stack[i].tag in LIMITS[tag]:
                         break
         top = stack[-1]
-        drop = top.dropped or not_article(tag, m[3], stack)
+        drop = top.dropped or not_article(tag, stack)
+        mark = not drop and suspect(tag, m[3])
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             top.tags += 1
             if tag in ("br", "hr", "wbr") and not top.dropped:
@@ -143,8 +171,9 @@ def parse(page: str) -> Node:
             continue
         if tag == "html":
             continue
-        if tag in BLOCKS or drop and not top.dropped or drop and tag in NO_TEXT:
+        if tag in BLOCKS or mark or drop and not top.dropped or drop and tag in NO_TEXT:
             node = Node(tag, top, drop)
+            node.marked = mark
             if not drop:
                 top.items.append(node)
             else:
@@ -155,6 +184,7 @@ def parse(page: str) -> Node:
         if tag == "a":
             link = True
             top.link_tags += 1
+    cut_suspects(root)
     return root
 
 
@@ -254,6 +284,8 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif isinstance(item, str):
             run.append(item)
+        elif item.dropped and item.marked and item.tag not in BLOCKS:
+            run.append(" ")
         else:
             flush()
             if not item.dropped:

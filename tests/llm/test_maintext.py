@@ -37,6 +37,12 @@ def test_short_parts_beside_a_long_one(body, want):
     assert maintext.main_text(page(body)) == "\n".join(" ".join(w.split()) for w in want)
 
 
+@pytest.mark.parametrize("part", ["div class='content no-sidebar'", "div class='post has-comments'", "section id='search-basics'", "form action=/", "div class='with-banner'"])
+def test_names_and_forms_do_not_cut_the_article(part):
+    got = maintext.main_text(page(f"<nav><a href=/>a</a></nav><{part}><h1>Title</h1><p>{LONG * 3}</p><div class=ad>Buy this</div><p>x <span class=ad>y</span>z</p></{part.split()[0]}>"))
+    assert got == "\n".join(["Title", (LONG * 3).strip(), "x z"])
+
+
 @pytest.mark.parametrize("bad, want", [(None, ""), ("", ""), ("<p>cut <b", "cut"), ("plain", "plain"), ("a < b", "a < b"), ("<!-- open", ""), ("<script>x", ""), ("<nav>x</nav>", ""), ("</p></div>x", "x"), ('<p a="open>x</p>', "x")])
 def test_broken(bad, want):
     assert maintext.main_text(bad) == want
