@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import dedup, langid, lengths, maintext, mixing, ngrams, packing, pii, quality, urls
+from adlattice.llm import anchors, dedup, infill, langid, lengths, maintext, mixing, ngrams, packing, pii, quality, twofit, urls
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
@@ -78,6 +79,21 @@ def op1(spark, folder):
     return pii.find(table(spark, folder, "documents"))
 
 
+@query("op11_fill_in_middle", infill.ORACLE)
+def op11(spark, folder):
+    return infill.digests(table(spark, folder, "documents"))
+
+
+@query("op12_best_two_fit")
+def op12(spark, folder):
+    return twofit.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), BYTE_PATTERN)
+
+
+@query("op13_code_compression", anchors.ORACLE)
+def op13(spark, folder):
+    return anchors.compress(table(spark, folder, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     import corpus_pipeline

@@ -39,5 +39,5 @@ def test_stages(stages):
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in QUERIES if n.startswith("op")} and "pipeline" in QUERIES
-    assert {re.match(r"op\d+", n)[0] for n in ORACLES} == {"op3", "op4", "op5", "op7"}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in QUERIES if n.startswith("op")} and "pipeline" in QUERIES
+    assert {re.match(r"op\d+", n)[0] for n in ORACLES} == {"op3", "op4", "op5", "op7", "op11", "op13"}
