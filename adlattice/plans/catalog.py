@@ -1,12 +1,17 @@
 """Catalog queries."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from adlattice import vocab
 from adlattice.operators import catalog as C
 from adlattice.plans.fixtures import Tables
 from adlattice.plans.registry import query
+from adlattice.session import shared_folder
+from adlattice.sources.files import write_files
+from adlattice.sources.tables import read_specs
 
 _SPEC = "slug, sort_order, media, placement_type, width, height, active"
 
@@ -21,8 +26,7 @@ SELECT media, 'n' || slug AS slug, CASE WHEN sort_order % 9 = 0 THEN 0 ELSE widt
        parse_status = 'parsed_text' AND safe_top IS NOT NULL AND safe_right IS NOT NULL AND safe_bottom IS NOT NULL AND safe_left IS NOT NULL AS has_zone
 FROM fx_spec""")
 def s_project_specs(t: Tables) -> DataFrame:
-    """Raw JSON text built from the parts, parsed with the file schema, then projected."""
-    from adlattice.schemas import SPEC_RAW
+    """Catalog files, each a JSON array of at most 500 parts, written to the shared folder, scanned and projected."""
     o = F.col("sort_order")
     text = F.to_json(F.struct(
         o.alias("id"), "media", F.concat(F.lit("n"), "slug").alias("slug"), "width", "height",
@@ -31,9 +35,11 @@ def s_project_specs(t: Tables) -> DataFrame:
     text = F.when(o % 8 == 0, F.regexp_replace(text, r'"id":(\d+)', r'"id":"$1"')).otherwise(text)
     text = F.when(o % 9 == 0, F.regexp_replace(text, r'"width":(\d+)', r'"width":"wide"')).otherwise(text)
     text = F.when(o % 4 == 2, F.regexp_replace(text, r'"isVideo":false', r'"isVideo":"yes"')).otherwise(text)
-    raw = t.fx_spec.select(text.alias("js"))
-    parsed = raw.select(F.from_json("js", SPEC_RAW).alias("r")).select("r.*")
-    return C.project_specs(parsed).select(
+    shelves = t.fx_spec.groupBy("media", F.floor(o / 500).alias("shelf")).agg(F.array_join(F.collect_list(text), ",\n").alias("js"))
+    place = f"{shared_folder(t.spark).rstrip('/')}/adlattice-catalog-{uuid.uuid4().hex}"
+    write_files(shelves.select(F.concat_ws("-", "media", F.col("shelf").cast("string")).alias("name"), F.concat(F.lit("[\n"), "js", F.lit("\n]\n")).alias("content"))
+                .withColumn("name", F.concat("name", F.lit(".json"))), place)
+    return read_specs(t.spark, place).select(
         "media", "slug", "width", "height", "sort_order", "active", "safe_top", "safe_right", "safe_bottom", "safe_left",
         "parse_status", "is_video", F.col("safe_zone").isNotNull().alias("has_zone"))
 

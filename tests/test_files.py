@@ -1,4 +1,5 @@
 """Real files: pictures, layered-file headers, logs, streams."""
+import hashlib
 import json
 import struct
 import zlib
@@ -7,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from adlattice.sources import images as IM, tables as TB
+from adlattice.sources.files import read_heads, write_files
 from adlattice.streaming import jobs as S
 
 
@@ -39,6 +41,37 @@ def test_scan_sources(spark, tmp_path):
     assert stats["solid.png"].std_r == 0 and stats["mixed.PNG"].std_r > 60 and stats["mixed.PNG"].std_b == 0
 
 
+def test_heads_of_any_size(spark, tmp_path):
+    """A sparse layered file above 2 GB is hashed as it streams; small files share tasks, hidden ones are left out."""
+    big = tmp_path / "deep" / "big.psd"
+    big.parent.mkdir()
+    with open(big, "wb") as f:
+        f.write(psd())
+        f.truncate((1 << 31) + 5)
+    for i in range(10):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * i)
+    (tmp_path / ".hidden").write_bytes(b"x")
+    (tmp_path / "_hidden").write_bytes(b"x")
+    rows = {r.path: r for r in read_heads(spark, f"file:{tmp_path}", headBytes=4, splitBytes=1 << 20).collect()}
+    assert set(rows) == {str(big), *[f"{tmp_path}/{i}.bin" for i in range(10)]}
+    for i in range(10):
+        r = rows[f"{tmp_path}/{i}.bin"]
+        assert (r.bytes, bytes(r.head), r.sha256) == (i, bytes([i]) * min(i, 4), hashlib.sha256(bytes([i]) * i).hexdigest())
+    assert (rows[str(big)].bytes, bytes(rows[str(big)].head)) == ((1 << 31) + 5, b"8BPS")
+    assert read_heads(spark, str(tmp_path), splitBytes=1 << 20).rdd.getNumPartitions() == 2
+    fast = {r.path: r for r in read_heads(spark, str(tmp_path), hash=False).collect()}
+    assert fast[str(big)].bytes == (1 << 31) + 5 and fast[str(big)].sha256 is None
+    assert {r.path.rsplit("/", 1)[1]: r.width for r in IM.scan_psd(spark, str(tmp_path)).collect()}["big.psd"] == 640
+
+
+def test_rows_as_files(spark, tmp_path):
+    rows = [("a/x.txt", "text é"), ("a/b/y.bin", ""), ("z", None)]
+    for _ in range(2):  # writing again replaces
+        write_files(spark.createDataFrame(rows, "name string, content string"), str(tmp_path / "out"))
+    found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"a/x.txt": "text é".encode(), "a/b/y.bin": b"", "z": b""}
+
+
 def test_psd_header_reasons(spark):
     rows = [(n, bytearray(b)) for n, b in (("ok", psd()), ("v2", psd(version=2)), ("short", b"8BPS"), ("sign", psd(sign=b"8BPX")), ("ver", psd(version=7)), ("zero", psd(w=0)))]
     got = {r.n: r.h.reason for r in spark.createDataFrame(rows, "n string, c binary").select("n", IM.psd_header(F.col("c")).alias("h")).collect()}
