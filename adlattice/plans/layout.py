@@ -167,7 +167,7 @@ valid AS (
 
 
 def extracted(t: Tables) -> DataFrame:
-    return LO.candidates(candidate_input(t).filter("role <> 'protected_subject'"))
+    return candidate_input(t).filter("role <> 'protected_subject'")
 
 
 def protected(t: Tables) -> DataFrame:
@@ -175,11 +175,17 @@ def protected(t: Tables) -> DataFrame:
     return mine.select(*LAYOUT, *[F.col(f"p{k}").alias(f"q{k}") for k in "xywh"])
 
 
-def per_object(cands: DataFrame, *cols: Column) -> DataFrame:
-    """One row per object with its candidates in order, each as colon-joined ``cols``; an object has at most a few dozen."""
-    text = F.concat_ws(":", *cols)
-    listed = F.array_sort(F.collect_list(F.struct("cand", text.alias("text"))))
-    return cands.groupBy(*LAYOUT, "object_id").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda c: c["text"]), ";").alias("candidates"))
+def per_object(objects: DataFrame, *fields) -> DataFrame:
+    """One row per object that has candidates, these in order, each as its colon-joined ``fields``.
+
+    An array of structs of plain values is cast to text as a whole and its marks replaced.  The row goes through a generator,
+    as a filter on the array would be pushed below it and compute every candidate twice.
+    """
+    def line(cands: Column) -> Column:
+        cut = F.transform(cands, lambda c: F.struct(*[f(c) if callable(f) else c[f] for f in fields])).cast("string")
+        text = F.replace(F.replace(F.substring(cut, F.lit(3), F.length(cut) - 4), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit(":"))
+        return F.struct(F.size(cands).cast("long").alias("n"), text.alias("candidates"))
+    return objects.select(*LAYOUT, "object_id", F.inline(F.filter(F.transform(F.array("cands"), line), lambda r: r["n"] > 0)))
 
 
 _BOX = ["cand", "cx", "cy", "cw", "ch"]
@@ -189,13 +195,13 @@ _BOX = ["cand", "cx", "cy", "cw", "ch"]
 SELECT job_id, ordinal, object_id, COUNT(*) AS n, string_agg(concat_ws(':', cand, anchor, round(cand_scale * 100)::INT, cx, cy, cw, ch), ';' ORDER BY cand) AS candidates
 FROM cands WHERE role <> 'protected_subject' GROUP BY ALL""")
 def candidate_generation(t: Tables) -> DataFrame:
-    return per_object(extracted(t), F.col("cand"), F.col("anchor"), F.rint(F.col("cand_scale") * 100).cast("int"), *map(F.col, _BOX[1:]))
+    return per_object(LO.candidates(extracted(t)), "cand", "anchor", lambda c: F.rint(c["cand_scale"] * 100).cast("int"), *_BOX[1:])
 
 
 @query("g06_static_constraints", CANDIDATE_SQL + """
 SELECT job_id, ordinal, object_id, COUNT(*) AS n, string_agg(concat_ws(':', cand, cx, cy, cw, ch), ';' ORDER BY cand) AS candidates FROM valid WHERE role <> 'protected_subject' GROUP BY ALL""")
 def static_constraints(t: Tables) -> DataFrame:
-    return per_object(LO.valid_static(extracted(t), protected(t), LAYOUT), *map(F.col, _BOX))
+    return per_object(LO.valid_candidates(extracted(t), protected(t), LAYOUT), *_BOX)
 
 
 _PRIO_SQL = "CASE role " + " ".join(f"WHEN '{r}' THEN {p}" for r, p in vocab.ROLE_PRIORITY.items()) + " ELSE 99 END"
@@ -220,24 +226,20 @@ verdicts AS (SELECT o.job_id, o.ordinal, COUNT(f.k) AS placed, COUNT(*) FILTER (
 """
 
 
-def greedy(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(extracted objects, what the greedy pass places of them)."""
-    wanted = candidate_input(t).filter("role <> 'protected_subject'").select(*LAYOUT, "object_id", "required")
-    return wanted, LO.place(LO.valid_static(extracted(t), protected(t), LAYOUT), LAYOUT)
+def greedy(t: Tables) -> DataFrame:
+    return LO.layouts(LO.valid_candidates(extracted(t), protected(t), LAYOUT), LAYOUT)
 
 
 @query("g07_greedy_placement", _GREEDY_SQL + """
 SELECT f.job_id, f.ordinal, k.o AS object_id, k.a AS anchor, k.x AS cx, k.y AS cy, k.w AS cw, k.h AS ch FROM fin f JOIN verdicts v USING (job_id, ordinal) WHERE v.unmet = 0""")
 def greedy_placement(t: Tables) -> DataFrame:
     """Placements of the layouts that succeed; a failed one has none."""
-    wanted, placed = greedy(t)
-    return LO.laid_out(wanted, placed, LAYOUT).select(*LAYOUT, "object_id", "anchor", "cx", "cy", "cw", "ch")
+    return greedy(t).filter("code IS NULL").select(*LAYOUT, F.inline("kept")).select(*LAYOUT, "object_id", "anchor", "cx", "cy", "cw", "ch")
 
 
 @query("g07_placement_outcome", _GREEDY_SQL + "SELECT job_id, ordinal, CASE WHEN unmet > 0 THEN 'NO_VALID_CANDIDATES' END AS code, unmet, placed FROM verdicts")
 def placement_outcome(t: Tables) -> DataFrame:
-    wanted, placed = greedy(t)
-    return LO.placement_outcome(wanted, placed, LAYOUT).select(*LAYOUT, "code", "unmet", "placed")
+    return greedy(t).select(*LAYOUT, "code", "unmet", "placed")
 
 
 @query("q04_validate_layout", f"""
