@@ -434,27 +434,6 @@ def scan_terms(texts: DataFrame, terms: Sequence[str], key: str) -> DataFrame:
         key, (F.col("pos") + 1).alias("line_no"), F.explode(found).alias("term"), F.trim("line").alias("line"))
 
 
-def scan_term_table(texts: DataFrame, terms: DataFrame, key: str, seed: int = 12) -> DataFrame:
-    """The same for a term table of any size: an equi-join on a term's first characters, then the exact test.
-
-    A line offers each of its distinct character runs of the seed length.  Terms shorter than the seed are their own
-    seed, so runs of each occurring seed length (at most ``seed`` numbers) are offered.
-    """
-    seeded = terms.filter(F.length("term") > 0).select("term").distinct().withColumn("_seed", F.substring("term", 1, seed))
-    lengths = [r[0] for r in seeded.select(F.length("_seed")).distinct().collect()]
-    lines = _lines(texts, key)
-
-    def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("line") - n + 1)
-        cut = F.transform(starts, lambda i: F.substring(F.col("line"), i, F.lit(n)))
-        return F.when(F.length("line") >= n, cut).otherwise(F.array().cast("array<string>"))
-    runs = F.flatten(F.array(*[runs_of(n) for n in lengths]))
-    offered = lines.select(key, "pos", F.explode(F.array_distinct(runs)).alias("_seed"))
-    near = offered.join(seeded, "_seed").select(key, "pos", "term")
-    return (near.join(lines, [key, "pos"]).filter(F.contains("line", F.col("term")))
-            .select(key, (F.col("pos") + 1).alias("line_no"), "term", F.trim("line").alias("line")))
-
-
 def element_lines(elements: DataFrame) -> DataFrame:
     """Prompt line of each detected element."""
     return elements.withColumn("line", F.format_string("- [%s] %s (importance: %s, group: %s)", "type", "label", "importance", "group"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from adlattice import vocab
 from adlattice.functions import answers as A, text as T
 from adlattice.operators import objects as O
+from adlattice.operators.terms import scan_term_table
 from adlattice.plans.fixtures import Tables
 from adlattice.plans.registry import query
 
@@ -221,7 +222,7 @@ def f_scan(t: Tables) -> DataFrame:
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), k AS (SELECT DISTINCT text AS term FROM benchmark WHERE length(text) > 0)
 SELECT doc_id, line_no::INT AS line_no, term FROM l JOIN k ON contains(line, term)""")
 def f_scan_table(t: Tables) -> DataFrame:
-    return O.scan_term_table(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("text").alias("term")), "doc_id").select("doc_id", "line_no", "term")
+    return scan_term_table(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("text").alias("term")), "doc_id", with_line=False).select("doc_id", "line_no", "term")
 
 
 @query("f19_content_hash", "SELECT doc_id, sha256(text) AS full_hash, left(sha256(text), 16) AS short_hash FROM documents")
