@@ -1,4 +1,7 @@
-"""Streaming queries over the event and line tables; each stream is drained once and its output read back."""
+"""Streaming queries over the event and line tables; each stream is drained once and its output read back.
+
+The event log is written as waves in time order and read a wave per micro-batch, so state carries over several of them.
+"""
 from __future__ import annotations
 
 import uuid
@@ -16,23 +19,33 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return t.spark.readStream.option("maxFilesPerTrigger", 64).schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
+WAVES, WAVE_FILES = 4, 4
+
+
 def event_stream(t: Tables) -> DataFrame:
-    return t.spark.sql(VIEWS["fx_event"], events=_stream(t, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    """Events as a stream of ``WAVES`` micro-batches."""
+    place = f"{_place(t)}/log"
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = t.fx_event.select(us.alias("us")).approxQuantile("us", [i / WAVES for i in range(1, WAVES)], 0.001)
+    wave = F.lit(0)
+    for c in cuts:
+        wave = wave + (us > int(c)).cast("int")
+    for i in range(WAVES):  # one after the other, as files are taken by their age
+        t.fx_event.filter(wave == i).repartition(WAVE_FILES).write.mode("append").parquet(place)
+    log = t.spark.readStream.option("maxFilesPerTrigger", WAVE_FILES).schema(t.fx_event.schema).parquet(place)
+    return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _place(t: Tables) -> str:
     return f"{shared_folder(t.spark).rstrip('/')}/adlattice-stream-{uuid.uuid4().hex}"
 
 
-def drain(t: Tables, frame: DataFrame, once: bool = False) -> DataFrame:
-    """Runs a stream over all present files into a Parquet table and reads that table.
-
-    ``once`` takes a single micro-batch: state with a processing-time limit asks for further batches without end.
-    """
+def drain(t: Tables, frame: DataFrame) -> DataFrame:
+    """Runs a stream over all present files into a Parquet table and reads that table."""
     S.prepare(t.spark)
     place = _place(t)
     (frame.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/table")
-     .trigger(**({"once": True} if once else {"availableNow": True})).start().awaitTermination())
+     .trigger(availableNow=True).start().awaitTermination())
     return t.spark.read.schema(frame.schema).parquet(f"{place}/table")
 
 
@@ -84,8 +97,8 @@ SELECT job_id, arg_max(st, {'t': ts, 'e': event_id}) AS status, MAX(ts) AS updat
 @query("k03_job_state", _STATE)
 def k_state(t: Tables) -> DataFrame:
     """Latest status from the stream of changes."""
-    changes = drain_batches(t, S.job_state(event_stream(t)), "update")
-    return changes.groupBy("job_id").agg(F.max_by("status", "updated_at").alias("status"), F.max("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    changes = drain(t, S.job_state(event_stream(t)))
+    return changes.groupBy("job_id").agg(F.max_by("status", F.struct("updated_at", "event_id")).alias("status"), F.max("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query("k03_job_state_batch", _STATE)
@@ -109,22 +122,24 @@ def k_stuck(t: Tables) -> DataFrame:
     return drain(t, S.stuck_jobs(calls(event_stream(t))))
 
 
-@query("k05_cached_lookup", "WITH r AS (SELECT doc_id, left(sha256(text), 16) AS k FROM documents), f AS (SELECT k, MIN(doc_id) AS m FROM r GROUP BY 1) SELECT k AS cache_key, doc_id AS request_id, doc_id <> m AS cache_hit, m AS served_by FROM r JOIN f USING (k)")
+_CACHE_KEY = "concat(stage, '/', CAST(job_id % 25 AS VARCHAR(9)))"
+
+
+@query("k05_cached_lookup", f"""WITH RECURSIVE r AS (SELECT {_CACHE_KEY} AS k, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY {_CACHE_KEY} ORDER BY epoch_ms(ts), event_id) AS rn FROM fx_event),
+w AS (SELECT k, rn, event_id, ms, event_id AS via, ms + 3600000 AS ends FROM r WHERE rn = 1
+      UNION ALL SELECT r.k, r.rn, r.event_id, r.ms, CASE WHEN r.ms > w.ends THEN r.event_id ELSE w.via END, CASE WHEN r.ms > w.ends THEN r.ms + 3600000 ELSE w.ends END FROM w JOIN r ON r.k = w.k AND r.rn = w.rn + 1)
+SELECT k AS cache_key, event_id AS request_id, event_id <> via AS cache_hit, via AS served_by FROM w""")
 def k_cache(t: Tables) -> DataFrame:
-    requests = _stream(t, "documents").select(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("cache_key"), F.col("doc_id").alias("request_id"))
-    return drain(t, S.cached_lookup(requests), once=True)
+    """Requests from the event log; entries expire in event time."""
+    requests = event_stream(t).select(F.expr(_CACHE_KEY).alias("cache_key"), F.col("event_id").alias("request_id"), "ts")
+    return drain(t, S.cached_lookup(requests))
 
 
-@query("k06_live_counts", f"WITH z AS ({_STATE.replace('WITH s AS', 'WITH s AS', 1)}) SELECT status, COUNT(*)::BIGINT AS jobs FROM z GROUP BY 1")
+@query("k06_live_counts", f"WITH z AS ({_STATE}) SELECT status, COUNT(*)::BIGINT AS jobs FROM z GROUP BY 1")
 def k_counts(t: Tables) -> DataFrame:
-    """Status changes are a table of their own; a second stream counts them."""
-    changes = drain_batches(t, S.job_state(event_stream(t)), "update")
-    place = _place(t)
-    changes.drop("batch").write.parquet(place)
-    again = t.spark.readStream.schema(changes.drop("batch").schema).parquet(place)
-    out = drain_batches(t, S.live_counts(again), "complete")
-    last = out.select(F.max("batch")).scalar()
-    return out.filter(F.col("batch") == last).select("status", "jobs").filter("jobs <> 0")
+    """One stream: status changes feed the counts."""
+    out = drain(t, S.live_counts(S.job_state(event_stream(t))))
+    return out.groupBy("status").agg(F.max_by("jobs", "version").alias("jobs")).filter("jobs <> 0")
 
 
 @query("k07_stage_counts", """
@@ -143,6 +158,15 @@ def k_sessions(t: Tables) -> DataFrame:
     return S.job_sessions_batch(t.fx_event).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
+@query("k07_job_sessions_stream", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM fx_event WINDOW w AS (PARTITION BY job_id ORDER BY ts)), s AS (SELECT *, SUM(brk) OVER (PARTITION BY job_id ORDER BY ts) AS sid FROM g),
+f AS (SELECT job_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS n FROM s GROUP BY job_id, sid)
+SELECT job_id, session_start, session_end, n FROM f WHERE epoch_ms(session_end) <= (SELECT epoch_ms(MAX(ts)) - 600000 FROM fx_event)""")
+def k_sessions_stream(t: Tables) -> DataFrame:
+    """Sessions that the watermark has passed; the last ones stay open."""
+    return drain(t, S.job_sessions(event_stream(t))).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
 @query("k07_stage_counts_stream", """WITH wm AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS w FROM fx_event)
 SELECT date_trunc('hour', ts) AS window_start, stage, event, COUNT(*) AS n FROM fx_event, wm WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= w GROUP BY 1, 2, 3""")
 def k_stage_stream(t: Tables) -> DataFrame:

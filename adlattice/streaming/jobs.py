@@ -1,12 +1,15 @@
 """Structured Streaming over job messages and stage events.
 
-Keyed state holds one small value per job.  Within a micro-batch the rows of a key are ordered by time; the size of a
-micro-batch is bounded at the source (``maxFilesPerTrigger``).  Windows and watermarks are choices of this library.
+Keyed state holds one small value per job.  A micro-batch reaches it in two steps: the events of a job and an hour fold into
+one row (what the hour begins and ends with; results that the hour settles alone pass by), and state takes one row per hour,
+so a hot job keeps a few rows where it had all its events.  The size of a micro-batch is bounded at the source
+(``maxFilesPerTrigger``).  Windows and watermarks are choices of this library.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -52,19 +55,50 @@ def stream_specs(messages: DataFrame, specs: DataFrame) -> DataFrame:
 
 # --- in-flight duplicates ----------------------------------------------------------------------------------------
 
+LANES = 64  # settled rows pass state by in this many groups of a job; lane 0 is state's own
+
+
+def _hours(events: DataFrame, *more: str) -> DataFrame:
+    """job_id, event_id, microseconds and kind of timed events, dealt to slices of a job."""
+    us = _micros(F.col("ts"))
+    return events.select("job_id", "event_id", us.alias("us"), "kind", *more).withColumn("slice", F.floor(F.col("us") / SLICE_US))
+
+
+def _columns(rows: Iterator[pd.DataFrame], *names: str) -> list[np.ndarray]:
+    """The named columns of all rows, one array each."""
+    parts = [[f[n].to_numpy() for n in names] for f in rows]
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+_CALL_SLICE = "job_id long, lane int, event_id long, us long, starts boolean, last_starts boolean, verdict string"
+
+
+def _fold_calls(key: tuple, calls: pd.DataFrame) -> pd.DataFrame:
+    """A slice's first call, with what the slice ends in, and the verdict of every later start: the call before it is here."""
+    calls = calls.sort_values(["us", "event_id"])
+    starts = calls["kind"].eq("start").to_numpy()
+    head = {"job_id": key[0], "lane": 0, "event_id": calls["event_id"].iloc[0], "us": calls["us"].iloc[0], "starts": bool(starts[0]), "last_starts": bool(starts[-1]), "verdict": None}
+    later = np.flatnonzero(starts[1:]) + 1
+    settled = pd.DataFrame({"job_id": key[0], "lane": 1 + int(key[1]) % LANES, "event_id": calls["event_id"].to_numpy()[later], "us": calls["us"].to_numpy()[later],
+                            "starts": True, "last_starts": True, "verdict": np.where(starts[later - 1], "DUPLICATE", "ACCEPTED")})
+    return pd.concat([pd.DataFrame([head]), settled]) if len(settled) else pd.DataFrame([head])
+
+
 class _InFlight(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._active = handle.getValueState("active", "active boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        before = self._active.get()[0] if self._active.exists() else False
-        starts = batch["kind"].eq("start")
-        active = starts.shift(fill_value=bool(before))
-        self._active.update((bool(starts.iloc[-1]),))
-        out = batch[starts]
-        verdict = active[starts].map({True: "DUPLICATE", False: "ACCEPTED"})
-        yield pd.DataFrame({"job_id": key[0], "event_id": out["event_id"], "verdict": verdict})
+        if key[1]:
+            for frame in rows:
+                yield frame[["job_id", "event_id", "verdict"]]
+            return
+        event_id, us, starts, last = _columns(rows, "event_id", "us", "starts", "last_starts")
+        order = np.lexsort((event_id, us))
+        event_id, starts, last = event_id[order], starts[order].astype(bool), last[order].astype(bool)
+        active = np.append(bool(self._active.get()[0]) if self._active.exists() else False, last[:-1])
+        self._active.update((bool(last[-1]),))
+        yield pd.DataFrame({"job_id": key[0], "event_id": event_id[starts], "verdict": np.where(active[starts], "DUPLICATE", "ACCEPTED")})
 
     def close(self) -> None:
         pass
@@ -73,9 +107,10 @@ class _InFlight(StatefulProcessor):
 def dedupe_active(calls: DataFrame) -> DataFrame:
     """Verdict per start: DUPLICATE while the job is active; a finish releases it, and a later start is accepted again.
 
-    ``calls``: job_id, event_id, ts, kind (start or finish).
+    ``calls``: job_id, event_id, ts, kind (start or finish).  State sees one row per hour of a job.
     """
-    return calls.groupBy("job_id").transformWithStateInPandas(
+    slices = _hours(calls).groupBy("job_id", "slice").applyInPandas(_fold_calls, _CALL_SLICE)
+    return slices.groupBy("job_id", "lane").transformWithStateInPandas(
         _InFlight(), "job_id long, event_id long, verdict string", "Append", "None")
 
 
@@ -111,17 +146,20 @@ class _Machine(StatefulProcessor):
         if last is None:
             return
         self._state.update((last["status"], *best))
-        yield pd.DataFrame({"job_id": [key[0]], "old_status": [old], "status": [last["status"]], "updated_at": [last["ts"]]})
+        yield pd.DataFrame({"job_id": [key[0]], "old_status": [old], "status": [last["status"]], "updated_at": [last["ts"]], "event_id": [int(last["event_id"])]})
 
     def close(self) -> None:
         pass
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """Stream of status changes: one row per job and micro-batch with the old and the new status."""
+    """Stream of status changes: one row per job and micro-batch with the old and the new status, its time and its event.
+
+    The last change of a job is the one with the greatest (updated_at, event_id): times alone may be equal.
+    """
     changes = events.withColumn("status", job_status("event")).filter("status IS NOT NULL").select("job_id", "event_id", "ts", "status")
     return changes.groupBy("job_id").transformWithStateInPandas(
-        _Machine(), "job_id long, old_status string, status string, updated_at timestamp", "Update", "None")
+        _Machine(), "job_id long, old_status string, status string, updated_at timestamp, event_id long", "Append", "None")
 
 
 def job_state_batch(events: DataFrame) -> DataFrame:
@@ -129,11 +167,41 @@ def job_state_batch(events: DataFrame) -> DataFrame:
     return changes.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("updated_at"))
 
 
+def _net(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Gains and losses of every status within a task: a row per status."""
+    net: dict[str, int] = {}
+    for f in frames:
+        for status, n in f.groupby("status")["n"].sum().items():
+            net[status] = net.get(status, 0) + int(n)
+    if net:
+        yield pd.DataFrame({"status": list(net), "n": list(net.values())})
+
+
+class _Tally(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._held = handle.getValueState("held", "jobs long, version long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        jobs, version = self._held.get() if self._held.exists() else (0, 0)
+        for frame in rows:
+            jobs += int(frame["n"].sum())
+        self._held.update((jobs, version + 1))
+        yield pd.DataFrame({"status": [key[0]], "jobs": [jobs], "version": [version + 1]})
+
+    def close(self) -> None:
+        pass
+
+
 def live_counts(changes: DataFrame) -> DataFrame:
-    """Jobs per status from a stream of status changes (complete mode): the new status gains one, the old loses one."""
-    moves = F.array_compact(F.array(F.struct(F.col("status").alias("status"), F.lit(1).alias("n")),
-                                    F.when(F.col("old_status").isNotNull(), F.struct(F.col("old_status").alias("status"), F.lit(-1).alias("n")))))
-    return changes.select(F.explode(moves).alias("m")).groupBy("m.status").agg(F.sum("m.n").alias("jobs"))
+    """Jobs per status, chained to a stream of status changes: the new status gains one, the old loses one.
+
+    Tasks net their moves first, so state takes a row per status and task.  Every micro-batch that moves a status appends its
+    new count; of a status the greatest ``version`` is the latest.
+    """
+    moves = F.array_compact(F.array(F.struct(F.col("status").alias("status"), F.lit(1).cast("long").alias("n")),
+                                    F.when(F.col("old_status").isNotNull(), F.struct(F.col("old_status").alias("status"), F.lit(-1).cast("long").alias("n")))))
+    net = changes.select(F.inline(moves)).mapInPandas(_net, "status string, n long")
+    return net.groupBy("status").transformWithStateInPandas(_Tally(), "status string, jobs long, version long", "Append", "None")
 
 
 def any_active(counts: DataFrame) -> DataFrame:
@@ -142,6 +210,22 @@ def any_active(counts: DataFrame) -> DataFrame:
 
 # --- timeouts ----------------------------------------------------------------------------------------------------
 
+_RUN_SLICE = "job_id long, lane int, event_id long, first_ms long, last_ms long, open boolean, ts timestamp"
+
+
+def _fold_runs(limit_ms: int):
+    def fold(key: tuple, calls: pd.DataFrame) -> pd.DataFrame:
+        """A slice's first time and its last call; starts that a later call of the slice shows to be overdue pass state by."""
+        calls = calls.sort_values(["us", "event_id"])
+        ms, starts, event_id = calls["us"].to_numpy() // 1000, calls["kind"].eq("start").to_numpy(), calls["event_id"].to_numpy()
+        late = np.flatnonzero(starts[:-1] & (np.diff(ms) > limit_ms))
+        n = 1 + len(late)
+        at = np.append(len(ms) - 1, late)
+        return pd.DataFrame({"job_id": [key[0]] * n, "lane": [0] + [1 + int(key[1]) % LANES] * len(late), "event_id": event_id[at], "first_ms": np.append(ms[0], ms[late]),
+                             "last_ms": ms[at], "open": starts[at], "ts": [calls["ts"].iloc[-1]] * n})
+    return fold
+
+
 class _Watchdog(StatefulProcessor):
     def __init__(self, seconds: int):
         self._ms = seconds * 1000
@@ -151,18 +235,24 @@ class _Watchdog(StatefulProcessor):
         self._open = handle.getValueState("open", "event_id long, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        found = []
-        current = tuple(self._open.get()) if self._open.exists() else None
-        if current:
-            self._handle.deleteTimer(current[1])
-        for event_id, ms, kind in zip(batch["event_id"], (batch["ts"].astype("int64") // 1000 if batch["ts"].dtype == "datetime64[us]" else batch["ts"].astype("int64") // 1_000_000), batch["kind"]):
-            if current and ms > current[1]:
-                found.append(current[0])
-            current = (int(event_id), int(ms) + self._ms) if kind == "start" else None
-        if current:
-            self._open.update(current)
-            self._handle.registerTimer(current[1])
+        if key[1]:
+            for frame in rows:
+                yield frame[["job_id", "event_id"]]
+            return
+        event_id, first, last, opens = _columns(rows, "event_id", "first_ms", "last_ms", "open")
+        order = np.lexsort((event_id, first))
+        event_id, first, last, opens = event_id[order], first[order], last[order], opens[order].astype(bool)
+        # the call that is open when each slice begins: the one before it, and for the first slice what state holds
+        before_id, due = np.append(-1, event_id[:-1]), np.append(0, last[:-1] + self._ms)
+        was_open = np.append(False, opens[:-1])
+        if self._open.exists():
+            before_id[0], due[0] = self._open.get()
+            was_open[0] = True
+            self._handle.deleteTimer(int(due[0]))
+        found = before_id[was_open & (first > due)]
+        if opens[-1]:
+            self._open.update((int(event_id[-1]), int(last[-1]) + self._ms))
+            self._handle.registerTimer(int(last[-1]) + self._ms)
         elif self._open.exists():
             self._open.clear()
         yield pd.DataFrame({"job_id": [key[0]] * len(found), "event_id": found})
@@ -179,8 +269,10 @@ class _Watchdog(StatefulProcessor):
 
 
 def stuck_jobs(calls: DataFrame, seconds: int = STUCK_SECONDS, late: str = "10 minutes") -> DataFrame:
-    """Starts without any further call of their job within the limit, found by event-time timers."""
-    return _timed(calls, late).groupBy("job_id").transformWithStateInPandas(
+    """Starts without any further call of their job within the limit, found by event-time timers.  State sees one row per hour of a job."""
+    timed = calls.withColumn("ts", F.col("ts").cast("timestamp"))
+    slices = _hours(timed, "ts").groupBy("job_id", "slice").applyInPandas(_fold_runs(seconds * 1000), _RUN_SLICE).withWatermark("ts", late)
+    return slices.groupBy("job_id", "lane").transformWithStateInPandas(
         _Watchdog(seconds), "job_id long, event_id long", "Append", "EventTime")
 
 
@@ -203,24 +295,46 @@ class _Cache(StatefulProcessor):
         self._ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._value = handle.getValueState("value", "first_id long", self._ttl)
+        self._handle = handle
+        self._entry = handle.getValueState("entry", "first_id long, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ids = pd.concat(list(rows))["request_id"].sort_values()
-        held = self._value.get()[0] if self._value.exists() else None
-        if held is None:
-            held = int(ids.iloc[0])
-            self._value.update((held,))
-        yield pd.DataFrame({"cache_key": key[0], "request_id": ids, "cache_hit": ids != held, "served_by": held})
+        request_id, ms = _columns(rows, "request_id", "ms")
+        order = np.lexsort((request_id, ms))
+        request_id, ms = request_id[order], ms[order]
+        held = tuple(self._entry.get()) if self._entry.exists() else None
+        if held:
+            self._handle.deleteTimer(held[1] + 1)
+        by, at = np.empty(len(ms), np.int64), 0
+        while at < len(ms):  # a step per entry, not per request
+            if held is None or ms[at] > held[1]:
+                held = (int(request_id[at]), int(ms[at]) + self._ttl)
+            end = int(np.searchsorted(ms, held[1], "right"))
+            by[at:end] = held[0]
+            at = end
+        self._entry.update(held)
+        self._handle.registerTimer(held[1] + 1)
+        yield pd.DataFrame({"cache_key": key[0], "request_id": request_id, "cache_hit": by != request_id, "served_by": by})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # no later request can reach the entry: its state goes
+        if self._entry.exists() and self._entry.get()[1] < expiredTimerInfo.getExpiryTimeInMs():
+            self._entry.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def cached_lookup(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """Hit flag per request (cache_key, request_id); an entry lives for the given time after its first request."""
-    return requests.groupBy("cache_key").transformWithStateInPandas(
-        _Cache(ttl_seconds * 1000), "cache_key string, request_id long, cache_hit boolean, served_by long", "Append", "ProcessingTime")
+def cached_lookup(requests: DataFrame, ttl_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Hit flag per request (cache_key, request_id, ts) and the request whose entry serves it, in event time.
+
+    An entry lives ``ttl_seconds`` from the request that missed, however often it is hit; the first request after that misses
+    again.  Timers drop the state of entries that the watermark has passed.
+    """
+    timed = requests.select("cache_key", "request_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return timed.groupBy("cache_key").transformWithStateInPandas(
+        _Cache(ttl_seconds * 1000), "cache_key string, request_id long, cache_hit boolean, served_by long", "Append", "EventTime")
 
 
 # --- event log ---------------------------------------------------------------------------------------------------
@@ -232,11 +346,75 @@ def stage_counts(events: DataFrame, width: str = "1 hour", slide: str | None = N
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "stage", "event", "n"))
 
 
-def job_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Bursts of events per job."""
-    marked = _timed(events, late)
-    return (marked.groupBy("job_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
-            .select("job_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"))
+_BURST = "job_id long, first_us long, last_us long, n long, ts timestamp"
+
+
+def _fold_bursts(gap_us: int):
+    def fold(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+        """The bursts of a slice: first and last time and number of events."""
+        events = events.sort_values("us")
+        us = events["us"].to_numpy()
+        starts = np.flatnonzero(np.append(True, np.diff(us) > gap_us))
+        ends = np.append(starts[1:], len(us))
+        return pd.DataFrame({"job_id": key[0], "first_us": us[starts], "last_us": us[ends - 1], "n": ends - starts, "ts": events["ts"].to_numpy()[ends - 1]})
+    return fold
+
+
+class _Sessions(StatefulProcessor):
+    """Open bursts of a job; two that are at most the gap apart are one, so they merge in any order."""
+
+    def __init__(self, gap_us: int):
+        self._gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getValueState("open", "first array<long>, last array<long>, n array<long>")
+
+    def _due(self, last_us: int) -> int:
+        return -(-(last_us + self._gap) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, last, n = _columns(rows, "first_us", "last_us", "n")
+        if self._open.exists():
+            held = [np.array(c, np.int64) for c in self._open.get()]
+            for due in {self._due(int(x)) for x in held[1]}:
+                self._handle.deleteTimer(due)
+            first, last, n = (np.concatenate(c) for c in zip(held, (first, last, n)))
+        order = np.argsort(first, kind="stable")
+        first, last, n = first[order], last[order], n[order]
+        reach = np.maximum.accumulate(last)
+        starts = np.flatnonzero(np.append(True, first[1:] - reach[:-1] > self._gap))
+        first, last, n = first[starts], np.maximum.reduceat(last, starts), np.add.reduceat(n, starts)
+        self._open.update(tuple(c.tolist() for c in (first, last, n)))
+        for due in {self._due(int(x)) for x in last}:
+            self._handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self._open.exists():
+            return
+        first, last, n = (np.array(c, np.int64) for c in self._open.get())
+        done = np.array([self._due(int(x)) <= expiredTimerInfo.getExpiryTimeInMs() for x in last])
+        if done.all():
+            self._open.clear()
+        else:
+            self._open.update(tuple(c[~done].tolist() for c in (first, last, n)))
+        yield pd.DataFrame({"job_id": [key[0]] * int(done.sum()), "first_us": first[done], "last_us": last[done], "n": n[done]})
+
+    def close(self) -> None:
+        pass
+
+
+def job_sessions(events: DataFrame, gap_seconds: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """Bursts of events per job, each sent once the watermark has passed its end; state holds the few bursts that are open.
+
+    An event that comes after its hour's watermark is left out; one that comes before joins or bridges bursts.
+    """
+    gap = gap_seconds * 1_000_000
+    timed = events.select("job_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("us", _micros(F.col("ts")))
+    bursts = (timed.withColumn("slice", F.floor(F.col("us") / SLICE_US)).groupBy("job_id", "slice").applyInPandas(_fold_bursts(gap), _BURST).withWatermark("ts", late))
+    closed = bursts.groupBy("job_id").transformWithStateInPandas(_Sessions(gap), "job_id long, first_us long, last_us long, n long", "Append", "EventTime")
+    return closed.select("job_id", F.timestamp_micros("first_us").alias("session_start"), F.timestamp_micros(F.col("last_us") + gap).alias("session_end"), "n")
 
 
 def live_failures(events: DataFrame) -> DataFrame:
