@@ -16,17 +16,37 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adlattice.llm.packing import batches
 from adlattice.operators.scale import top_n
 from adlattice.session import materialise
 
+#: Runs of letters and of the numeric characters that ``\\w`` takes beside digits; ``text_words`` parts the two.
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Latin-1 bytes to the lower case of letters, everything else to a blank.
+LATIN = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+BEYOND_LATIN = re.compile(r"[^\x00-\xff]+")
 UNDETERMINED = "und"
 #: Documents that a language gives to the sample at least, if it has them.
 LEAST = 20
 
 
 def text_words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters (``str.isalpha``), lower-cased."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
+def latin_words(text: str) -> list[bytes] | None:
+    """The same as Latin-1 bytes, by table; None for a text with a letter beyond Latin-1."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        if any(c.isalpha() for c in set("".join(BEYOND_LATIN.findall(text)))):
+            return None
+        raw = BEYOND_LATIN.sub(" ", text).encode("latin-1")
+    return raw.translate(LATIN).split()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -60,51 +80,100 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean log frequency over the known n-grams of the greatest length that has any; nothing if no letter is known."""
+        return self.unseen_many([word])[0]
+
+    def unseen_many(self, words: list[str]) -> np.ndarray:
+        """``unseen`` of every word, a row each: one look-up of all n-grams per length, for the words still open."""
+        out, rest = np.zeros((len(words), len(self.languages))), list(range(len(words)))
         for n in self.orders:
             index, logs = self.ngrams[n]
-            rows = [index[g] for g in grams(word, n) if g in index]
-            if rows:
-                return logs[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+            if not rest or not index:
+                continue
+            own = [grams(words[i], n) for i in rest]
+            of = np.repeat(np.arange(len(rest)), [len(g) for g in own])
+            at = np.fromiter((index.get(g, -1) for gs in own for g in gs), np.int64, len(of))
+            of, at = of[at >= 0], at[at >= 0]
+            if len(of):
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                hit = of[starts]
+                means = np.add.reduceat(logs[at], starts) / np.diff(np.append(starts, len(of)))[:, None]
+                out[np.array(rest)[hit]] = means
+                done = set(hit.tolist())
+                rest = [i for k, i in enumerate(rest) if k not in done]
+        return out
 
 
 class Scorer:
-    def __init__(self, model: Model, memo_size: int = 50_000):
-        self.model, self.memo_size = model, memo_size
-        self.memo: dict[str, np.ndarray] = {}
+    """Scores texts a run at a time: distinct words are looked up once, and a text is the sum over its words' rows."""
 
-    def vector(self, word: str) -> np.ndarray:
-        index, logs = self.model.words
-        at = index.get(word)
-        return logs[at] if at is not None else self.model.unseen(word)
+    def __init__(self, model: Model, memo_size: int = 100_000):
+        self.model, self.memo_size = model, memo_size
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the vocabulary's rows; words learnt since go."""
+        words, logs = self.model.words
+        self.known = len(words)
+        self.rows = [logs.reshape(len(words), len(self.model.languages))]
+        self.size = self.known
+        # words are Latin-1 bytes if they can be, else text
+        self.index: dict[bytes | str, int] = {}
+        for w, at in words.items():
+            self.index[_name(w)] = at
+
+    def _learn(self, fresh: list[bytes | str]) -> None:
+        self.rows.append(self.model.unseen_many([w.decode("latin-1") if isinstance(w, bytes) else w for w in fresh]))
+        self.index.update(zip(fresh, range(self.size, self.size + len(fresh))))
+        self.size += len(fresh)
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and the share of its likelihood for each text, its words taken as independent evidence; ties go to the first."""
+        model = self.model
+        if not model.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        lists = [_tokens(t) if t else [] for t in texts]
+        flat = [w for ws in lists for w in ws]
+        if not flat:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        distinct = set(flat)
+        fresh = sorted(distinct.difference(self.index), key=_order)
+        if self.size - self.known + len(fresh) > self.memo_size and self.size > self.known:
+            self._forget()
+            fresh = sorted(distinct.difference(self.index), key=_order)
+        if fresh:
+            self._learn(fresh)
+        if len(self.rows) > 1:
+            self.rows = [np.concatenate(self.rows)]
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        sizes = np.array([len(ws) for ws in lists])
+        worded = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[worded]
+        total = np.add.reduceat(self.rows[0][at], starts)
+        best = total.argmax(axis=1)
+        score = 1.0 / np.exp(total - total[np.arange(len(best)), best][:, None]).sum(axis=1)
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        for i, b, x in zip(worded.tolist(), best.tolist(), score.tolist()):
+            out[i] = (model.languages[b], x)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and the share of its likelihood, the text's evidence taken per word as independent; ties go to the first."""
-        model = self.model
-        if not text or not model.languages:
-            return UNDETERMINED, 0.0
-        counts = Counter(text_words(text))
-        if not counts:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(model.languages))
-        index, logs = model.words
-        known, times, memo = [], [], self.memo
-        for w, c in counts.items():
-            at = index.get(w)
-            if at is not None:
-                known.append(at)
-                times.append(c)
-            else:
-                v = memo.get(w)
-                if v is None:
-                    if len(memo) >= self.memo_size:
-                        memo.clear()
-                    v = memo[w] = model.unseen(w)
-                total += v if c == 1 else c * v
-        if known:
-            total += np.array(times, dtype=np.float64) @ logs[known]
-        best = int(total.argmax())
-        return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.predict_all([text])[0]
+
+
+def _name(word: str) -> bytes | str:
+    try:
+        return word.encode("latin-1")
+    except UnicodeEncodeError:
+        return word
+
+
+def _order(word: bytes | str) -> tuple[bool, bytes | str]:
+    return isinstance(word, str), word
+
+
+def _tokens(text: str) -> list[bytes | str]:
+    words = latin_words(text)
+    return [_name(w) for w in text_words(text)] if words is None else words
 
 
 def quotas(sizes: dict[str, int], total: int) -> dict[str, float]:
@@ -192,8 +261,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
+        # the words' rows of a run stay within some 10 MB, however many languages there are
+        chars = 8_000_000 // max(8, len(scorer.model.languages))
         for texts in parts:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found = [x for run in batches(texts, chars) for x in scorer.predict_all([t for _, t in run])]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
     # as an indeterminate function it runs once, whatever filters follow
     return packed.select("row", score.asNondeterministic()("text").alias("got")).select("row", "got.lang_pred", "got.score")
 

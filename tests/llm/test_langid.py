@@ -1,4 +1,6 @@
 """Language identification: held-out accuracy on the given documents, and awkward texts."""
+import math
+import random
 import zlib
 
 import pytest
@@ -73,3 +75,51 @@ def test_rows_without_key_are_drawn(spark):
     rows = docs(spark, [f"{words[i % 180]} {words[i // 180]}" for i in range(3000)], ids=[None] * 3000)
     model = langid.train(rows, sample=100)
     assert len(model.words[0]) < 120 and model.languages == ["en"]
+
+
+def plain(model, text):
+    """Word by word from dictionaries: the vocabulary's log frequencies, else the mean over the longest known n-grams."""
+    total, words = [0.0] * len(model.languages), []
+    run = ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            run += c
+        elif run:
+            words.append(run)
+            run = ""
+    for w in words:
+        rows = [model.words[1][model.words[0][w]]] if w in model.words[0] else []
+        for n in model.orders:
+            if not rows:
+                index, logs = model.ngrams[n]
+                marked = w if n == 1 else f"<{w}>"
+                rows = [logs[index[marked[i:i + n]]] for i in range(len(marked) - n + 1) if marked[i:i + n] in index]
+        for k in range(len(total)):
+            total[k] += sum(float(r[k]) for r in rows) / len(rows) if rows else 0.0
+    if not words:
+        return "und", 0.0
+    best = max(range(len(total)), key=lambda k: (total[k], -k))
+    return model.languages[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+
+def test_batches_equal_a_plain_reading(spark):
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), max_words=300, max_grams=400)
+    rng = random.Random(2)
+    given = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    odd = ["", None, "½ ² ①", "a½b²c", "naïve—dash “quoted” l’été", "日本語 und Straße", "ΣΑΣ ς", "İstanbul ı", "x_y 3.14 ÀÉÎ", "ª º µ ÿ ß", "zzzz " * 500, "🙂", "e" * 5000]
+    made = ["".join(rng.choice("abeéß ½—Ω日1_-") for _ in range(rng.randint(0, 50))) for _ in range(300)]
+    texts = odd + made + given
+    for memo in (100_000, 7):
+        scorer, got = langid.Scorer(model, memo), []
+        for i in range(0, len(texts), 13):
+            got += scorer.predict_all(texts[i:i + 13])
+        for t, (lang, score) in zip(texts, got):
+            want = plain(model, t)
+            assert score == pytest.approx(want[1], rel=1e-6), t[:40]
+            assert lang == want[0] or want[1] < 0.51, t[:40]
+        assert got == [scorer.predict(t) for t in texts]
+
+
+def test_letters_only():
+    assert langid.text_words("½ ² ①") == [] and langid.text_words("A½b²") == ["a", "b"] and langid.latin_words("½ ² _1") == []
+    assert langid.latin_words("É—x") == ["é".encode("latin-1"), b"x"] and langid.latin_words("Ωx") is None
