@@ -51,12 +51,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders below the shared one, and catalog tables over them, that hold intermediate results of this process, oldest first.
+MADE: list[tuple[str, str | None]] = []
+
+
+def scratch(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new folder for an intermediate result, listed in ``MADE``; ``table`` is the catalog table that will lie over it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append((path, table))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """The frame written once to the shared folder and read back.
 
-    This cuts the lineage of iterative work.  The files outlive any executor, and nothing is computed twice.
+    This cuts the lineage of iterative work.  The files outlive any executor, and nothing is computed twice.  They stay until
+    ``clear``, as a frame may be read at any time.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/adlattice-cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "adlattice-cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate results from number ``since`` of ``MADE`` on: for a caller who has written what was built on them."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(MADE) > since:
+        path, table = MADE.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
