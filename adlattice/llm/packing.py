@@ -176,10 +176,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     kind = docs.schema[key].dataType.simpleString()
     written = materialise(tokenised(docs, path, key, text, separator))
     totals = written.groupBy("part").agg(F.max(F.col("start") + F.length("ids") / 4).cast("bigint").alias("total"))
-    # one row per task of pass 1, which the driver tracks as well: bounded, so the sums may meet in one task and be broadcast
+    # one row per task of pass 1, which the driver tracks as well: bounded, so the sums may meet in one task
     run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(run), F.lit(0)).alias("base"))
-    placed = written.join(F.broadcast(offsets), "part").select("key", (F.col("base") + F.col("start")).alias("at"), "ids")
+    placed = written.join(offsets, "part").select("key", (F.col("base") + F.col("start")).alias("at"), "ids")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:

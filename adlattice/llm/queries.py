@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adlattice.llm import anchors, dedup, infill, langid, lengths, maintext, mixing, ngrams, packing, pii, quality, twofit, urls
 
-TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,7 +40,7 @@ def op7(spark, folder):
 
 @query("op8_pack")
 def op8(spark, folder):
-    return packing.pack(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query("op10_language_id")
@@ -61,7 +60,7 @@ def op9(spark, folder):
 
 @query("op2_token_counts")
 def op2(spark, folder):
-    return lengths.histogram(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
+    return lengths.histogram(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), BYTE_PATTERN)
 
 
 @query("op3_url_rules", urls.ORACLE)

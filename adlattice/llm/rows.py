@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adlattice.session import shared_folder
+from adlattice.session import scratch
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -28,8 +28,7 @@ def place(df: DataFrame, **more: Column) -> DataFrame:
     out = out.withColumn("part", F.shiftright("at", 33).cast("int")).withColumn("pos", F.col("at").bitwiseAND((1 << 33) - 1)).drop("at")
     name = f"llm_rows_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (out.write.format("parquet").option("path", f"{shared_folder(spark).rstrip('/')}/{name}")
-        .bucketBy(buckets, "part").saveAsTable(name))
+    out.write.format("parquet").option("path", scratch(spark, "llm-rows", name)).bucketBy(buckets, "part").saveAsTable(name)
     return spark.table(name)
 
 
