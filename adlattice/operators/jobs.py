@@ -60,9 +60,47 @@ def sort_jobs(jobs: DataFrame, field: str, descending: bool = True) -> DataFrame
     return jobs.orderBy(key.desc() if descending else key.asc(), "job_id")
 
 
-def page(jobs: DataFrame, number: int, size: int) -> DataFrame:
-    """One page of an ordered frame (numbers start at 1)."""
-    return jobs.offset((number - 1) * size).limit(size)
+CUTS, AT_ONCE = 32, 100_000
+
+
+def page(jobs: DataFrame, field: str, number: int, size: int, descending: bool = True, at_once: int = AT_ONCE) -> DataFrame:
+    """Page ``number`` (from 1) of the jobs in the order of ``sort_jobs``, however deep it lies.
+
+    ``CUTS`` rows, drawn by a hash of the id, cut the order into ranges; the rows of each range are counted, and only the
+    ranges that the page lies in go on, until at most ``at_once`` rows are left to be sorted.  A pass is one scan that sends a count
+    per range, so no task ever holds the rows before the page.  Rows alike in field and id stay together.
+    """
+    key = F.coalesce(F.col(field).cast("string"), F.lit(""))
+    order = [key.desc() if descending else key.asc(), F.col("job_id").asc()]
+
+    def reached(at) -> Column:
+        """Whether a row comes at or behind the cut."""
+        beyond = key < at["k"] if descending else key > at["k"]
+        return beyond | ((key == at["k"]) & (F.col("job_id") >= at["job_id"]))
+    rest, skip = jobs, (number - 1) * size
+    while True:
+        drawn = rest.select(key.alias("k"), "job_id").distinct().orderBy(F.xxhash64("job_id", F.lit(skip))).limit(CUTS)
+        cuts = drawn.orderBy(F.col("k").desc() if descending else F.col("k").asc(), "job_id").collect()
+        place = F.lit(0)
+        for c in cuts:
+            place = place + reached(c).cast("int")
+        held = {r["place"]: r["n"] for r in rest.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()}
+        before, first, last, kept = 0, None, None, 0
+        for i in range(len(cuts) + 1):
+            n = held.get(i, 0)
+            if before + n > skip and before < skip + size and n:
+                first, last, kept = (i if first is None else first), i, kept + n
+            elif first is None:
+                skip, before = skip - n, before - n
+            before += n
+        if first is None:
+            return rest.limit(0)
+        if first > 0:
+            rest = rest.filter(reached(cuts[first - 1]))
+        if last < len(cuts):
+            rest = rest.filter(~reached(cuts[last]))
+        if kept <= max(at_once, size) or kept == sum(held.values()):
+            return rest.orderBy(*order).offset(skip).limit(size)
 
 
 def page_count(jobs: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:

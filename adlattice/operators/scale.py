@@ -102,25 +102,45 @@ def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, o
             .withColumn(out, F.greatest("__local", "__before")).drop("__v", "__local", "__before"))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: int = 128,
+STEP = 4  # how much wider the cells of the next level are
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: int = 256,
                   self_order: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of boxes of one key which overlap, without pairing a whole key.
 
     ``left`` needs ``lx1, ly1, lx2, ly2`` and ``right`` needs ``rx1, ry1, rx2, ry2`` (exclusive ends) besides the
-    keys.  Boxes are hashed to the grid cells they cover, so the equi-join key is ``(keys, cell)``; a pair is
-    reported only in the cell of its intersection's upper left corner, hence once.
+    keys.  A box lives on the level whose cells are at least as wide as its longer side, so it covers at most four, whatever
+    its size; cells of level 0 are ``cell`` wide, each next level's are ``STEP`` times as wide.  Two boxes meet on the higher of
+    their levels: a box also visits those levels above its own on which the other side has boxes of its key.  The equi-join key
+    is ``(keys, level, cell)``; a pair is reported only in the cell of its intersection's upper left corner, hence once.
     """
-    def cells(df: DataFrame, p: str) -> DataFrame:
+    def levelled(df: DataFrame, p: str) -> DataFrame:
+        side = F.greatest(F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1"))
+        level = F.when(side <= cell, 0).otherwise(F.ceil(F.log(float(STEP), side / cell) - 1e-9)).cast("int")
+        return df.filter((F.col(f"{p}x2") > F.col(f"{p}x1")) & (F.col(f"{p}y2") > F.col(f"{p}y1"))).withColumn("__own", level)
+
+    def cells(df: DataFrame, p: str, level: str) -> DataFrame:
+        wide = F.lit(float(cell)) * F.pow(F.lit(float(STEP)), F.col(level))
+
         def span(lo: str, hi: str) -> Column:
-            return F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell))
-        grown = df.filter((F.col(f"{p}x2") > F.col(f"{p}x1")) & (F.col(f"{p}y2") > F.col(f"{p}y1")))
-        return (grown.withColumn("__cx", F.explode(span(f"{p}x1", f"{p}x2")))
-                     .withColumn("__cy", F.explode(span(f"{p}y1", f"{p}y2"))))
-    pairs = cells(left, "l").join(cells(right, "r"), [*keys, "__cx", "__cy"])
-    corner_x, corner_y = F.greatest("lx1", "rx1"), F.greatest("ly1", "ry1")
-    pairs = pairs.filter(
-        (F.least("lx2", "rx2") > corner_x) & (F.least("ly2", "ry2") > corner_y)
-        & (F.floor(corner_x / cell) == F.col("__cx")) & (F.floor(corner_y / cell) == F.col("__cy")))
+            return F.sequence(F.floor(F.col(lo) / wide), F.floor((F.col(hi) - 1) / wide))
+        return (df.withColumn("__level", F.col(level)).withColumn("__wide", wide).withColumn("__cx", F.explode(span(f"{p}x1", f"{p}x2")))
+                  .withColumn("__cy", F.explode(span(f"{p}y1", f"{p}y2"))).drop("__own", *({level} - {"__own"})))
+
+    def visits(df: DataFrame, p: str, hosts: DataFrame) -> DataFrame:
+        there = hosts.filter("__own > 0").select(*keys, F.col("__own").alias("__up")).distinct()
+        return cells(df.join(there, list(keys)).filter(F.col("__up") > F.col("__own")), p, "__up")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.join(b.drop("__wide"), [*keys, "__level", "__cx", "__cy"])
+        corner_x, corner_y = F.greatest("lx1", "rx1"), F.greatest("ly1", "ry1")
+        return pairs.filter(
+            (F.least("lx2", "rx2") > corner_x) & (F.least("ly2", "ry2") > corner_y)
+            & (F.floor(corner_x / F.col("__wide")) == F.col("__cx")) & (F.floor(corner_y / F.col("__wide")) == F.col("__cy")))
+    lefts, rights = levelled(left, "l"), levelled(right, "r")
+    at_home, hosts = cells(lefts, "l", "__own"), cells(rights, "r", "__own")
+    pairs = met(at_home.unionByName(visits(lefts, "l", rights)), hosts).unionByName(met(at_home, visits(rights, "r", lefts)))
     if self_order:
         pairs = pairs.filter(F.col(self_order[0]) < F.col(self_order[1]))
-    return pairs.drop("__cx", "__cy")
+    return pairs.drop("__level", "__wide", "__cx", "__cy")

@@ -240,7 +240,7 @@ def w_sort(t: Tables) -> DataFrame:
 
 @query("w09_page", "SELECT job_id, campaign FROM fx_job ORDER BY campaign DESC, job_id LIMIT 20 OFFSET 40")
 def w_page(t: Tables) -> DataFrame:
-    return J.page(J.sort_jobs(t.fx_job, "campaign"), 3, 20).select("job_id", "campaign")
+    return J.page(t.fx_job, "campaign", 3, 20).select("job_id", "campaign")
 
 
 @query("w09_page_count", "SELECT status, ceil(COUNT(*) / 20)::BIGINT AS pages FROM fx_job GROUP BY status")
