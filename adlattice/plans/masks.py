@@ -156,7 +156,42 @@ def x_fragments(t: Tables) -> DataFrame:
     return M.fragments(low_union(t), I)
 
 
-@query("x13_clean_mask")
+def _merged(rel: str) -> str:
+    """Runs of a row that touch become one."""
+    return f"""SELECT image_id, y, MIN(x0) AS x0, MAX(x1) AS x1 FROM (SELECT *, SUM(brk) OVER (PARTITION BY image_id, y ORDER BY x0, x1) AS g FROM (
+  SELECT *, CASE WHEN x0 <= MAX(x1) OVER (PARTITION BY image_id, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM {rel}) z) z GROUP BY image_id, y, g"""
+
+
+def _outside(rel: str) -> str:
+    return f"""SELECT image_id, y, a AS x0, b AS x1 FROM (SELECT image_id, y, coalesce(lag(x1) OVER (PARTITION BY image_id, y ORDER BY x0, x1), 0) AS a, x0 AS b FROM (
+  SELECT image_id, y, x0, x1 FROM {rel} UNION ALL SELECT image_id, y, 180, 180 FROM frame) z) z WHERE b > a"""
+
+
+def _spread(rel: str) -> str:
+    return f"SELECT image_id, y + dy AS y, greatest(0, x0 - dx) AS x0, least(180, x1 + dx) AS x1 FROM {rel}, disk WHERE y + dy BETWEEN 0 AND 23"
+
+
+def _pieces(n: int, rel: str) -> str:
+    """Runs with the area of their 4-connected piece: labels sink to the least along the edges."""
+    return f"""n{n} AS (SELECT *, row_number() OVER (ORDER BY image_id, y, x0) AS id FROM {rel}),
+e{n} AS (SELECT a.id AS u, b.id AS v FROM n{n} a JOIN n{n} b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.x0 < b.x1 AND b.x0 < a.x1),
+c{n}(id, lab) USING KEY (id) AS (SELECT id, id FROM n{n} UNION (SELECT e.v, MIN(c.lab) FROM c{n} c JOIN e{n} e ON c.id = e.u JOIN recurring.c{n} r ON r.id = e.v GROUP BY e.v, r.lab HAVING MIN(c.lab) < r.lab)),
+p{n} AS (SELECT image_id, y, x0, x1, SUM(x1 - x0) OVER (PARTITION BY lab) AS size FROM n{n} JOIN c{n} USING (id))"""
+
+
+_CLEAN = f"""
+WITH RECURSIVE disk AS (SELECT dy, floor(sqrt(25 - dy * dy))::INT AS dx FROM range(-5, 6) t(dy)),
+frame AS (SELECT image_id, y FROM (SELECT DISTINCT image_id FROM fx_run) z, range(0, 24) t(y)),
+big AS (SELECT image_id, unnest(range(y % 4 * 6, y % 4 * 6 + 5)) AS y, x0 * 2 AS x0, x1 * 2 AS x1 FROM fx_run),
+one AS ({_merged('big')}), wide AS ({_spread('one')}), grown AS ({_merged('wide')}), far AS ({_outside('grown')}), eaten AS ({_spread('far')}), gone AS ({_merged('eaten')}),
+closed AS ({_outside('gone')}), gaps AS ({_outside('closed')}),
+{_pieces(1, 'gaps')},
+patched AS (SELECT image_id, y, x0, x1 FROM closed UNION ALL SELECT image_id, y, x0, x1 FROM p1 WHERE size < 64), filled AS ({_merged('patched')}),
+{_pieces(2, 'filled')}
+SELECT image_id, y::INT AS y, x0::INT AS x0, x1::INT AS x1 FROM p2 WHERE size >= 128"""
+
+
+@query("x13_clean_mask", _CLEAN)
 def x_clean(t: Tables) -> DataFrame:
     """Masks scaled up fourfold so that closing and the size thresholds act on them."""
     big = t.fx_run.selectExpr("image_id", "explode(sequence(y % 4 * 6, y % 4 * 6 + 4)) AS y", "x0 * 2 AS x0", "x1 * 2 AS x1")
