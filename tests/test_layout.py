@@ -1,6 +1,7 @@
 """Layout geometry, greedy placement against a plain loop, and the blocked path for large groups."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions import geometry as G
@@ -66,7 +67,9 @@ def test_place_equals_plain_loop_in_one_block_and_in_many(spark):
         assert got == want
 
 
-def test_static_filter_equals_all_pairs(spark):
+@pytest.mark.parametrize("at_once", [LO.PROTECTED_AT_ONCE, 4], ids=["arrays", "grid"])
+def test_static_filter_equals_all_pairs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(LO, "PROTECTED_AT_ONCE", at_once)
     df = spark.createDataFrame(make(3, 20), SCHEMA).selectExpr("*", "600 AS canvas_w", "500 AS canvas_h", "0 AS zone_left", "0 AS zone_top", "600 AS zone_right", "500 AS zone_bottom")
     r = random.Random(8)
     prot = spark.createDataFrame([("g3", r.randrange(500), r.randrange(400), r.randrange(5, 90), r.randrange(5, 90)) for _ in range(12)], "g string, qx int, qy int, qw int, qh int")
@@ -80,6 +83,21 @@ def test_static_filter_equals_all_pairs(spark):
     assert got == want and 0 < len(want) < 80
 
 
+def test_layouts_know_their_outcome(spark):
+    """One fold per key gives what placing and judging give in two steps, for small groups and, with tiny blocks, for large ones."""
+    rows = [c for s, n in ((1, 6), (2, 25), (3, 60)) for c in make(s, n)]
+    objects = LO.gathered(spark.createDataFrame(rows, SCHEMA), ["g"])
+    bare = objects.limit(1).selectExpr("'g1' AS g", "'logo' AS role", "'none' AS object_id", "true AS required", "slice(cands, 1, 0) AS cands")
+    objects = objects.unionByName(bare)
+    placed = LO.place(objects, ["g"])
+    want = {r.g: (r.code, r.unmet, r.placed) for r in LO.placement_outcome(objects, placed, ["g"]).collect()}
+    for block in (LO.BLOCK, 7):
+        got = LO.layouts(objects, ["g"], block=block)
+        assert {r.g: (r.code, r.unmet, r.placed) for r in got.select("g", "code", "unmet", "placed").collect()} == want
+        kept = {(r.g, r.object_id, r.cand) for r in got.select("g", F.inline("kept")).collect()}
+        assert kept == {(r.g, r.object_id, r.cand) for r in placed.collect()}
+
+
 def test_no_valid_candidates(spark):
     objects = spark.createDataFrame([("j", "a", True), ("j", "b", False)], "g string, object_id string, required boolean")
     placed = spark.createDataFrame([("j", "b")], "g string, object_id string")
