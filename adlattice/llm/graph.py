@@ -5,13 +5,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from adlattice.session import materialise
 
+SLICES = 8
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: larger neighbours of a node move to the least of all its neighbours and itself.  Small star: the node
-    and its smaller neighbours move to the least of them.  Only minima are aggregated, so no neighbourhood is gathered."""
+    and its smaller neighbours move to the least of them.  Only minima are aggregated, so no neighbourhood is gathered, and
+    the neighbours of a node meet its minimum in slices."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    met = both.join(least, F.col("a") == F.col("u"))
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("at")
+    met = (both.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(SLICES)).cast("int"))
+           .join(least.select("u", "m", slices), (F.col("a") == F.col("u")) & (F.col("slice") == F.col("at"))))
     if large:
         return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     return met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()

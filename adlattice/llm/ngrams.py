@@ -6,11 +6,13 @@ The global order is (logarithm of the document frequency, hash), rare n-grams fi
    its owner, sorted and Golomb-Rice coded.  Owners count, and return only n-grams that occur in more than one set.
 2. A set that shares fewer n-grams than the threshold asks for can link with nothing and leaves.  The others are cut into
    fragments of the global order.
-3. Candidates come from the prefix filter: linked sets share one of their first n-grams in the global order.  First every
-   set of a posting list meets only the list's most central set; sets then linked need no further pair, so large groups of
-   near copies become one component without all their pairs.  What is left meets across components only, under a bound of
-   the symmetric difference from parity bitmaps.
-4. Each candidate pair's overlap is counted fragment by fragment and summed; the sum decides, exactly.
+3. Candidates come from the prefix filter: linked sets share one of their first n-grams in the global order.  In rounds, the
+   sets of a posting list meet one set of the list's largest component and one set outside of it, at most two pairs a row;
+   sets then linked need no further pair, so large groups of near copies become one component without all their pairs.
+   When a round joins next to nothing, what is left meets across components only, all of it, under a bound of the symmetric
+   difference from parity bitmaps: those are pairs that no round has put together, whatever their number.
+4. Each candidate pair's overlap is counted fragment by fragment and summed; the sum decides, exactly but for collisions of
+   the n-grams' hashes (58 bits and the frequency class), which are not confirmed by text.
 """
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ from adlattice.llm.graph import components
 from adlattice.llm.rows import keep, place
 from adlattice.session import materialise
 
-HASH_BITS, ID_BITS, CLASS_MAX, PARITY_WORDS = 64, 58, 31, 16
+HASH_BITS, ID_BITS, CLASS_MAX, PARITY_WORDS = 64, 58, 31, 32
 FRAGMENT_SHIFT = ID_BITS - 2  # a fragment: one frequency class and a quarter of the hashes
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -206,12 +208,23 @@ def sketch(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
                   "fragments array<struct<fragment:int,grams:array<bigint>>>, parity array<bigint>, score double")
 
 
+HOT, SLICES = 256, 16
+#: Hub rounds end when one joins less than this share of the labels that all before have joined.
+FEW = 0.01
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of set numbers whose Jaccard similarity is at least ``percent``: partial overlaps, then their sum."""
+    """The ``pairs`` (a, b) of set numbers whose Jaccard similarity is at least ``percent``: partial overlaps, then their sum.
+
+    A set that more than ``HOT`` pairs name as ``b`` lends its fragments to them in slices.
+    """
+    hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("b", F.lit(SLICES).alias("many"))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod("a", F.coalesce("many", F.lit(1))).cast("int").alias("slice"))
     cut = sets.select("node", F.explode("fragments").alias("f")).select("node", "f.fragment", "f.grams")
     left = cut.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("of_a"))
-    right = cut.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("of_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("o"))
+    lent = F.explode(F.sequence(F.lit(0), F.coalesce("many", F.lit(1)) - 1)).alias("slice")
+    right = cut.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("of_b")).join(hot, "b", "left").select("b", "fragment", "of_b", lent)
+    partial = dealt.join(left, "a").join(right, ["b", "fragment", "slice"]).select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("o"))
     whole = partial.groupBy("a", "b").agg(F.sum("o").alias("o"))
     size = sets.select("node", "n")
     return (whole.join(size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
@@ -222,26 +235,71 @@ def similar_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def torn(wide: DataFrame) -> DataFrame:
+    """Rows of the posting lists that still hold sets of several labels."""
+    return wide.join(wide.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram"), "gram")
+
+
+def hub_pairs(wide: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) to look at in one round: in each torn list, sets meet one set of the list's commonest label, and one of another
+    label meets the sets that don't share its label.  At most two pairs a row, whatever a list's length.
+
+    Rounds take turns between the most central sets and sets drawn by a hash.
+    """
+    rank = F.struct("score", "n", (-F.col("node")).alias("node")) if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("score"), "n", (-F.col("node")).alias("node"))
+    by_label = wide.groupBy("gram", "label").agg(F.count("*").alias("c"), F.max(rank).alias("hub"))
+    first = by_label.groupBy("gram").agg(F.max(F.struct("c", "hub", "label")).alias("top"))
+    other = (by_label.join(first.select("gram", F.col("top.label").alias("main")), "gram").where(F.col("label") != F.col("main"))
+             .groupBy("gram").agg(F.max(F.struct("hub", "label")).alias("out")))
+    # a hot list is met in slices
+    hubs = first.join(other, "gram").select(
+        "gram", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"),
+        F.array(*[F.struct((-F.col(f"{x}.hub.node")).alias("b"), F.col(f"{x}.hub.n").alias("n_b"), F.col(f"{x}.label").alias("label_b")) for x in ("top", "out")]).alias("hubs"))
+    met = wide.withColumn("slice", F.pmod("node", F.lit(SLICES)).cast("int")).join(hubs, ["gram", "slice"]).select("node", "n", "label", F.inline("hubs"))
+    return met.where((F.col("label") != F.col("label_b")) & similar_sizes("n", "n_b", percent)).select(F.col("node").alias("a"), "b").distinct()
+
+
 def set_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label): components of the sets, those linked with another one only."""
-    posted = sets.select("node", "n", "score", F.explode("prefix").alias("gram"))
-    # one central set per posting list; a hot list is met in 16 slices
-    hubs = (posted.groupBy("gram").agg(F.max(F.struct("score", "n", (-F.col("node")).alias("node"))).alias("hub"), F.count("*").alias("c")).where("c > 1")
-            .select("gram", (-F.col("hub.node")).alias("b"), F.col("hub.n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slice")))
-    star = (posted.withColumn("slice", F.pmod("node", F.lit(16)).cast("int")).join(hubs, ["gram", "slice"])
-            .where((F.col("node") != F.col("b")) & similar_sizes("n", "n_b", percent)).select(F.col("node").alias("a"), "b").distinct())
-    links = materialise(linked(star, sets, percent))
-    label = components(links)
-    wide = sets.join(label, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), (F.col("n") - F.col("shared")).alias("alone"), "parity", F.explode("prefix").alias("gram"))
-    wide = materialise(wide.join(wide.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram"), "gram"))
-    other = wide.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "alone", "parity")])
+    """(node, label): components of the sets, those in a shared posting list only."""
+    posted = sets.select("node", "n", "score", F.col("node").alias("label"), F.explode("prefix").alias("gram"))
+    wide = materialise(torn(posted))
+    labels = wide.select("node", "label").distinct()
+    turn = joined = 0
+    while (merged := merge(labels, linked(materialise(hub_pairs(wide, percent, turn)), sets, percent))) is not None:
+        labels = materialise(labels.join(merged, labels["label"] == merged["old"], "left").select("node", F.coalesce("new", "label").alias("label")))
+        wide = materialise(torn(wide.drop("label").join(labels, "node")))
+        turn, now = turn + 1, merged.count()
+        joined += now
+        if now < FEW * joined:
+            break
+    # what no round has linked meets across labels, under a bound of the symmetric difference from parity bitmaps; a list's
+    # commonest label, which may hold nearly all of a long list, is only met by the others
+    main = wide.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    # parity words are plain columns: read from arrays, the condition's code is too long to be compiled
+    words = [F.coalesce(F.col("parity")[i], F.lit(0).cast("bigint")).alias(f"p{i}") for i in range(PARITY_WORDS)]
+    rest = wide.join(sets.select("node", (F.col("n") - F.col("shared")).alias("alone"), *words), "node").drop("score")
+    other = rest.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "alone", *[f"p{i}" for i in range(PARITY_WORDS)])])
+    rest = materialise(rest.join(main, "gram").where("label <> main"))
     differ = F.col("alone") + F.col("alone_b")
     for i in range(PARITY_WORDS):
-        differ = differ + F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_b")[i]))
+        differ = differ + F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b")))
     near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_b"))
-    meet = (wide.join(other, (wide["gram"] == other["gram"]) & (F.col("label") < F.col("label_b")) & similar_sizes("n", "n_b", percent) & near)
+    apart = (F.col("label") < F.col("label_b")) | (F.col("label_b") == F.col("main"))
+    meet = (rest.join(other, (rest["gram"] == other["gram"]) & apart & similar_sizes("n", "n_b", percent) & near)
             .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
-    return components(links.union(linked(meet, sets, percent)))
+    merged = merge(labels, linked(materialise(meet), sets, percent))
+    if merged is None:
+        return labels
+    return labels.join(merged, labels["label"] == merged["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
+
+
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(old, new) labels after the ``links`` of sets; None if these join no two labels."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b")
+    edges = materialise(ends.where("label_a <> label_b").select(F.greatest("label_a", "label_b").alias("a"), F.least("label_a", "label_b").alias("b")).distinct())
+    if edges.isEmpty():
+        return None
+    return components(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_grams: int = 500_000) -> DataFrame:

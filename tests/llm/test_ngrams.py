@@ -61,3 +61,17 @@ def test_null_and_repeated_keys_and_empty(spark):
     got = ngrams.jaccard_components(docs(spark, ["a b", "a b", "x", None], ids=[None, 4, None, 9])).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, 1, 4), (4, 1, 4), (None, 1, None), (9, 0, 9)]))
     assert ngrams.jaccard_components(docs(spark, [])).count() == 0
+
+
+def test_near_copies_without_their_centre(spark):
+    """Copies of one text, some words changed in each: most pairs lie just below the threshold, a few link."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base, texts = rng.choices(vocabulary, k=300), []
+    for _ in range(250):
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngrams.jaccard_components(docs(spark, texts).repartition(3)).collect()}
+    assert got == brute(texts)
