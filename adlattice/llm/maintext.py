@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,13 +30,15 @@ NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising spons
 breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup
 share sharing social related recommended recommendations comment comments commentlist disqus respond replies widget toolbar login search copyright
 contentinfo complementary""".split())
+#: Words that say how or where such a part is built; they may stand beside the words above, but mark nothing alone.
+BESIDE = frozenset("""area bar block bottom box button buttons col container content form global holder icons inner item items left link links list
+main module outer page panel post posts right row section site sticky thread top unit wrap wrapper""".split())
 #: Start tags that end an open paragraph or an open element of their own kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]|"[^"]*+"|'[^']*+')*+)>""")
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
-WITHOUT = re.compile(r"(?<![a-z0-9])(?:no|has|with)[-_][^\s]*")
 
 
 class Node:
@@ -48,25 +51,29 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
 
-def not_article(tag: str, stack: list[Node]) -> bool:
+def not_article(tag: str, open_tags: Counter) -> bool:
     """Whether the tag alone says that a part has no article text."""
-    return tag not in KEPT and (tag in NO_TEXT or tag == "header" and not any(n.tag in ("article", "main") for n in stack))
+    return tag not in KEPT and (tag in NO_TEXT or tag == "header" and not open_tags["article"] and not open_tags["main"])
+
+
+def named(name: str) -> bool:
+    """Whether one whole name (a class, an id, a role) is that of another part: all its words must say so, so that
+    ``share-buttons`` does, and ``share-price`` and ``related-work`` don't."""
+    words = WORD.findall(name)
+    return not NOT_ARTICLE.isdisjoint(words) and all(w in NOT_ARTICLE or w in BESIDE for w in words)
 
 
 def suspect(tag: str, attributes: str) -> bool:
-    """Whether a part is a form or named like something else; what a name says is absent or only contained does not count."""
-    if tag in KEPT or tag in VOID:
+    """Whether a part is a form or named like something else.  Headings are not: their ids are made of their own words."""
+    if tag in KEPT or tag in VOID or tag in HEADINGS:
         return False
-    if tag == "form":
-        return True
-    if "=" not in attributes:
-        return False
-    return any(not NOT_ARTICLE.isdisjoint(WORD.findall(WITHOUT.sub(" ", "".join(m.groups("")).lower()))) for m in NAMES.finditer(attributes))
+    return tag == "form" or "=" in attributes and any(named(x) for m in NAMES.finditer(attributes) for x in "".join(m.groups("")).lower().split())
 
 
-def cut_suspects(root: Node, most: float = 0.8) -> None:
-    """Drops suspect parts, except those with more than ``most`` of the page's text outside of links."""
-    order, todo, own = [], [root], {}
+def cut_suspects(root: Node) -> None:
+    """Drops suspect parts.  A name does not outdo the page's own marks: a part that holds the article, the main element or the
+    headline stays, and so do all if nothing else has text.  A form stays if it has more text than the rest of the page."""
+    order, todo, own, heads = [], [root], {}, set()
     while todo:
         n = todo.pop()
         order.append(n)
@@ -75,10 +82,23 @@ def cut_suspects(root: Node, most: float = 0.8) -> None:
         return
     for n in reversed(order):
         own[id(n)] = own.get(id(n), 0) + n.chars - n.link_chars
+        if n.tag in ("article", "main", "h1"):
+            heads.add(id(n))
         if n.parent is not None:
             own[id(n.parent)] = own.get(id(n.parent), 0) + own[id(n)]
-    for n in order:
-        if n.marked and own[id(n)] <= most * own[id(root)]:
+            if id(n) in heads:
+                heads.add(id(n.parent))
+    whole = own[id(root)]
+    cut = [n for n in order if n.marked and (2 * own[id(n)] <= whole if n.tag == "form" else id(n) not in heads)]
+    inside = {id(n) for n in cut}
+    gone = 0
+    for n in cut:
+        up = n.parent
+        while up is not None and id(up) not in inside:
+            up = up.parent
+        gone += own[id(n)] if up is None else 0
+    if gone < whole or not whole:
+        for n in cut:
             n.dropped = True
 
 
@@ -86,6 +106,7 @@ def parse(page: str) -> Node:
     """The tree of block nodes and dropped parts; inline tags are only counted."""
     root = Node("html", None, False)
     stack, at, link = [root], 0, False
+    open_tags: Counter = Counter()  # so that no end tag looks for what is not open
 
     def text(raw: str) -> None:
         top = stack[-1]
@@ -98,6 +119,8 @@ def parse(page: str) -> Node:
                 top.link_chars += n
 
     def close(depth: int) -> None:
+        for n in stack[depth:]:
+            open_tags[n.tag] -= 1
         del stack[depth:]
 
     while True:
@@ -131,12 +154,13 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "a":
                 link = False
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    if tag in BLOCKS:
-                        link = False
-                    break
+            if open_tags[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        if tag in BLOCKS:
+                            link = False
+                        break
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -154,7 +178,7 @@ def parse(page: str) -> Node:
                     if stack[i].tag in BLOCKS:
                         break
             closes = CLOSES.get(tag)
-            if closes:
+            if closes and any(open_tags[c] for c in closes):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in closes:
                         close(i)
@@ -162,7 +186,7 @@ def parse(page: str) -> Node:
                     if stack[i].tag in LIMITS[tag]:
                         break
         top = stack[-1]
-        drop = top.dropped or not_article(tag, stack)
+        drop = top.dropped or not_article(tag, open_tags)
         mark = not drop and suspect(tag, m[3])
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             top.tags += 1
@@ -179,6 +203,7 @@ def parse(page: str) -> Node:
             else:
                 top.items.append(" ") if tag not in BLOCKS else top.items.append(Node("", top, True))
             stack.append(node)
+            open_tags[tag] += 1
             continue
         top.tags += 1
         if tag == "a":

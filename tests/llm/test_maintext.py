@@ -1,6 +1,7 @@
 """Main text of pages written by hand and of the given pages."""
 import html
 import re
+import time
 
 import pytest
 
@@ -43,6 +44,28 @@ def test_names_and_forms_do_not_cut_the_article(part):
     assert got == "\n".join(["Title", (LONG * 3).strip(), "x z"])
 
 
+@pytest.mark.parametrize("part, title", [("h2 id='search'", "Search basics"), ("h2 id='copyright'", "Copyright"), ("section id='related-work'", "Related work"),
+                                         ("div class='social-history'", "Social history"), ("div class='share-price'", "Share price"), ("section class='login-flow x'", "Login flow")])
+def test_words_of_a_name_do_not_cut_an_article(part, title):
+    tag = part.split()[0]
+    body = f"<{part}>{title}</{tag}>" if tag == "h2" else f"<{part}><p>{title}</p><p>{LONG}</p></{tag}>"
+    got = maintext.main_text(page(f"<article><h1>Top</h1><p>{LONG}</p>{body}<p>{LONG}</p></article>"))
+    assert got == "\n".join(["Top", LONG.strip(), title, *([] if tag == "h2" else [LONG.strip()]), LONG.strip()])
+
+
+@pytest.mark.parametrize("part", ["div class=ad", "div class='x share-buttons'", "section id=comments", "ul class='related-posts'", "div role=complementary", "div class='cookie-notice'", "div id=newsletter-signup"])
+def test_whole_names_cut_a_part(part):
+    got = maintext.main_text(page(f"<article><h1>Top</h1><p>{LONG}</p><{part}><p>{LONG * 2}</p><p>{LONG * 2}</p><p>{LONG * 2}</p></{part.split()[0]}><p>End</p></article>"))
+    assert got == "\n".join(["Top", LONG.strip(), "End"])
+
+
+def test_end_tags_of_what_is_not_open_cost_nothing():
+    start = time.perf_counter()
+    assert maintext.main_text("<div>" * 20_000 + "x" + "</b></section>" * 20_000).endswith("x")
+    assert maintext.main_text("<div><li></li>" * 5_000 + "x").endswith("x")
+    assert time.perf_counter() - start < 3
+
+
 @pytest.mark.parametrize("bad, want", [(None, ""), ("", ""), ("<p>cut <b", "cut"), ("plain", "plain"), ("a < b", "a < b"), ("<!-- open", ""), ("<script>x", ""), ("<nav>x</nav>", ""), ("</p></div>x", "x"), ('<p a="open>x</p>', "x")])
 def test_broken(bad, want):
     assert maintext.main_text(bad) == want
