@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from adlattice import session
 from adlattice.llm.queries import ORACLES, QUERIES
 from tests.llm.helpers import words
 from tests.llm.test_ngrams import brute
@@ -41,3 +42,16 @@ def test_stages(stages):
 def test_registered():
     assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in QUERIES if n.startswith("op")} and "pipeline" in QUERIES
     assert {re.match(r"op\d+", n)[0] for n in ORACLES} == {"op3", "op4", "op5", "op7", "op11", "op13"}
+
+
+def test_stages_leave_others_results_and_remove_their_own(spark):
+    mine = session.materialise(spark.range(5))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    before = len(session.MADE)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["language"](spark, docs, SF).count()
+    stages["copies"](spark, docs, SF).count()
+    made = session.MADE[before:]
+    assert any(table for _, table in made)
+    stages["mixture"](spark, docs, SF).count()
+    assert mine.count() == 5 and not any(x in session.MADE for x in made) and not spark.catalog.tableExists(next(t for _, t in made if t))
