@@ -1,9 +1,10 @@
 """Structured Streaming over job messages and stage events.
 
-Keyed state holds one small value per job.  A micro-batch reaches it in two steps: the events of a job and an hour fold into
-one row (what the hour begins and ends with; results that the hour settles alone pass by), and state takes one row per hour,
-so a hot job keeps a few rows where it had all its events.  The size of a micro-batch is bounded at the source
-(``maxFilesPerTrigger``).  Windows and watermarks are choices of this library.
+A micro-batch reaches keyed state in two steps.  The events of a job and an hour fold into one row (what the hour begins and
+ends with; results that the hour settles alone pass by), so a hot job brings a few rows where it had all its events.  State
+then takes these rows by bucket: a bucket keeps one small value for each of its jobs and folds all their rows in one array
+pass, as a call into Python per job, or per job and hour, costs far more than the work it does.  The size of a micro-batch is
+bounded at the source (``maxFilesPerTrigger``).  Windows and watermarks are choices of this library.
 """
 from __future__ import annotations
 
@@ -55,50 +56,109 @@ def stream_specs(messages: DataFrame, specs: DataFrame) -> DataFrame:
 
 # --- in-flight duplicates ----------------------------------------------------------------------------------------
 
-LANES = 64  # settled rows pass state by in this many groups of a job; lane 0 is state's own
+BUCKETS = 4096  # jobs share state in this many buckets; rows that are settled pass by in as many of their own, below 0
+_NONE = -(1 << 63)  # stands for a null job or event while arrays of whole numbers are folded
 
 
 def _hours(events: DataFrame, *more: str) -> DataFrame:
-    """job_id, event_id, microseconds and kind of timed events, dealt to slices of a job."""
+    """job_id, microseconds and what else is asked of timed events, dealt to slices of a job."""
     us = _micros(F.col("ts"))
-    return events.select("job_id", "event_id", us.alias("us"), "kind", *more).withColumn("slice", F.floor(F.col("us") / SLICE_US))
+    marked = events.select(F.coalesce(F.col("job_id").cast("long"), F.lit(_NONE)).alias("job_id"), us.alias("us"),
+                           *[F.coalesce(F.col(c).cast("long"), F.lit(_NONE)).alias(c) if c == "event_id" else c for c in more])
+    return marked.withColumn("slice", F.floor(F.col("us") / SLICE_US)).repartition("job_id", "slice")
+
+
+def _bucketed(rows: DataFrame, settled: Column) -> DataFrame:
+    own, aside = (F.pmod(F.xxhash64(*c), F.lit(BUCKETS)) for c in (["job_id"], ["job_id", "event_id"]))
+    return rows.withColumn("bucket", F.when(settled, -1 - aside).otherwise(own))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Nulls in place of ``_NONE``."""
+    return rows.withColumns({c: F.when(F.col(c) != _NONE, F.col(c)) for c in ("job_id", "event_id") if c in rows.columns})
 
 
 def _columns(rows: Iterator[pd.DataFrame], *names: str) -> list[np.ndarray]:
     """The named columns of all rows, one array each."""
     parts = [[f[n].to_numpy() for n in names] for f in rows]
-    return [np.concatenate(c) for c in zip(*parts)]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.array([], np.int64)] * len(names)
+
+
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its key, rows of a key being neighbours."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
+def _ends(first: np.ndarray) -> np.ndarray:
+    """Index of the last row of every key."""
+    return np.append(np.flatnonzero(first)[1:], len(first)) - 1
 
 
-_CALL_SLICE = "job_id long, lane int, event_id long, us long, starts boolean, last_starts boolean, verdict string"
+def _arrays(state, *types) -> list[np.ndarray]:
+    """The arrays a bucket holds, the first of them its jobs in order; empty ones without state."""
+    held = state.get() if state.exists() else [[]] * len(types)
+    return [np.array(c, t) for c, t in zip(held, types)]
 
 
-def _fold_calls(key: tuple, calls: pd.DataFrame) -> pd.DataFrame:
-    """A slice's first call, with what the slice ends in, and the verdict of every later start: the call before it is here."""
-    calls = calls.sort_values(["us", "event_id"])
-    starts = calls["kind"].eq("start").to_numpy()
-    head = {"job_id": key[0], "lane": 0, "event_id": calls["event_id"].iloc[0], "us": calls["us"].iloc[0], "starts": bool(starts[0]), "last_starts": bool(starts[-1]), "verdict": None}
-    later = np.flatnonzero(starts[1:]) + 1
-    settled = pd.DataFrame({"job_id": key[0], "lane": 1 + int(key[1]) % LANES, "event_id": calls["event_id"].to_numpy()[later], "us": calls["us"].to_numpy()[later],
-                            "starts": True, "last_starts": True, "verdict": np.where(starts[later - 1], "DUPLICATE", "ACCEPTED")})
-    return pd.concat([pd.DataFrame([head]), settled]) if len(settled) else pd.DataFrame([head])
+def _found(jobs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a wanted job is among the sorted ``jobs``, its place where it is)."""
+    at = np.searchsorted(jobs, wanted)
+    there = at < len(jobs)
+    there[there] = jobs[at[there]] == wanted[there]
+    return there, at
+
+
+def _replaced(jobs: np.ndarray, values: list[np.ndarray], by: np.ndarray, keep: np.ndarray, new: list[np.ndarray]) -> list[np.ndarray]:
+    """``jobs`` and their values with those of the jobs ``by`` taken out, and the new values of ``by`` where ``keep`` put in."""
+    stay = ~np.isin(jobs, by)
+    merged = np.concatenate([jobs[stay], by[keep]])
+    order = np.argsort(merged, kind="stable")
+    return [merged[order], *[np.concatenate([old[stay], n[keep]])[order] for old, n in zip(values, new)]]
+
+
+_CALL_SLICE = "job_id long, event_id long, us long, starts boolean, last_starts boolean, verdict string"
+
+
+def _fold_calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first call of every slice, with what the slice ends in, and the verdict of every later start: the call before it is here."""
+    job, hour, event_id, us, kind = _columns(frames, "job_id", "slice", "event_id", "us", "kind")
+    if not len(job):
+        return
+    order = np.lexsort((event_id, us, hour, job))
+    job, hour, event_id, us, starts = job[order], hour[order], event_id[order], us[order], kind[order] == "start"
+    first = _first(job, hour)
+    heads, later = np.flatnonzero(first), np.flatnonzero(starts & ~first)
+    yield pd.DataFrame({"job_id": job[heads], "event_id": event_id[heads], "us": us[heads], "starts": starts[heads], "last_starts": starts[_ends(first)], "verdict": None})
+    if len(later):
+        yield pd.DataFrame({"job_id": job[later], "event_id": event_id[later], "us": us[later], "starts": True, "last_starts": True,
+                            "verdict": np.where(starts[later - 1], "DUPLICATE", "ACCEPTED")})
 
 
 class _InFlight(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._active = handle.getValueState("active", "active boolean")
+        self._active = handle.getValueState("active", "jobs array<long>, active array<boolean>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[1]:
+        if key[0] < 0:
             for frame in rows:
                 yield frame[["job_id", "event_id", "verdict"]]
             return
-        event_id, us, starts, last = _columns(rows, "event_id", "us", "starts", "last_starts")
-        order = np.lexsort((event_id, us))
-        event_id, starts, last = event_id[order], starts[order].astype(bool), last[order].astype(bool)
-        active = np.append(bool(self._active.get()[0]) if self._active.exists() else False, last[:-1])
-        self._active.update((bool(last[-1]),))
-        yield pd.DataFrame({"job_id": key[0], "event_id": event_id[starts], "verdict": np.where(active[starts], "DUPLICATE", "ACCEPTED")})
+        job, event_id, us, starts, last = _columns(rows, "job_id", "event_id", "us", "starts", "last_starts")
+        order = np.lexsort((event_id, us, job))
+        job, event_id, starts, last = job[order], event_id[order], starts[order].astype(bool), last[order].astype(bool)
+        first = _first(job)
+        jobs, held = _arrays(self._active, np.int64, bool)
+        active = np.append(False, last[:-1])
+        there, at = _found(jobs, job[first])
+        before = np.zeros(len(there), bool)
+        before[there] = held[at[there]]
+        active[first] = before
+        ends = _ends(first)
+        self._active.update(tuple(c.tolist() for c in _replaced(jobs, [held], job[ends], np.ones(len(ends), bool), [last[ends]])))
+        yield pd.DataFrame({"job_id": job[starts], "event_id": event_id[starts], "verdict": np.where(active[starts], "DUPLICATE", "ACCEPTED")})
 
     def close(self) -> None:
         pass
@@ -109,9 +169,9 @@ def dedupe_active(calls: DataFrame) -> DataFrame:
 
     ``calls``: job_id, event_id, ts, kind (start or finish).  State sees one row per hour of a job.
     """
-    slices = _hours(calls).groupBy("job_id", "slice").applyInPandas(_fold_calls, _CALL_SLICE)
-    return slices.groupBy("job_id", "lane").transformWithStateInPandas(
-        _InFlight(), "job_id long, event_id long, verdict string", "Append", "None")
+    slices = _hours(calls, "event_id", "kind").mapInPandas(_fold_calls, _CALL_SLICE)
+    return _named(_bucketed(slices, F.col("verdict").isNotNull()).groupBy("bucket").transformWithStateInPandas(
+        _InFlight(), "job_id long, event_id long, verdict string", "Append", "None"))
 
 
 def dedupe_active_batch(calls: DataFrame) -> DataFrame:
@@ -210,59 +270,74 @@ def any_active(counts: DataFrame) -> DataFrame:
 
 # --- timeouts ----------------------------------------------------------------------------------------------------
 
-_RUN_SLICE = "job_id long, lane int, event_id long, first_ms long, last_ms long, open boolean, ts timestamp"
+_RUN_SLICE = "job_id long, event_id long, first_ms long, last_ms long, open boolean, settled boolean, last_us long"
 
 
 def _fold_runs(limit_ms: int):
-    def fold(key: tuple, calls: pd.DataFrame) -> pd.DataFrame:
-        """A slice's first time and its last call; starts that a later call of the slice shows to be overdue pass state by."""
-        calls = calls.sort_values(["us", "event_id"])
-        ms, starts, event_id = calls["us"].to_numpy() // 1000, calls["kind"].eq("start").to_numpy(), calls["event_id"].to_numpy()
-        late = np.flatnonzero(starts[:-1] & (np.diff(ms) > limit_ms))
-        n = 1 + len(late)
-        at = np.append(len(ms) - 1, late)
-        return pd.DataFrame({"job_id": [key[0]] * n, "lane": [0] + [1 + int(key[1]) % LANES] * len(late), "event_id": event_id[at], "first_ms": np.append(ms[0], ms[late]),
-                             "last_ms": ms[at], "open": starts[at], "ts": [calls["ts"].iloc[-1]] * n})
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The first time and the last call of every slice; starts that a later call of the slice shows to be overdue pass state by."""
+        job, hour, event_id, us, kind = _columns(frames, "job_id", "slice", "event_id", "us", "kind")
+        if not len(job):
+            return
+        order = np.lexsort((event_id, us, hour, job))
+        job, hour, event_id, us, starts = job[order], hour[order], event_id[order], us[order], kind[order] == "start"
+        ms, first = us // 1000, _first(job, hour)
+        ends = _ends(first)
+        last_us = np.repeat(us[ends], np.diff(np.append(np.flatnonzero(first), len(first))))
+        late = np.flatnonzero(starts[:-1] & ~first[1:] & (np.diff(ms) > limit_ms))
+        for at, head, settled in ((ends, np.flatnonzero(first), False), (late, late, True)):
+            if len(at):
+                yield pd.DataFrame({"job_id": job[at], "event_id": event_id[at], "first_ms": ms[head], "last_ms": ms[at], "open": starts[at], "settled": settled, "last_us": last_us[at]})
     return fold
 
 
 class _Watchdog(StatefulProcessor):
+    """The open start of each job and when it is due; a bucket's only timer is at its earliest due time."""
+
     def __init__(self, seconds: int):
         self._ms = seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getValueState("open", "event_id long, due long")
+        self._open = handle.getValueState("open", "jobs array<long>, event_id array<long>, due array<long>")
+
+    def _keep(self, jobs: np.ndarray, event_id: np.ndarray, due: np.ndarray) -> None:
+        if len(jobs):
+            self._open.update((jobs.tolist(), event_id.tolist(), due.tolist()))
+            self._handle.registerTimer(int(due.min()))
+        elif self._open.exists():
+            self._open.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[1]:
+        if key[0] < 0:
             for frame in rows:
                 yield frame[["job_id", "event_id"]]
             return
-        event_id, first, last, opens = _columns(rows, "event_id", "first_ms", "last_ms", "open")
-        order = np.lexsort((event_id, first))
-        event_id, first, last, opens = event_id[order], first[order], last[order], opens[order].astype(bool)
-        # the call that is open when each slice begins: the one before it, and for the first slice what state holds
+        job, event_id, begin, last, opens = _columns(rows, "job_id", "event_id", "first_ms", "last_ms", "open")
+        order = np.lexsort((event_id, begin, job))
+        job, event_id, begin, last, opens = job[order], event_id[order], begin[order], last[order], opens[order].astype(bool)
+        first = _first(job)
+        jobs, held_id, held_due = _arrays(self._open, np.int64, np.int64, np.int64)
+        if len(jobs):
+            self._handle.deleteTimer(int(held_due.min()))
+        # the call that is open when each slice begins: the one before it, and for a job's first slice what state holds
         before_id, due = np.append(-1, event_id[:-1]), np.append(0, last[:-1] + self._ms)
         was_open = np.append(False, opens[:-1])
-        if self._open.exists():
-            before_id[0], due[0] = self._open.get()
-            was_open[0] = True
-            self._handle.deleteTimer(int(due[0]))
-        found = before_id[was_open & (first > due)]
-        if opens[-1]:
-            self._open.update((int(event_id[-1]), int(last[-1]) + self._ms))
-            self._handle.registerTimer(int(last[-1]) + self._ms)
-        elif self._open.exists():
-            self._open.clear()
-        yield pd.DataFrame({"job_id": [key[0]] * len(found), "event_id": found})
+        there, at = _found(jobs, job[first])
+        was_open[first] = there
+        known = np.flatnonzero(first)[there]
+        before_id[known], due[known] = held_id[at[there]], held_due[at[there]]
+        found = was_open & (begin > due)
+        ends = _ends(first)
+        self._keep(*_replaced(jobs, [held_id, held_due], job[ends], opens[ends], [event_id[ends], last[ends] + self._ms]))
+        yield pd.DataFrame({"job_id": job[found], "event_id": before_id[found]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._open.exists():
-            event_id, due = self._open.get()
-            if due <= expiredTimerInfo.getExpiryTimeInMs():
-                self._open.clear()
-                yield pd.DataFrame({"job_id": [key[0]], "event_id": [int(event_id)]})
+        jobs, event_id, due = _arrays(self._open, np.int64, np.int64, np.int64)
+        done = due <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        if done.any():
+            self._keep(jobs[~done], event_id[~done], due[~done])
+            yield pd.DataFrame({"job_id": jobs[done], "event_id": event_id[done]})
 
     def close(self) -> None:
         pass
@@ -270,10 +345,10 @@ class _Watchdog(StatefulProcessor):
 
 def stuck_jobs(calls: DataFrame, seconds: int = STUCK_SECONDS, late: str = "10 minutes") -> DataFrame:
     """Starts without any further call of their job within the limit, found by event-time timers.  State sees one row per hour of a job."""
-    timed = calls.withColumn("ts", F.col("ts").cast("timestamp"))
-    slices = _hours(timed, "ts").groupBy("job_id", "slice").applyInPandas(_fold_runs(seconds * 1000), _RUN_SLICE).withWatermark("ts", late)
-    return slices.groupBy("job_id", "lane").transformWithStateInPandas(
-        _Watchdog(seconds), "job_id long, event_id long", "Append", "EventTime")
+    slices = _hours(calls, "event_id", "kind").mapInPandas(_fold_runs(seconds * 1000), _RUN_SLICE)
+    timed = slices.withColumn("ts", F.timestamp_micros("last_us")).withWatermark("ts", late)
+    return _named(_bucketed(timed, F.col("settled")).groupBy("bucket").transformWithStateInPandas(
+        _Watchdog(seconds), "job_id long, event_id long", "Append", "EventTime"))
 
 
 def stuck_jobs_batch(calls: DataFrame, now: Column, seconds: int = STUCK_SECONDS) -> DataFrame:
@@ -346,60 +421,67 @@ def stage_counts(events: DataFrame, width: str = "1 hour", slide: str | None = N
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "stage", "event", "n"))
 
 
-_BURST = "job_id long, first_us long, last_us long, n long, ts timestamp"
+_BURST = "job_id long, first_us long, last_us long, n long"
 
 
 def _fold_bursts(gap_us: int):
-    def fold(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-        """The bursts of a slice: first and last time and number of events."""
-        events = events.sort_values("us")
-        us = events["us"].to_numpy()
-        starts = np.flatnonzero(np.append(True, np.diff(us) > gap_us))
-        ends = np.append(starts[1:], len(us))
-        return pd.DataFrame({"job_id": key[0], "first_us": us[starts], "last_us": us[ends - 1], "n": ends - starts, "ts": events["ts"].to_numpy()[ends - 1]})
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The bursts of every slice: first and last time and number of events."""
+        job, hour, us = _columns(frames, "job_id", "slice", "us")
+        if not len(job):
+            return
+        order = np.lexsort((us, hour, job))
+        job, hour, us = job[order], hour[order], us[order]
+        opens = _first(job, hour)
+        opens[1:] |= np.diff(us) > gap_us
+        starts, ends = np.flatnonzero(opens), _ends(opens)
+        yield pd.DataFrame({"job_id": job[starts], "first_us": us[starts], "last_us": us[ends], "n": ends - starts + 1})
     return fold
 
 
 class _Sessions(StatefulProcessor):
-    """Open bursts of a job; two that are at most the gap apart are one, so they merge in any order."""
+    """Open bursts of jobs; two of a job that are at most the gap apart are one, so they merge in any order.
+
+    A bucket's only timer is at the earliest end of its bursts.
+    """
 
     def __init__(self, gap_us: int):
         self._gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getValueState("open", "first array<long>, last array<long>, n array<long>")
+        self._open = handle.getValueState("open", "jobs array<long>, first array<long>, last array<long>, n array<long>")
 
-    def _due(self, last_us: int) -> int:
+    def _due(self, last_us: np.ndarray) -> np.ndarray:
         return -(-(last_us + self._gap) // 1000)
 
+    def _keep(self, *bursts: np.ndarray) -> None:
+        if len(bursts[0]):
+            self._open.update(tuple(c.tolist() for c in bursts))
+            self._handle.registerTimer(int(self._due(bursts[2]).min()))
+        elif self._open.exists():
+            self._open.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last, n = _columns(rows, "first_us", "last_us", "n")
-        if self._open.exists():
-            held = [np.array(c, np.int64) for c in self._open.get()]
-            for due in {self._due(int(x)) for x in held[1]}:
-                self._handle.deleteTimer(due)
-            first, last, n = (np.concatenate(c) for c in zip(held, (first, last, n)))
-        order = np.argsort(first, kind="stable")
-        first, last, n = first[order], last[order], n[order]
-        reach = np.maximum.accumulate(last)
-        starts = np.flatnonzero(np.append(True, first[1:] - reach[:-1] > self._gap))
-        first, last, n = first[starts], np.maximum.reduceat(last, starts), np.add.reduceat(n, starts)
-        self._open.update(tuple(c.tolist() for c in (first, last, n)))
-        for due in {self._due(int(x)) for x in last}:
-            self._handle.registerTimer(due)
+        held = _arrays(self._open, *[np.int64] * 4)
+        if len(held[0]):
+            self._handle.deleteTimer(int(self._due(held[2]).min()))
+        job, first, last, n = (np.concatenate(c) for c in zip(held, _columns(rows, "job_id", "first_us", "last_us", "n")))
+        order = np.lexsort((first, job))
+        job, first, last, n = job[order], first[order], last[order], n[order]
+        reach = pd.Series(last).groupby(job).cummax().to_numpy()
+        opens = _first(job)
+        opens[1:] |= first[1:] - reach[:-1] > self._gap
+        starts = np.flatnonzero(opens)
+        self._keep(job[starts], first[starts], np.maximum.reduceat(last, starts), np.add.reduceat(n, starts))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self._open.exists():
-            return
-        first, last, n = (np.array(c, np.int64) for c in self._open.get())
-        done = np.array([self._due(int(x)) <= expiredTimerInfo.getExpiryTimeInMs() for x in last])
-        if done.all():
-            self._open.clear()
-        else:
-            self._open.update(tuple(c[~done].tolist() for c in (first, last, n)))
-        yield pd.DataFrame({"job_id": [key[0]] * int(done.sum()), "first_us": first[done], "last_us": last[done], "n": n[done]})
+        job, first, last, n = _arrays(self._open, *[np.int64] * 4)
+        done = self._due(last) <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        if done.any():
+            self._keep(*[c[~done] for c in (job, first, last, n)])
+            yield pd.DataFrame({"job_id": job[done], "first_us": first[done], "last_us": last[done], "n": n[done]})
 
     def close(self) -> None:
         pass
@@ -411,9 +493,9 @@ def job_sessions(events: DataFrame, gap_seconds: int = 1800, late: str = "10 min
     An event that comes after its hour's watermark is left out; one that comes before joins or bridges bursts.
     """
     gap = gap_seconds * 1_000_000
-    timed = events.select("job_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("us", _micros(F.col("ts")))
-    bursts = (timed.withColumn("slice", F.floor(F.col("us") / SLICE_US)).groupBy("job_id", "slice").applyInPandas(_fold_bursts(gap), _BURST).withWatermark("ts", late))
-    closed = bursts.groupBy("job_id").transformWithStateInPandas(_Sessions(gap), "job_id long, first_us long, last_us long, n long", "Append", "EventTime")
+    bursts = _hours(events).mapInPandas(_fold_bursts(gap), _BURST).withColumn("ts", F.timestamp_micros("last_us")).withWatermark("ts", late)
+    own = bursts.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS)))
+    closed = _named(own.groupBy("bucket").transformWithStateInPandas(_Sessions(gap), "job_id long, first_us long, last_us long, n long", "Append", "EventTime"))
     return closed.select("job_id", F.timestamp_micros("first_us").alias("session_start"), F.timestamp_micros(F.col("last_us") + gap).alias("session_end"), "n")
 
 

@@ -141,3 +141,36 @@ def test_sessions_merge_and_leave_out_late_rows(spark, log, tmp_path):
     # job 1's burst is bridged by minute 25; its minute 20 comes after the watermark, job 2's minute 195 before
     assert rows(got, "job_id", "session_start", "session_end", "n") == [
         (1, at(0), at(87), 4), (2, at(10), at(40), 1), (2, at(60), at(90), 1), (2, at(195), at(230), 2)]
+
+
+def many_jobs(spark, log, tmp_path, make, schema, rows):
+    """(rows put out, most rows of state) of a stream over 6,000 jobs, whose calls are hours apart, in three micro-batches."""
+    place, out = tmp_path / uuid.uuid4().hex, tmp_path / uuid.uuid4().hex
+    for k in range(3):
+        spark.createDataFrame(rows[k * len(rows) // 3:(k + 1) * len(rows) // 3], schema).coalesce(1).write.mode("append").parquet(str(place))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(place))
+    q = (make(stream).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / uuid.uuid4().hex)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    state = max(s["customMetrics"].get("numValueStateVars", 0) and s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+    return spark.read.parquet(str(out)), state
+
+
+def spread_calls(n=6000):
+    r = random.Random(8)
+    return [(r.randrange(n) if i % 50 else None, 3 * i, at(0, i * 30), r.choice(["start", "finish"])) for i in range(2 * n)]
+
+
+CALLS = "job_id bigint, event_id bigint, ts timestamp, kind string"
+
+
+def test_many_jobs_share_state_duplicates(spark, log, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 16)
+    calls = spread_calls()
+    got, state = many_jobs(spark, log, tmp_path, S.dedupe_active, CALLS, calls)
+    # the batch form asks for non-null jobs
+    known = spark.createDataFrame([c for c in calls if c[0] is not None], CALLS)
+    assert rows(got.filter("job_id IS NOT NULL"), "job_id", "event_id", "verdict") == rows(S.dedupe_active_batch(known), "job_id", "event_id", "verdict")
+    none = [c for c in calls if c[0] is None]
+    want = [(b[1], "DUPLICATE" if a and a[3] == "start" else "ACCEPTED") for a, b in zip([None, *none], none) if b[3] == "start"]
+    assert rows(got.filter("job_id IS NULL"), "event_id", "verdict") == want and len(want) > 50
+    assert state <= 32
