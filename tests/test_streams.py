@@ -174,3 +174,12 @@ def test_many_jobs_share_state_duplicates(spark, log, tmp_path, monkeypatch):
     want = [(b[1], "DUPLICATE" if a and a[3] == "start" else "ACCEPTED") for a, b in zip([None, *none], none) if b[3] == "start"]
     assert rows(got.filter("job_id IS NULL"), "event_id", "verdict") == want and len(want) > 50
     assert state <= 32
+
+
+def test_many_jobs_share_state_stuck(spark, log, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 16)
+    calls = [c for c in spread_calls() if c[0] is not None]
+    got, state = many_jobs(spark, log, tmp_path, S.stuck_jobs, CALLS, calls)
+    newest = calls[-1][2] - dt.timedelta(minutes=10)
+    assert rows(got, "job_id", "event_id") == rows(S.stuck_jobs_batch(spark.createDataFrame(calls, CALLS), F.lit(newest).cast("timestamp")), "job_id", "event_id")
+    assert state <= 64  # a bucket's value and timers
