@@ -183,3 +183,14 @@ def test_many_jobs_share_state_stuck(spark, log, tmp_path, monkeypatch):
     newest = calls[-1][2] - dt.timedelta(minutes=10)
     assert rows(got, "job_id", "event_id") == rows(S.stuck_jobs_batch(spark.createDataFrame(calls, CALLS), F.lit(newest).cast("timestamp")), "job_id", "event_id")
     assert state <= 64  # a bucket's value and timers
+
+
+def test_many_jobs_share_state_sessions(spark, log, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 16)
+    calls = [c for c in spread_calls() if c[0] is not None]
+    got, state = many_jobs(spark, log, tmp_path, S.job_sessions, CALLS, calls)
+    newest = calls[-1][2] - dt.timedelta(minutes=10)
+    closed = S.job_sessions_batch(spark.createDataFrame(calls, CALLS)).filter(F.col("session_end") <= F.lit(newest).cast("timestamp"))
+    cols = ("job_id", "session_start", "session_end", "n")
+    assert rows(got, *cols) == rows(closed, *cols) and got.count() > 5000
+    assert state <= 64  # a bucket's value and timers
