@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adlattice import vocab
-from adlattice.operators.scale import previous_row
+from adlattice.operators.scale import first_row, previous_row
 
 INSETS = ("safe_top", "safe_right", "safe_bottom", "safe_left")
 
@@ -221,15 +221,22 @@ def spec_items(specs: DataFrame) -> DataFrame:
 
 # --- request resolution ------------------------------------------------------------------------------------------
 
-def resolve_specs(messages: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Specs of each job: its ids, or all active specs of its media when it names none; and the jobs left without."""
+def resolve_specs(messages: DataFrame, specs: DataFrame, first_of_media: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Specs of each job: its ids, or all active specs of its media when it names none; and the jobs left without.
+
+    Jobs times specs of a media is as many rows as there are answers.  Who only asks which media a job has, and from where on,
+    takes ``first_of_media``: of each media the active spec that is first in order stands for all.  The jobs left without are
+    found by what is there at all, so no such row is made for them.
+    """
     named = F.coalesce(F.size("spec_ids"), F.lit(0)) > 0
-    by_id = (messages.filter(named).select("job_id", F.explode(F.array_distinct("spec_ids")).alias("slug"))
-             .join(specs, "slug"))
-    by_media = (messages.filter(~named).select("job_id", F.explode(F.array_distinct("target_media")).alias("media"))
-                .join(specs.filter("active"), "media"))
-    found = by_id.unionByName(by_media)
-    failed = messages.select("job_id").join(found, "job_id", "left_anti").withColumn("error", F.lit("no specs selected"))
+    ids = messages.filter(named).select("job_id", F.explode(F.array_distinct("spec_ids")).alias("slug"))
+    media = messages.filter(~named).select("job_id", F.explode(F.array_distinct("target_media")).alias("media"))
+    active = specs.filter("active")
+    shelf = first_row(active.filter(F.col("media").isNotNull()), ["media"], [F.col("sort_order").isNull(), "sort_order"]) if first_of_media else active
+    found = ids.join(specs, "slug").unionByName(media.join(shelf, "media"))
+    served = (ids.join(specs.select("slug").distinct(), "slug", "left_semi").select("job_id")
+              .union(media.join(active.select("media").distinct(), "media", "left_semi").select("job_id")))
+    failed = messages.select("job_id").join(served, "job_id", "left_anti").withColumn("error", F.lit("no specs selected"))
     return found, failed
 
 

@@ -290,7 +290,7 @@ def j_resolve_failed(t: Tables) -> DataFrame:
 @query("j04_job_media", _MSG_SQL + """, m AS (SELECT job_id, media, MIN(sort_order) AS fst FROM found GROUP BY 1, 2)
 SELECT job_id, string_agg(media, ',' ORDER BY fst, media) AS media FROM m GROUP BY job_id""")
 def j_media(t: Tables) -> DataFrame:
-    return C.job_media(C.resolve_specs(messages(t), t.fx_spec)[0]).withColumn("media", F.array_join("media", ","))
+    return C.job_media(C.resolve_specs(messages(t), t.fx_spec, first_of_media=True)[0]).withColumn("media", F.array_join("media", ","))
 
 
 @query("u04_distinct_media", "SELECT DISTINCT j.job_id, s.media FROM fx_job_spec j JOIN fx_spec s USING (slug)")

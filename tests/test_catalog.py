@@ -90,3 +90,39 @@ def test_names_of_many_results_are_distinct(spark):
     rows = [(1, i, "a", 10, 10, "/o/r.png") for i in range(150)]
     named = J.name_results(spark.createDataFrame(rows, "job_id int, ordinal int, slug string, width int, height int, file_path string")).collect()
     assert sorted(r["new_name"] for r in named) == sorted(f"{i:02d}_a_10x10.png" for i in range(150))
+
+
+def _request(spark):
+    """400 jobs that name a media with 300 specs, besides jobs that name ids or nothing that is there."""
+    specs = spark.range(600).selectExpr("concat('s', id) AS slug", "CASE WHEN id < 300 THEN 'big' WHEN id < 400 THEN 'off' ELSE concat('m', id % 7) END AS media",
+                                        "CAST(CASE WHEN id % 5 > 0 THEN 1000 - id END AS INT) AS sort_order", "id < 300 OR id >= 400 AS active")
+    messages = spark.range(500).selectExpr(
+        "CASE WHEN id <> 499 THEN id END AS job_id", "CASE WHEN id % 10 = 1 THEN array(concat('s', id), 's350', 'gone') WHEN id % 10 = 2 THEN array('gone') END AS spec_ids",
+        "CASE WHEN id % 10 = 3 THEN array('off') WHEN id % 10 = 4 THEN CAST(NULL AS ARRAY<STRING>) WHEN id % 10 = 5 THEN array('big', 'm3', CAST(NULL AS STRING)) ELSE array('big') END AS target_media")
+    return messages, specs
+
+
+def _most_rows(df):
+    """The rows that any one operator put out while ``df`` ran."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        if plan.metrics().contains("numOutputRows"):
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        kids = plan.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return most
+
+
+def test_jobs_without_specs_make_no_pairs(spark):
+    messages, specs = _request(spark)
+    failed = C.resolve_specs(messages, specs)[1]
+    found = {r[0] for r in C.resolve_specs(messages, specs)[0].select("job_id").distinct().collect()} - {None}
+    want = sorted((r[0] or -1) for r in messages.select("job_id").collect() if r[0] not in found)
+    assert sorted((r[0] or -1) for r in failed.select("job_id").collect()) == want and len(want) > 100
+    assert _most_rows(failed) <= 2000
