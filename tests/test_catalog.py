@@ -126,3 +126,11 @@ def test_jobs_without_specs_make_no_pairs(spark):
     want = sorted((r[0] or -1) for r in messages.select("job_id").collect() if r[0] not in found)
     assert sorted((r[0] or -1) for r in failed.select("job_id").collect()) == want and len(want) > 100
     assert _most_rows(failed) <= 2000
+
+
+def test_media_of_jobs_make_no_pairs(spark):
+    messages, specs = _request(spark)
+    short = C.job_media(C.resolve_specs(messages, specs, first_of_media=True)[0])
+    whole = C.job_media(C.resolve_specs(messages, specs)[0])
+    assert sorted(map(str, short.collect())) == sorted(map(str, whole.collect())) and short.count() > 300
+    assert _most_rows(short) <= 2000
