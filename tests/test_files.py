@@ -1,6 +1,7 @@
 """Real files: pictures, layered-file headers, logs, streams."""
 import hashlib
 import json
+import os
 import struct
 import zlib
 
@@ -118,3 +119,23 @@ def test_in_flight_over_several_batches(spark, tmp_path):
     assert got == {1: "ACCEPTED", 2: "ACCEPTED", 3: "DUPLICATE", 5: "ACCEPTED", 7: "ACCEPTED"}
     batch = {r.event_id: r.verdict for r in S.dedupe_active_batch(spark.read.schema(schema).json(str(src))).collect()}
     assert batch == got
+
+
+def test_header_files_come_a_share_at_a_time(spark, tmp_path, monkeypatch):
+    from adlattice.plans import sources as PS
+    spark.range(1, 121).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    held, write = [], PS.write_files
+
+    def watched(rows, place):
+        write(rows, place)
+        held.append((place, sum(len(f) for _, _, f in os.walk(place))))
+    monkeypatch.setattr(PS, "write_files", watched)
+
+    def scan():
+        held.clear()
+        return sorted(map(tuple, PS.s_psd(PS.Tables(spark, str(tmp_path))).collect()), key=lambda r: r[0])
+    whole = scan()
+    assert len(whole) == 120 and len(held) == 1 and not any(os.path.exists(p) for p, _ in held)
+    monkeypatch.setattr(PS, "FILES_AT_ONCE", 20)
+    assert scan() == whole
+    assert len(held) == 6 and sum(n for _, n in held) == 120 and max(n for _, n in held) < 60 and not any(os.path.exists(p) for p, _ in held)
