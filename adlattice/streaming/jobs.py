@@ -57,14 +57,19 @@ def stream_specs(messages: DataFrame, specs: DataFrame) -> DataFrame:
 # --- in-flight duplicates ----------------------------------------------------------------------------------------
 
 BUCKETS = 4096  # jobs share state in this many buckets; rows that are settled pass by in as many of their own, below 0
-_NONE = -(1 << 63)  # stands for a null job or event while arrays of whole numbers are folded
+# a null job, and a null event (the last of its time), while arrays of whole numbers are folded
+_NONE = {"job_id": -(1 << 63), "event_id": (1 << 63) - 1}
+
+
+def _whole(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(_NONE[name])).alias(name)
 
 
 def _hours(events: DataFrame, *more: str) -> DataFrame:
     """job_id, microseconds and what else is asked of timed events, dealt to slices of a job."""
     us = _micros(F.col("ts"))
-    marked = events.select(F.coalesce(F.col("job_id").cast("long"), F.lit(_NONE)).alias("job_id"), us.alias("us"),
-                           *[F.coalesce(F.col(c).cast("long"), F.lit(_NONE)).alias(c) if c == "event_id" else c for c in more])
+    marked = events.select(_whole("job_id"), us.alias("us"),
+                           *[_whole(c) if c == "event_id" else c for c in more])
     return marked.withColumn("slice", F.floor(F.col("us") / SLICE_US)).repartition("job_id", "slice")
 
 
@@ -75,7 +80,7 @@ def _bucketed(rows: DataFrame, settled: Column) -> DataFrame:
 
 def _named(rows: DataFrame) -> DataFrame:
     """Nulls in place of ``_NONE``."""
-    return rows.withColumns({c: F.when(F.col(c) != _NONE, F.col(c)) for c in ("job_id", "event_id") if c in rows.columns})
+    return rows.withColumns({c: F.when(F.col(c) != none, F.col(c)) for c, none in _NONE.items() if c in rows.columns})
 
 
 def _columns(rows: Iterator[pd.DataFrame], *names: str) -> list[np.ndarray]:
