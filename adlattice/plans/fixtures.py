@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adlattice.session import size_shuffles
+
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
 
@@ -84,7 +86,9 @@ class Tables:
             raise AttributeError(name)
         if name not in self._seen:
             if name in BASE:
-                frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                path = f"{self.folder}/{name}.parquet"
+                size_shuffles(self.spark, path)
+                frame = self.spark.read.parquet(path)
             else:
                 text = VIEWS[name]
                 frame = self.spark.sql(text, **{n: getattr(self, n) for n in set(_HOLE.findall(text))})

@@ -19,6 +19,13 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Bytes of a table that a shuffle partition stands for.
+SHARE_BYTES = 2 << 20
+#: What a task reads of a file or gets of a shuffle at most, where the session has Spark's own value (the first).
+TASK_BYTES = {"spark.sql.files.maxPartitionBytes": ("128MB", "16MB"),
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("64MB", "4MB"),
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": ("256MB", "16MB")}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   memory: str | None = None) -> SparkSession:
@@ -34,6 +41,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, path: str) -> None:
+    """Raises the number of shuffle partitions to one per ``SHARE_BYTES`` of the table at ``path``, so that a task's share of rows
+    doesn't grow with the table.  Settings of the user's own that are finer stay.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    shares = -(-files.getContentSummary(place).getLength() // SHARE_BYTES)
+    if shares > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(shares))
+    for key, (default, finer) in TASK_BYTES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, finer)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 

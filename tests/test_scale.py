@@ -114,3 +114,22 @@ def test_a_deep_page_sorts_few_rows(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     offset = int(re.search(r"Offset (\d+)", plan)[1]) if "Offset" in plan else 0
     assert offset < 600 and [x.job_id for x in got.collect()] == [3 * (300 * 50 - 50 - 6667 - 6667 + k) + 2 for k in range(50)]
+
+
+def test_shuffles_grow_with_the_table(spark, tmp_path):
+    """A task's share of a table stays what it is, however large the table; finer settings of the user's stay as well."""
+    from adlattice import session
+    from adlattice.plans.fixtures import Tables
+    spark.range(1_200_000).selectExpr("id AS l_orderkey", "xxhash64(id) AS l_partkey").coalesce(2).write.parquet(f"{tmp_path}/lineitem.parquet")
+    mine = spark.newSession()
+    mine.conf.set("spark.sql.shuffle.partitions", "2")
+    size = sum(p.stat().st_size for p in (tmp_path / "lineitem.parquet").iterdir())
+    least = size // session.SHARE_BYTES
+    assert least > 2
+    Tables(mine, str(tmp_path)).lineitem
+    assert int(mine.conf.get("spark.sql.shuffle.partitions")) >= least
+    assert [mine.conf.get(k) for k in session.TASK_BYTES] == [finer for _, finer in session.TASK_BYTES.values()]
+    mine.conf.set("spark.sql.shuffle.partitions", "5000")
+    mine.conf.set("spark.sql.files.maxPartitionBytes", "1MB")
+    Tables(mine, str(tmp_path)).lineitem
+    assert (mine.conf.get("spark.sql.shuffle.partitions"), mine.conf.get("spark.sql.files.maxPartitionBytes")) == ("5000", "1MB")
