@@ -1,19 +1,18 @@
 """String helpers over names and free text."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from adlattice import vocab
 
 
 def layer_role(name: Column) -> Column:
-    """Role by the first matching prefix of the bare, lower-case layer name."""
-    bare = F.regexp_replace(F.lower(name), r"^[\[\] \t]+|[\[\] \t]+$", "")
-    out = None
-    for prefix, role in vocab.LAYER_PREFIXES:
-        cond = F.startswith(bare, F.lit(prefix))
-        out = F.when(cond, role) if out is None else out.when(cond, role)
-    return out.otherwise("unknown")
+    """Role by the first matching prefix of the bare, lower-case layer name: one pattern, matched once per name."""
+    prefix = F.regexp_extract(F.lower(name), rf"^[\[\] \t]*({'|'.join(re.escape(p) for p, _ in vocab.LAYER_PREFIXES)})", 1)
+    roles = F.create_map(*[F.lit(v) for pair in vocab.LAYER_PREFIXES for v in pair])
+    return F.coalesce(F.try_element_at(roles, prefix), F.lit("unknown"))
 
 
 def safe_name(name: Column) -> Column:

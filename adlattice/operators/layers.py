@@ -7,6 +7,7 @@ from adlattice import vocab
 from adlattice.functions import geometry as G
 from adlattice.functions.text import layer_role
 from adlattice.operators.scale import first_row, running_max
+from adlattice.session import materialise
 
 MARGIN = 30
 
@@ -54,12 +55,14 @@ def top_layers(layers: DataFrame) -> DataFrame:
 def expand_groups(layers: DataFrame, key: str = "psd_id") -> DataFrame:
     """Pieces a top layer is composited from: itself, its children, or a child group's own visible children.
 
-    Parents are the last row of the level above (a running maximum); a child group with more than one meaningful
+    ``layers``: key, ord, depth, name, role, is_group, visible.  Parents are the last row of the level above (a running maximum); a child group with more than one meaningful
     child is replaced by these.
     """
     named = layers.withColumn("_bg", F.lower("name").isin(*vocab.BACKGROUND_NAMES))
     for level, out in ((0, "_top"), (1, "_child")):
         named = running_max(named, [key], "ord", F.when(F.col("depth") == level, F.col("ord")), out)
+    # written once: tops, children and subs are all taken from it
+    named = materialise(named.select(key, "ord", "depth", "name", "role", "is_group", "visible", "_bg", "_top", "_child"))
     tops = top_layers(named).select(key, F.col("ord").alias("_top"), F.col("is_group").alias("_tgroup"),
                                     F.col("role").alias("_trole"))
     single = tops.filter(~F.col("_tgroup")).select(key, F.col("_top").alias("ord"), F.lit("layer").alias("piece"),
@@ -117,6 +120,11 @@ def ap_place(layers: DataFrame) -> DataFrame:
 _BOX = "ord", "x1", "y1", "x2", "y2"
 
 
+def _once(targets: DataFrame, key: str) -> DataFrame:
+    """The targets written, as pivots and text blocks both come from them."""
+    return materialise(targets.select(key, "ord", "role", "name", "is_group", "x1", "y1", "x2", "y2", "src_w", "src_h", "tgt_w", "tgt_h"))
+
+
 def _pivots(targets: DataFrame, key: str) -> DataFrame:
     """First logo, product and model of a file and the hull of its text, in one aggregate."""
     image = F.struct(*_BOX)
@@ -138,14 +146,17 @@ def is_text() -> Column:
     return (F.col("role").isin("title", "body") & ~F.col("is_group")) | (F.col("role") == "badge")
 
 
-def _placed(key: str, pivots: DataFrame, which: str, x1, y1, x2, y2, scale) -> DataFrame:
-    return pivots.filter(F.col(which).isNotNull()).select(
-        key, F.col(which)["ord"].alias("ord"), F.lit(which).alias("slot"), x1.alias("nx1"), y1.alias("ny1"),
-        x2.alias("nx2"), y2.alias("ny2"), scale.alias("scale_used"))
+def _slots(pivots: DataFrame, key: str, slots: dict[str, tuple]) -> DataFrame:
+    """A row per pivot that a file has: ``slots`` gives its x1, y1, x2, y2 and scale.  All slots leave a file's row at once."""
+    rows = [F.struct(F.col(which)["ord"].alias("ord"), F.lit(which).alias("slot"), *[
+        c.alias(n) for n, c in zip(("nx1", "ny1", "nx2", "ny2", "scale_used"), cols)], F.col(which).isNotNull().alias("_there"))
+        for which, cols in slots.items()]
+    return pivots.select(key, F.inline(F.array(*rows))).filter("_there").drop("_there")
 
 
 def edge_layout(targets: DataFrame, key: str = "psd_id", margin: int = MARGIN) -> DataFrame:
     """Wide strips: model at the right edge, product at the left, logo and text centred between them."""
+    targets = _once(targets, key)
     p = _pivots(targets, key)
     s = F.least(F.lit(1.0), F.col("tgt_h") / F.col("src_h"))
     oy = (F.col("tgt_h") - F.col("src_h") * s) / 2
@@ -168,8 +179,9 @@ def edge_layout(targets: DataFrame, key: str = "psd_id", margin: int = MARGIN) -
         "_ts", F.when(uw > F.col("_room"), F.col("_s") * (F.col("_room") / uw)).otherwise(F.col("_s")))
     p = p.withColumns({"_ox": F.col("_left") + (F.col("_room") - (F.col("ux2") - F.col("ux1")) * F.col("_ts")) / 2,
                        "_oy": (F.col("tgt_h") - (F.col("uy2") - F.col("uy1")) * F.col("_ts")) / 2})
-    fixed = (_placed(key, p, "model", F.col("_mx1"), F.col("_my1"), F.col("tgt_w"), F.col("_my2"), F.col("_s"))
-             .unionByName(_placed(key, p, "prod", F.lit(margin), F.col("_py1"), F.col("_px2"), F.col("_py2"), F.col("_s"))))
+    p = materialise(p)
+    fixed = _slots(p, key, {"model": (F.col("_mx1"), F.col("_my1"), F.col("tgt_w"), F.col("_my2"), F.col("_s")),
+                            "prod": (F.lit(margin), F.col("_py1"), F.col("_px2"), F.col("_py2"), F.col("_s"))})
     block = p.select(key, F.col("logo")["ord"].alias("_logo"), "ux1", "uy1", "_ts", "_ox", "_oy")
     middle = targets.select(key, "ord", "x1", "y1", "x2", "y2", is_text().alias("_t"), "role").filter(
         F.col("_t") | (F.col("role") == "logo")).join(block, key).filter(F.col("_t") | (F.col("ord") == F.col("_logo")))
@@ -187,6 +199,7 @@ def _spread(block: DataFrame, key: str, slot: Column) -> DataFrame:
 
 def vertical_layout(targets: DataFrame, key: str = "psd_id", margin: int = MARGIN) -> DataFrame:
     """Tall strips: product and logo from the top, text hull at the bottom, model filling what is left."""
+    targets = _once(targets, key)
     p = _pivots(targets, key)
     inner = F.col("tgt_w") - 2 * margin
     p = p.withColumn("_s", F.greatest(F.lit(0.4), F.least(F.lit(1.0), inner / F.col("src_w"))))
@@ -207,10 +220,9 @@ def vertical_layout(targets: DataFrame, key: str = "psd_id", margin: int = MARGI
     model = F.col("model")
     p = p.withColumn("_fill", F.greatest(F.lit(100), F.col("_bottom") - F.col("_top2")) / (model["y2"] - model["y1"]))
     p = p.withColumns(centred(model, F.col("_fill"), F.col("_top2"), "m"))
-    out = None
-    for which, tag, scale in (("prod", "p", "_s"), ("logo", "l", "_s"), ("model", "m", "_fill")):
-        part = _placed(key, p, which, *[F.col(f"_{tag}{c}") for c in ("x1", "y1", "x2", "y2")], F.col(scale))
-        out = part if out is None else out.unionByName(part)
+    p = materialise(p)
+    out = _slots(p, key, {which: tuple(F.col(f"_{tag}{c}") for c in ("x1", "y1", "x2", "y2")) + (F.col(scale),)
+                          for which, tag, scale in (("prod", "p", "_s"), ("logo", "l", "_s"), ("model", "m", "_fill"))})
     block = p.select(key, F.col("tx1").alias("ux1"), F.col("ty1").alias("uy1"), "_ts", "_ox", "_oy")
     text = targets.filter(is_text()).select(key, "ord", "x1", "y1", "x2", "y2").join(block, key)
     return out.unionByName(_spread(text, key, F.lit("text")))
