@@ -110,3 +110,27 @@ def test_group_boxes_from_nested_leaves(spark):
     d = spark.createDataFrame(rows, "psd_id int, ord int, depth int, name string, is_group boolean, x1 int, y1 int, x2 int, y2 int")
     got = {r.ord: (r.x1, r.y1, r.x2, r.y2) for r in LY.fill_group_bboxes(d).collect()}
     assert got[1] == (5, 10, 50, 60) and got[3] == (5, 30, 50, 60) and got[5] == (0, 0, 1, 1)
+
+
+def test_candidates_and_their_text_are_computed_once(spark):
+    """Anchors of a role and side are literals, places along an axis come by size, and the text reads each candidate once."""
+    import contextlib
+    import io
+
+    from adlattice.operators import layout as LO
+    from adlattice.plans.layout import per_object
+    rows = [(1, 1, "o1", "product", 10, 20, 100, 80, 600, 0.5, 7, 3, 293, 197), (1, 1, "o2", "logo", 500, 20, 31, 17, 600, 0.5, 7, 3, 293, 197),
+            (1, 1, "o3", "other", 0, 0, 40, 20, 600, 0.5, None, 3, 293, 197)]
+    df = spark.createDataFrame(rows, "job_id int, ordinal int, object_id string, role string, x int, y int, w int, h int, image_w int, scale double, "
+                                     "zone_left int, zone_top int, zone_right int, zone_bottom int")
+    out = per_object(LO.candidates(df), "cand", "anchor", "cx", "cy", "cw", "ch")
+    got = {r.object_id: r.candidates.split(";") for r in out.collect()}
+    assert [len(got[k]) for k in ("o1", "o2", "o3")] == [36, 10, 5]
+    assert got["o2"][:2] == ["0:top-right:277:3:16:8", "1:top-right:279:3:14:7"]
+    # 36 of 300 is below a quarter of 600: the first scale makes it 150 wide; a third of the zone is at 7 + 95
+    assert got["o1"][0] == "0:left-center:7:40:150:120" and got["o1"][6].startswith("6:center-left:27:")
+    assert got["o3"][0] == "0:top-center:null:3:20:10"
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        out.explain()
+    assert "Contains(" not in text.getvalue() and "contains(" not in text.getvalue() and "replace(" not in text.getvalue()
