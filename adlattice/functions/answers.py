@@ -105,7 +105,7 @@ def parse_analysis(raw: Column) -> Column:
 
 
 def _items(raw: Column, schema: str) -> Column:
-    return F.when(raw.startswith("["), F.from_json(raw, schema))
+    return once(raw, lambda r: F.when(r.startswith("["), F.from_json(r, schema)))
 
 
 def parse_elements(raw: Column) -> Column:
@@ -136,11 +136,13 @@ def parse_bands(raw: Column) -> Column:
 
 def normalise_role(raw: Column) -> Column:
     """Synonyms to the role they mean, then the allow-list; anything else is unknown."""
-    key = F.trim(F.lower(raw))
-    out = None
-    for role, words in vocab.ROLE_SYNONYMS.items():
-        out = F.when(key.isin(*words), role) if out is None else out.when(key.isin(*words), role)
-    return one_of(out.otherwise(raw), vocab.OBJECT_ROLES, "unknown")
+    def known(d: Column) -> Column:
+        out = None
+        for role, words in vocab.ROLE_SYNONYMS.items():
+            out = F.when(d["key"].isin(*words), role) if out is None else out.when(d["key"].isin(*words), role)
+        return out.otherwise(d["raw"])
+    named = once(F.struct(F.trim(F.lower(raw)).alias("key"), raw.alias("raw")), known)
+    return once(named, lambda v: one_of(v, vocab.OBJECT_ROLES, "unknown"))
 
 
 def parse_objects(raw: Column) -> Column:

@@ -242,6 +242,8 @@ def _best_pairs(few: DataFrame, key: str, pairs: int) -> DataFrame:
 
 def purge_protected(verdicts: DataFrame, manifest: DataFrame, key: str = "image_id") -> DataFrame:
     """Remaining ids without protected ones; the flag changes only if something was taken out."""
+    # written once: the ids are compared and taken out in two passes, the answers are parsed in one
+    verdicts = materialise(verdicts)
     ids = verdicts.select(key, F.explode("remaining_ids").alias("object_id")).distinct()
     hit = (ids.join(manifest.filter("role = 'protected_subject'").select(key, "object_id").distinct(), [key, "object_id"], "left_semi")
            .groupBy(key).agg(F.collect_set("object_id").alias("_p")))

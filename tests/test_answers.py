@@ -151,3 +151,29 @@ def test_swallowed_titles_same_when_crowded(spark):
     want = {o[1] for o in rows if not swallowed(o)}
     assert 0 < len(want) < len(rows)
     assert {x.ord for x in O.drop_product_titles(df).collect()} == want
+
+
+def test_raw_answers_are_read_once(spark):
+    """A list taken out of an answer is cut out and parsed a single time, and verdicts are parsed before their ids are compared."""
+    import contextlib
+    import io
+
+    from adlattice.operators import objects as O
+
+    def plan(df):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain()
+        return out.getvalue()
+    raw = '{"contentBands":[{"id":"b1","role":"headline","y1":3,"y2":9}],"remainingObjectIds":["o1","o2"],"adObjectsRemaining":true}'
+    df = spark.range(2).select("id", F.concat(F.lit(raw), F.when(F.col("id") > 5, "x").otherwise("")).alias("raw"))
+    bands = df.select("id", F.explode(A.parse_bands(F.get_json_object("raw", "$.contentBands"))).alias("b"))
+    assert plan(bands).split("Generate")[1].count("get_json_object(") == 1
+    assert [(r.b.id, r.b.role, r.b.y1, r.b.y2) for r in bands.collect()] == [("b1", "headline", 3, 9)] * 2
+    roles = spark.createDataFrame([(" HERO ",), ("badge",), ("nonsense",), (None,)], "r string").select(A.normalise_role(F.col("r")).alias("role"))
+    assert plan(roles).count("lower(") == 1
+    v = df.select("id", A.parse_validation(F.col("raw")).alias("v")).selectExpr("id AS image_id", "v.remaining_ids", "v.ad_objects_remaining")
+    man = spark.createDataFrame([(0, "o1", "protected_subject"), (0, "o2", "protected_subject"), (1, "o2", "protected_subject")], "image_id long, object_id string, role string")
+    out = O.purge_protected(v, man)
+    assert "from_json" not in plan(out)
+    assert sorted((r.image_id, tuple(r.remaining_ids), r.ad_objects_remaining) for r in out.collect()) == [(0, (), False), (1, ("o1",), True)]
