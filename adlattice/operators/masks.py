@@ -2,18 +2,22 @@
 
 A canonical mask has disjoint, non-touching runs per row.  Row-wise windows partition by ``(keys, y)``; before each, runs
 that start at the same column are combined map-side, so a partition never holds more rows than the canvas has columns,
-however many copies of a mask come in.  No operator pairs or gathers a whole mask.
+however many copies of a mask come in.  Only masks of at most ``RUNS_AT_ONCE`` runs are gathered, by closing and labelling;
+no operator pairs or gathers a larger one.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlattice.session import materialise
 
 LEFT_GAP = 80
 DISK = {dy: int((25 - dy * dy) ** 0.5) for dy in range(-5, 6)}
+#: Runs of a mask, and pixels of its canvas, up to which closing and labelling take it as one row; larger masks meet in joins.
+RUNS_AT_ONCE, PIXELS_AT_ONCE = 1000, 1 << 22
 
 
 def _row(keys: Sequence[str]) -> list[str]:
@@ -189,16 +193,93 @@ def completeness(runs: DataFrame, boxes: DataFrame, keys: Sequence[str], clip: f
 
 # --- components --------------------------------------------------------------------------------------------------
 
-def components(runs: DataFrame, keys: Sequence[str], diagonal: bool = True) -> DataFrame:
-    """Canonical runs with the component ``label`` they belong to.
-
-    Runs of neighbouring rows are connected when they share a column (or touch diagonally).  Labels come from alternating
-    large-star / small-star rounds over the edge list: each round is two aggregations with joins, the number of rounds
-    grows with the logarithm of the component size, and the lineage is cut by a written table per round.
+def _joined(ys: list[int], lefts: list[int], rights: list[int], slack: int) -> list[int]:
+    """For every run of one mask, ordered by row and column, the number of the first run of its piece."""
+    root = list(range(len(ys)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    above = above_end = row = 0
+    while row < len(ys):
+        end = row
+        while end < len(ys) and ys[end] == ys[row]:
+            end += 1
+        if ys[above] + 1 == ys[row]:
+            for b in range(row, end):
+                while above < above_end and rights[above] + slack <= lefts[b]:
+                    above += 1
+                for a in range(above, above_end):
+                    if lefts[a] - slack >= rights[b]:
+                        break
+                    if lefts[b] < rights[a] + slack:
+                        u, v = find(a), find(b)
+                        root[max(u, v)] = min(u, v)
+        above, above_end, row = row, end, end
+    return [find(i) for i in range(len(ys))]
+
+
+def _label_masks(slack: int):
+    def label(ys: pd.Series, lefts: pd.Series, rights: pd.Series) -> pd.DataFrame:
+        out = []
+        for y, x0, x1 in zip(ys, lefts, rights):
+            x0, x1 = x0.tolist(), x1.tolist()
+            first = _joined(y.tolist(), x0, x1, slack)
+            size = [0] * len(first)
+            for i, r in enumerate(first):
+                size[r] += x1[i] - x0[i]
+            out.append((first, [size[r] for r in first]))
+        return pd.DataFrame(out, columns=["first", "size"])
+    return F.pandas_udf(label, "first array<int>, size array<long>")
+
+
+def _labelled(runs: DataFrame, keys: Sequence[str], diagonal: bool, at_once: int) -> DataFrame:
+    """Canonical runs with the ``label`` and ``_size``, in pixels, of the component they belong to.
+
+    A mask of at most ``at_once`` runs is labelled as one row, a larger one by ``_star_labels``.  A run without key or place touches none.
     """
+    slack = 1 if diagonal else 0
     # numbers are written with their run, so they are the same in every later read
     named = materialise(runs.withColumn("_id", F.monotonically_increasing_id()))
-    slack = 1 if diagonal else 0
+    size = (F.col("x1") - F.col("x0")).cast("long")
+    placed = F.lit(True)
+    for c in (*_row(keys), "x0", "x1"):
+        placed = placed & F.col(c).isNotNull()
+    known = named.filter(placed)
+    large = materialise(known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > at_once).select(*keys))
+    crowded = not large.isEmpty()
+    rest = [c for c in named.columns if c not in (*keys, "y", "x0", "x1", "_id")]
+    one = F.struct("y", "x0", "x1", "_id", *rest)
+    few = known.join(large, list(keys), "left_anti") if crowded else known
+    masks = few.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_m"))
+    marked = masks.withColumn("_p", _label_masks(slack)("_m.y", "_m.x0", "_m.x1"))
+    zipped = F.arrays_zip("_m", F.transform("_p.first", lambda i: F.col("_m")[i]["_id"]).alias("label"), F.col("_p.size").alias("_size"))
+    out = marked.select(*keys, F.inline(zipped).alias("_m", "label", "_size"))
+    columns = [*[F.col(c) if c in keys else F.col(f"_m.`{c}`").alias(c) for c in runs.columns], "label", "_size"]
+    alone = named.filter(~placed).select(*runs.columns, F.col("_id").alias("label"), size.alias("_size"))
+    out = out.select(*columns).unionByName(alone)
+    if not crowded:
+        return out
+    starred = materialise(_star_labels(known.join(large, list(keys), "left_semi"), keys, slack).drop("_id"))
+    return out.unionByName(starred.join(starred.groupBy(*keys, "label").agg(F.sum(size).alias("_size")), [*keys, "label"]))
+
+
+def components(runs: DataFrame, keys: Sequence[str], diagonal: bool = True, at_once: int = RUNS_AT_ONCE) -> DataFrame:
+    """Canonical runs with the component ``label`` they belong to.
+
+    Runs of neighbouring rows are connected when they share a column (or touch diagonally).
+    """
+    return _labelled(runs, keys, diagonal, at_once).drop("_size")
+
+
+def _star_labels(named: DataFrame, keys: Sequence[str], slack: int) -> DataFrame:
+    """Labels of masks of any size, the least ``_id`` of a component.
+
+    They come from alternating large-star / small-star rounds over the edge list: each round is two aggregations with joins, the
+    number of rounds grows with the logarithm of the component size, and the lineage is cut by a written table per round.
+    """
     # the runs of the next row meet through buckets of columns, so a wide row is not paired with a whole row
     cell = 64
 
@@ -222,7 +303,7 @@ def components(runs: DataFrame, keys: Sequence[str], diagonal: bool = True) -> D
         if edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty():
             break
     labels = edges.groupBy(F.col("hi").alias("_id")).agg(F.min("lo").alias("label"))
-    return named.join(labels, "_id", "left").withColumn("label", F.coalesce("label", "_id")).drop("_id")
+    return named.join(labels, "_id", "left").withColumn("label", F.coalesce("label", "_id"))
 
 
 def fragments(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -230,32 +311,91 @@ def fragments(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return components(runs, keys).select(*keys, "label").distinct().groupBy(*keys).agg(F.count("*").alias("fragments"))
 
 
-def close_gaps(runs: DataFrame, canvas: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Closing with the disk of radius 5: dilation, then erosion as the dilation of the outside."""
+def _closed(ys: list[int], lefts: list[int], rights: list[int], width: int, height: int) -> list[tuple[int, int, int]]:
+    """Closing of one mask with the disk; a row is a whole number with a bit per pixel, and what lies within reach of the canvas counts."""
+    r = max(DISK)
+    inside = ((1 << width) - 1) << r
+
+    def dilated(rows: list[int]) -> list[int]:
+        wide = [rows]
+        for _ in range(r):
+            wide.append([v | v << 1 | v >> 1 for v in wide[-1]])
+        out = []
+        for y in range(r, height + r):
+            v = 0
+            for dy, dx in DISK.items():
+                v |= wide[dx][y - dy]
+            out.append(v & inside)
+        return out
+    rows = [0] * (height + 2 * r)
+    for y, a, b in zip(ys, lefts, rights):
+        a, b = max(a, -r), min(b, width + r)
+        if -r <= y < height + r and b > a:
+            rows[y + r] |= ((1 << (b - a)) - 1) << (a + r)
+    edge = [0] * r
+    eaten = dilated([*edge, *[inside & ~v for v in dilated(rows)], *edge])
+    found = []
+    for y, v in enumerate(eaten):
+        v = (inside & ~v) >> r
+        at = 0
+        while v:
+            low = (v & -v).bit_length() - 1
+            v >>= low
+            n = (~v & (v + 1)).bit_length() - 1
+            found.append((y, at + low, at + low + n))
+            v >>= n
+            at += low + n
+    return found
+
+
+def _close_masks(ys: pd.Series, lefts: pd.Series, rights: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+    made = [_closed(y.tolist(), a.tolist(), b.tolist(), int(w), int(h)) for y, a, b, w, h in zip(ys, lefts, rights, width, height)]
+    return pd.DataFrame([tuple([run[i] for run in runs] for i in range(3)) for runs in made], columns=["y", "x0", "x1"])
+
+
+def close_gaps(runs: DataFrame, canvas: DataFrame, keys: Sequence[str], at_once: int = RUNS_AT_ONCE) -> DataFrame:
+    """Closing with the disk of radius 5: dilation, then erosion as the dilation of the outside.
+
+    A mask of at most ``at_once`` runs on a canvas of at most ``PIXELS_AT_ONCE`` is closed as one row, a larger one run by run.
+    """
+    runs = materialise(runs.select(*_row(keys), "x0", "x1").filter("y IS NOT NULL AND x1 > x0"))
+    sizes = runs.groupBy(*keys).agg(F.count("*").alias("_n"))
+    mine = canvas.select(*keys, "canvas_w", "canvas_h").distinct()
+    big = (F.col("_n") > at_once) | (F.col("canvas_w").cast("long") * F.col("canvas_h") > PIXELS_AT_ONCE)
+    large = materialise(mine.join(sizes, list(keys)).filter(big).select(*mine.columns))
+    crowded = not large.isEmpty()
+    few = runs.join(large, list(keys), "left_anti") if crowded else runs
+    masks = few.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_m")).join(mine.filter("canvas_w > 0 AND canvas_h > 0"), list(keys))
+    closing = F.pandas_udf(_close_masks, "y array<int>, x0 array<int>, x1 array<int>")
+    closed = masks.withColumn("_c", closing("_m.y", "_m.x0", "_m.x1", "canvas_w", "canvas_h"))
+    out = closed.select(*keys, F.inline(F.arrays_zip(F.col("_c.y").alias("y"), F.col("_c.x0").alias("x0"), F.col("_c.x1").alias("x1"))).alias("y", "x0", "x1"))
+    return out.unionByName(_close_runs(runs.join(large, list(keys), "left_semi"), large, keys)) if crowded else out
+
+
+def _close_runs(runs: DataFrame, canvas: DataFrame, keys: Sequence[str]) -> DataFrame:
     sized = runs.join(canvas, list(keys))
     reach = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in DISK.items()])
     grown = mask_union(_spread(sized, keys, reach, F.col("canvas_w"), F.col("canvas_h")), keys)
-    outside = complement(grown, canvas.join(runs.select(*keys).distinct(), list(keys), "left_semi"), keys).join(canvas, list(keys))
+    outside = complement(grown, canvas, keys).join(canvas, list(keys))
     eaten = mask_union(_spread(outside, keys, reach, F.col("canvas_w"), F.col("canvas_h")), keys)
-    return complement(eaten, canvas.join(runs.select(*keys).distinct(), list(keys), "left_semi"), keys)
+    return complement(eaten, canvas, keys)
 
 
-def _pieces(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _pieces(runs: DataFrame, keys: Sequence[str], at_once: int = RUNS_AT_ONCE) -> DataFrame:
     """Runs with the area of their 4-connected piece."""
-    labelled = components(runs, keys, diagonal=False)
-    size = labelled.groupBy(*keys, "label").agg(F.sum((F.col("x1") - F.col("x0")).cast("long")).alias("_size"))
-    return labelled.join(size, [*keys, "label"])
+    return _labelled(runs.dropna(subset=list(keys)), keys, False, at_once)
 
 
-def clean_mask(runs: DataFrame, canvas: DataFrame, keys: Sequence[str]) -> DataFrame:
+def clean_mask(runs: DataFrame, canvas: DataFrame, keys: Sequence[str], at_once: int = RUNS_AT_ONCE) -> DataFrame:
     """Closing, filling of small holes, then removal of small pieces (thresholds grow with the canvas)."""
-    closed = materialise(close_gaps(runs, canvas, keys))
+    runs = materialise(runs)
+    closed = materialise(close_gaps(runs, canvas, keys, at_once))
     area = F.col("canvas_w").cast("long") * F.col("canvas_h")
     mine = canvas.join(runs.select(*keys).distinct(), list(keys), "left_semi")
-    holes = _pieces(complement(closed, mine, keys), keys).join(canvas, list(keys))
+    holes = _pieces(complement(closed, mine, keys), keys, at_once).join(canvas, list(keys))
     small = holes.filter(F.col("_size") < F.greatest((area * 0.001).cast("long"), F.lit(64)))
     filled = mask_union(closed.select(*_row(keys), "x0", "x1").unionByName(small.select(*_row(keys), "x0", "x1")), keys)
-    kept = _pieces(filled, keys).join(canvas, list(keys)).filter(F.col("_size") >= F.greatest((area * 0.002).cast("long"), F.lit(128)))
+    kept = _pieces(filled, keys, at_once).join(canvas, list(keys)).filter(F.col("_size") >= F.greatest((area * 0.002).cast("long"), F.lit(128)))
     return kept.select(*_row(keys), "x0", "x1")
 
 

@@ -105,3 +105,37 @@ def test_polygon(spark):
 def test_empty_masks(spark):
     z = frame(spark, [])
     assert M.mask_union(z, ["k"]).count() == 0 and M.overlap_ratio(z, z, ["k"]).count() == 0
+
+
+def test_large_and_small_masks_go_the_same_way(spark):
+    """Closing, labels and cleaning of a mask taken as one row equal those by joins; runs off the canvas and without a row included."""
+    ra = rand_runs(6, 40) + [("a", y, 3, 25) for y in range(4, 16)]
+    odd = [("a", -2, 5, 9), ("b", H + 3, -4, 6), ("b", 7, -6, -3), ("a", 9, W + 2, W + 5), (None, 3, 1, 9), ("a", None, 1, 9)]
+    u = M.mask_union(frame(spark, ra + odd), ["k"])
+    rows = {n: sorted(tuple(r) for r in M.clean_mask(u, canvas(spark), ["k"], at_once=n).select("k", "y", "x0", "x1").collect()) for n in (0, 35, 1000)}
+    assert rows[0] == rows[35] == rows[1000] != []
+    gaps = {n: sorted(tuple(r) for r in M.close_gaps(u, canvas(spark), ["k"], at_once=n).select("k", "y", "x0", "x1").collect()) for n in (0, 1000)}
+    assert gaps[0] == gaps[1000]
+    for diagonal in (True, False):
+        found = {}
+        for n in (0, 1000):
+            groups = {}
+            for r in M.components(u, ["k"], diagonal, at_once=n).collect():
+                groups.setdefault((r.k, r.label), set()).add((r.y, r.x0, r.x1))
+            found[n] = sorted(sorted(map(str, g)) for g in groups.values())
+        assert found[0] == found[1000]
+
+
+def test_many_small_masks_are_cleaned_without_rounds(spark):
+    """The number of jobs doesn't grow with the pieces: no mask here is large enough for rounds of joins."""
+    rows = [(f"m{i}", y, 0, 20) for i in range(50) for y in range(3, 14)] + [(f"m{i}", y, 20, 21) for i in range(50) for y in range(0, 24, 2)]
+    sizes = spark.createDataFrame([(f"m{i}", W, H) for i in range(50)], "k string, canvas_w int, canvas_h int")
+    tracker, ids = spark.sparkContext.statusTracker(), []
+    spark.sparkContext.setJobGroup("clean", "clean")
+    try:
+        got = M.clean_mask(M.mask_union(frame(spark, rows), ["k"]), sizes, ["k"])
+        assert got.select("k").distinct().count() == 50
+        ids = tracker.getJobIdsForGroup("clean")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(ids) < 60
