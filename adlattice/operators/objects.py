@@ -15,6 +15,8 @@ MIN_IOU = 0.25
 MIN_QUALITY = 50.0
 UNION_PAIRS = 5
 INPAINT_PAD = 10
+#: Boxes of an image up to which they travel as one array; those of fuller images meet by grid cell.
+BOXES_AT_ONCE = 64
 
 
 def _corners(df: DataFrame, p: str, x="x", y="y", w="w", h="h") -> DataFrame:
@@ -129,19 +131,41 @@ def _swallowed(ask: DataFrame, products: DataFrame, key: str) -> DataFrame:
     return inside.filter(inter / (F.col("w").cast("long") * F.col("h")) > SWALLOWED).select(key, *box).distinct()
 
 
+def _crowded(rows: DataFrame, key: str, at_once: int) -> DataFrame | None:
+    """The keys with more than ``at_once`` rows, if there are any; ``rows`` should be written."""
+    many = materialise(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > at_once).select(key))
+    return None if many.isEmpty() else many
+
+
 def iou_match(objects: DataFrame, dets: DataFrame, key: str = "image_id", min_iou: float = MIN_IOU,
-              min_quality: float = MIN_QUALITY) -> DataFrame:
+              min_quality: float = MIN_QUALITY, at_once: int = BOXES_AT_ONCE) -> DataFrame:
     """Best detection per eligible object by IoU; the earliest detection wins a tie, its role plays no part.
 
-    ``dets``: key, det, x, y, w, h, quality.  Copies of a box collapse to their first detection before the join, and boxes meet
-    only in cells of their own size class.
+    ``dets``: key, det, x, y, w, h, quality.  The detections of an image with at most ``at_once`` travel to its objects as one
+    array, so nothing is moved once per cell.  In a fuller image copies of a box collapse to their first detection before the join,
+    and boxes meet only in cells of their own size class.
     """
     box = ["x", "y", "w", "h"]
     eligible = objects.filter(F.col("role").isin("product", "logo") & F.col("movable") & F.col("removable"))
-    todo = eligible.filter("w > 0 AND h > 0").select(key, *box).distinct()
-    best_dets = dets.filter((F.col("quality") >= min_quality) & (F.col("w") > 0) & (F.col("h") > 0)).groupBy(key, *box).agg(F.min("det").alias("det"))
-    best = _close_pairs(todo, best_dets, key, min_iou)
-    return eligible.join(best, [key, *box], "left").withColumns({"det": F.col("_m.det"), "iou": F.col("_m.iou")}).drop("_m")
+    usable = dets.filter((F.col("quality") >= min_quality) & (F.col("w") > 0) & (F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    usable = materialise(usable.select(key, "det", *box))
+    many = _crowded(usable, key, at_once)
+    few = usable if many is None else usable.join(many, key, "left_anti")
+    listed = few.groupBy(key).agg(F.collect_list(F.struct("det", *box)).alias("_dets"))
+    calm = eligible if many is None else eligible.join(many, key, "left_anti")
+
+    def match(d: Column) -> Column:
+        return F.struct((-G.iou(*box, *[d[c] for c in box])).alias("far"), d["det"].isNull().alias("none"), d["det"].alias("det"))
+    whole = (F.col("w") > 0) & (F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull()
+    best = F.array_min(F.filter(F.transform("_dets", match), lambda m: m["far"] <= -min_iou))
+    out = calm.join(listed, key, "left").withColumn("_m", F.when(whole, best)).withColumns({"det": F.col("_m.det"), "iou": -F.col("_m.far")}).drop("_m", "_dets")
+    if many is None:
+        return out
+    full = eligible.join(many, key, "left_semi")
+    todo = full.filter("w > 0 AND h > 0").select(key, *box).distinct()
+    best_dets = usable.join(many, key, "left_semi").groupBy(key, *box).agg(F.min("det").alias("det"))
+    met = full.join(_close_pairs(todo, best_dets, key, min_iou), [key, *box], "left").withColumns({"det": F.col("_m.det"), "iou": F.col("_m.iou")}).drop("_m")
+    return out.unionByName(met)
 
 
 def _pair_iou(box: Sequence[str]) -> Column:
@@ -182,13 +206,44 @@ def _close_pairs(left: DataFrame, right: DataFrame, key: str, level: float) -> D
     return _best_of(pairs, [key, *box])
 
 
-def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_PAIRS, block: int = 64) -> DataFrame:
+def union_candidates(dets: DataFrame, key: str = "image_id", pairs: int = UNION_PAIRS, block: int = BOXES_AT_ONCE) -> DataFrame:
     """The best ``pairs`` nearby product pairs of each image as one hull box.
 
-    ``dets``: key, i (position), x, y, w, h, conf, mask_conf.  Among equal boxes only the best ``pairs`` + 1 can be part of a
-    winning pair.  The best ``block`` detections by (confidence, position) of every image are paired first; an image is settled
-    when that is all it has, or when its last winner outranks every pair that could still hold one of the others.  The rest
-    goes on with four times as many.
+    ``dets``: key, i (position), x, y, w, h, conf, mask_conf.  An image of at most ``block`` detections is paired as one array.
+    """
+    dets = materialise(dets.select(key, "i", "x", "y", "w", "h", "conf", "mask_conf"))
+    many = _crowded(dets, key, block)
+    out = _listed_pairs(dets.filter(F.col(key).isNotNull()) if many is None else dets.join(many, key, "left_anti"), key, pairs)
+    return out if many is None else out.unionByName(_settled_pairs(dets.join(many, key, "left_semi"), key, pairs, block))
+
+
+def _listed_pairs(dets: DataFrame, key: str, pairs: int) -> DataFrame:
+    """Pairs within the array of an image's detections; only the best ones leave it."""
+    fields = ("i", "x", "y", "w", "h", "conf", "mask_conf")
+    whole = F.lit(True)
+    for c in ("i", "x", "y", "w", "h"):
+        whole = whole & F.col(c).isNotNull()
+    listed = dets.filter(whole).groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("_d")).filter(F.size("_d") > 1)
+
+    def near(a: Column, b: Column) -> Column:
+        return ((a["i"] < b["i"]) & (F.abs(a["y"] * 2 + a["h"] - b["y"] * 2 - b["h"]) < F.greatest(a["h"], b["h"], F.lit(1)) * 4)
+                & (F.abs(a["x"] * 2 + a["w"] - b["x"] * 2 - b["w"]) < F.greatest(a["w"], b["w"], F.lit(1)) * 3))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct((a["conf"] + b["conf"]).alias("s"), a["i"].alias("i"), b["i"].alias("j"), a.alias("l"), b.alias("r"))
+    met = F.flatten(F.transform("_d", lambda a: F.transform(F.filter("_d", lambda b: near(a, b)), lambda b: pair(a, b))))
+    top = F.slice(F.sort_array(met, asc=False), 1, pairs)
+    found = listed.select(key, F.posexplode(top).alias("_at", "_p")).select(
+        key, (F.col("_at") + 1).alias("pair_rank"), *[F.col(f"_p.{p}.{c}").alias(f"{p}_{c}") for p in "lr" for c in fields])
+    return _hulls(found, key)
+
+
+def _settled_pairs(dets: DataFrame, key: str, pairs: int, block: int) -> DataFrame:
+    """Pairs of images of any size.
+
+    Among equal boxes only the best ``pairs`` + 1 can be part of a winning pair.  The best ``block`` detections by (confidence,
+    position) of every image are paired first; an image is settled when that is all it has, or when its last winner outranks every
+    pair that could still hold one of the others.  The rest goes on with four times as many.
     """
     box = ["x", "y", "w", "h"]
     copies = Window.partitionBy(key, *box).orderBy(F.col("conf").desc(), F.col("i").desc())
@@ -231,7 +286,11 @@ def _best_pairs(few: DataFrame, key: str, pairs: int) -> DataFrame:
                       & (F.abs(F.col("l_cx") - F.col("r_cx")) < F.greatest("l_w", "r_w", F.lit(1)) * 3))
     total = F.col("l_conf") + F.col("r_conf")
     top = Window.partitionBy(key).orderBy(total.desc(), F.col("l_i").desc(), F.col("r_i").desc())
-    best = near.withColumn("pair_rank", F.row_number().over(top)).filter(F.col("pair_rank") <= pairs)
+    return _hulls(near.withColumn("pair_rank", F.row_number().over(top)).filter(F.col("pair_rank") <= pairs), key)
+
+
+def _hulls(best: DataFrame, key: str) -> DataFrame:
+    total = F.col("l_conf") + F.col("r_conf")
     ux, uy = F.least("l_x", "r_x"), F.least("l_y", "r_y")
     return best.select(
         key, F.col("l_i").alias("i"), F.col("r_i").alias("j"), "pair_rank", ux.alias("x"), uy.alias("y"),

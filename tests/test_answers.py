@@ -177,3 +177,31 @@ def test_raw_answers_are_read_once(spark):
     out = O.purge_protected(v, man)
     assert "from_json" not in plan(out)
     assert sorted((r.image_id, tuple(r.remaining_ids), r.ad_objects_remaining) for r in out.collect()) == [(0, (), False), (1, ("o1",), True)]
+
+
+def _some_images(full):
+    """Images of few boxes, one of ``full``, and boxes without an image, a place or a size."""
+    import random
+    r = random.Random(11)
+    rows = [(k, i, r.randrange(200), r.randrange(150), r.randrange(4, 90), r.randrange(4, 70), r.randrange(30, 100)) for k in range(1, 9) for i in range(full if k == 8 else k)]
+    return rows + [(None, 0, 1, 1, 9, 9, 90), (3, 90, None, 5, 9, 9, 90), (3, 91, 5, 5, None, 9, 90), (4, 92, 5, 5, 0, 9, 90), (4, 0, *rows[6][2:]), (4, 93, *rows[6][2:])]
+
+
+def test_iou_match_of_listed_boxes_equals_match_by_cells(spark):
+    """An image's boxes give the same match as an array and by cells, and the array's plan moves no row per cell."""
+    rows = _some_images(100)
+    objs = spark.createDataFrame([(k, i, "product", True, True, *b[:4]) for k, i, *b in rows], "image_id int, ord int, role string, movable boolean, removable boolean, x int, y int, w int, h int")
+    dets = spark.createDataFrame([(k, i, x + i % 3, y, w, h, q) if x is not None else (k, i, x, y, w, h, q) for k, i, x, y, w, h, q in rows], "image_id int, det int, x int, y int, w int, h int, quality int")
+    got = {n: sorted(map(str, (tuple(x) for x in O.iou_match(objs, dets, at_once=n).select("image_id", "ord", "det", "iou").collect()))) for n in (0, 5, 64, 1000)}
+    assert got[0] == got[5] == got[64] == got[1000] and sum("None" not in g for g in got[0]) > 50 and len(got[0]) == len(rows)
+    plan = O.iou_match(objs, dets, at_once=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_union_pairs_of_listed_boxes_equal_pairs_by_cells(spark):
+    """An image's pairs are the same from an array and by cells, and the array's plan joins nothing."""
+    rows = _some_images(90)
+    dets = spark.createDataFrame([(*r, r[1] % 7) for r in rows], "image_id int, i int, x int, y int, w int, h int, conf int, mask_conf int")
+    got = {n: sorted(tuple(x) for x in O.union_candidates(dets, block=n).collect()) for n in (2, 64, 1000)}
+    assert got[2] == got[64] == got[1000] and len(got[2]) > 20
+    assert "Join" not in O.union_candidates(dets, block=1000)._jdf.queryExecution().executedPlan().toString()
