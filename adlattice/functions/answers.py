@@ -88,20 +88,31 @@ def strip_fence_lines(raw: Column) -> Column:
 
 # --- answers -----------------------------------------------------------------------------------------------------
 
+def read_analysis(raw: Column) -> Column:
+    """The typed fields of an analysis as they stand, its three lists still as text."""
+    return F.from_json(raw, ANALYSIS)
+
+
 def parse_analysis(raw: Column) -> Column:
-    return once(F.from_json(raw, ANALYSIS), lambda r: F.struct(
-        one_of(r["creativeType"], vocab.CREATIVE_TYPES, "balanced_mix").alias("creative_type"),
-        one_of(r["textDensity"], vocab.DENSITIES, "medium").alias("text_density"),
-        one_of(r["edgeRisk"], vocab.DENSITIES, "medium").alias("edge_risk"),
-        one_of(r["mainSubjectPosition"], vocab.FOCAL_POSITIONS, "center").alias("subject_position"),
-        one_of(r["resizeMode"], vocab.RESIZE_MODES, "smart-fit").alias("resize_mode"),
-        one_of(r["smartFitStrength"], vocab.STRENGTHS, "balanced").alias("strength"),
-        one_of(r["focalPosition"], vocab.FOCAL_POSITIONS, "center").alias("focal_position"),
-        one_of(r["layoutType"], vocab.LAYOUT_TYPES, "single_subject").alias("layout_type"),
-        F.coalesce(F.lower(r["reflowRecommended"]) == "true", F.lit(False)).alias("reflow_recommended"),
-        r["confidence"].alias("confidence"), text(r["reason"]).alias("reason"),
-        word_list(r["warnings"]).alias("warnings"), parse_elements(r["detectedElements"]).alias("elements"),
-        parse_groups(r["elementGroups"]).alias("groups"), parse_bands(r["contentBands"]).alias("bands")))
+    return once(read_analysis(raw), lambda r: F.struct(*[c.alias(name) for name, c in analysis(r).items()]))
+
+
+def analysis(r: Column) -> dict[str, Column]:
+    """The row of what ``read_analysis`` gave, by field.  As columns of a frame they are pruned: who selects some gets only these
+    computed, and the three lists, a parse each, are read only where they are wanted."""
+    return {
+        "creative_type": one_of(r["creativeType"], vocab.CREATIVE_TYPES, "balanced_mix"),
+        "text_density": one_of(r["textDensity"], vocab.DENSITIES, "medium"),
+        "edge_risk": one_of(r["edgeRisk"], vocab.DENSITIES, "medium"),
+        "subject_position": one_of(r["mainSubjectPosition"], vocab.FOCAL_POSITIONS, "center"),
+        "resize_mode": one_of(r["resizeMode"], vocab.RESIZE_MODES, "smart-fit"),
+        "strength": one_of(r["smartFitStrength"], vocab.STRENGTHS, "balanced"),
+        "focal_position": one_of(r["focalPosition"], vocab.FOCAL_POSITIONS, "center"),
+        "layout_type": one_of(r["layoutType"], vocab.LAYOUT_TYPES, "single_subject"),
+        "reflow_recommended": F.coalesce(F.lower(r["reflowRecommended"]) == "true", F.lit(False)),
+        "confidence": r["confidence"], "reason": text(r["reason"]), "warnings": word_list(r["warnings"]),
+        "elements": parse_elements(r["detectedElements"]), "groups": parse_groups(r["elementGroups"]),
+        "bands": parse_bands(r["contentBands"])}
 
 
 def _items(raw: Column, schema: str) -> Column:

@@ -42,9 +42,10 @@ def _answers(t: Tables) -> DataFrame:
 SELECT image_id, ord, CASE ord % 3 WHEN 0 THEN 'text_heavy' WHEN 1 THEN 'balanced_mix' ELSE 'poster_info' END AS creative_type, CASE WHEN conf_pct % 3 = 0 THEN 'high' ELSE 'medium' END AS text_density, 'medium' AS edge_risk, 'center' AS subject_position,
  'cover' AS resize_mode, 'balanced' AS strength, 'horizontal_bands' AS layout_type, conf_pct % 4 < 2 AS reflow_recommended, CASE WHEN conf_pct % 5 <> 0 THEN conf_pct::DOUBLE END AS confidence, CASE WHEN ord % 2 = 0 THEN 2 ELSE 0 END AS n_warnings FROM {_OBJ}""")
 def f_parse_analysis(t: Tables) -> DataFrame:
-    return _answers(t).select("image_id", "ord", A.parse_analysis(F.col("raw")).alias("a")).select(
-        "image_id", "ord", *[f"a.{c}" for c in ("creative_type", "text_density", "edge_risk", "subject_position", "resize_mode", "strength", "layout_type", "reflow_recommended", "confidence")],
-        F.size("a.warnings").alias("n_warnings"))
+    rows = _answers(t).select("image_id", "ord", A.read_analysis(F.col("raw")).alias("r")).withColumns(A.analysis(F.col("r")))
+    return rows.select(
+        "image_id", "ord", "creative_type", "text_density", "edge_risk", "subject_position", "resize_mode", "strength", "layout_type", "reflow_recommended", "confidence",
+        F.size("warnings").alias("n_warnings"))
 
 
 @query("f02_parse_elements", f"""

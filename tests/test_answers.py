@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from adlattice.functions import answers as A, scoring as S
 from adlattice.operators import compare as K, objects as O
+from adlattice.plans import objects as P
 
 SCENE = {"objects": [
     {"id": "product", "role": "product", "required": True, "movable": True, "removableFromScene": True, "bbox": {"x": 10, "y": 10, "width": 80, "height": 100},
@@ -205,3 +206,16 @@ def test_union_pairs_of_listed_boxes_equal_pairs_by_cells(spark):
     got = {n: sorted(tuple(x) for x in O.union_candidates(dets, block=n).collect()) for n in (2, 64, 1000)}
     assert got[2] == got[64] == got[1000] and len(got[2]) > 20
     assert "Join" not in O.union_candidates(dets, block=1000)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_analysis_lists_are_parsed_only_where_wanted(spark):
+    raw = ['{"creativeType":"poster_info","edgeRisk":5,"confidence":"sure","warnings":["a"],"reflowRecommended":"TRUE",'
+           '"detectedElements":[{"id":"e1","type":"logo","bbox":{"x":1,"y":"bad"}}],"elementGroups":"x","contentBands":[{"id":"b","y1":1,"y2":9}]}',
+           '{"creativeType":"nonsense","confidence":3,"warnings":"none","elementGroups":[{"id":"g","elementIds":["e1"]}]}', "sorry", '{"creativeType":"poster', None]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, raw string")
+    rows = df.select("i", A.read_analysis(F.col("raw")).alias("r")).withColumns(A.analysis(F.col("r"))).drop("r")
+    assert sorted(rows.collect(), key=lambda r: r.i) == sorted(df.select("i", A.parse_analysis(F.col("raw")).alias("a")).select("i", "a.*").collect(), key=lambda r: r.i)
+    assert rows.filter("i = 0").select("creative_type", "edge_risk", "confidence", "warnings", "elements.id", "groups").first() == ("poster_info", "medium", None, ["a"], ["e1"], None)
+    t = type("T", (), {"spark": spark, "fx_object": spark.createDataFrame([], "image_id long, ord int, role string, required boolean, conf_pct int, x int, y int, w int, h int")})
+    plan = P.f_parse_analysis(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and "elementIds,ArrayType" not in plan
