@@ -134,3 +134,28 @@ def test_candidates_and_their_text_are_computed_once(spark):
     with contextlib.redirect_stdout(text):
         out.explain()
     assert "Contains(" not in text.getvalue() and "contains(" not in text.getvalue() and "replace(" not in text.getvalue()
+
+
+def test_job_layouts_equal_their_parts_and_move_no_candidate(spark):
+    """Objects as one array per job give what candidate rows and their fold give, whatever is large, repeated or null."""
+    r, roles = random.Random(11), [*vocab.ROLE_PRIORITY, LO.PROTECTED, LO.PROTECTED, "other", None]
+    objects = [(j, f"o{i % 40}", r.choice(roles), r.choice([True, False, None]), r.randrange(300), r.randrange(200), r.randrange(10, 200), r.randrange(10, 150))
+               for j, n in ((1, 5), (2, 9), (3, 30), (4, 60), (None, 3), (6, 4)) for i in range(n)] + [(7, "o0", LO.PROTECTED, True, 1, 1, 9, 9)]
+    sizes = [(j, o, r.randrange(120, 900), r.randrange(90, 800)) for j in (1, 2, 3, 4, 5, 7, None) for o in (1, 2, None)] + [(6, 1, 300, 200), (6, 1, 200, 300), (6, 2, 640, 480)]
+    pieces = spark.createDataFrame(objects, "j int, object_id string, role string, required boolean, x int, y int, w int, h int")
+    targets = spark.createDataFrame(sizes, "j int, o int, tgt_w int, tgt_h int").selectExpr(
+        "j", "o", "600 AS image_w", "least(tgt_w / 600, tgt_h / 400) AS scale", "5 AS zone_left", "7 AS zone_top", "tgt_w - 5 AS zone_right", "tgt_h - 7 AS zone_bottom",
+        "tgt_w AS canvas_w", "tgt_h AS canvas_h", "600 AS src_w", "400 AS src_h", "tgt_w", "tgt_h")
+    every = pieces.join(targets, "j")
+    valid = LO.valid_candidates(every.filter(F.col("role") != LO.PROTECTED), LO.protected_boxes(every, ["j", "o"]), ["j", "o"])
+    for block in (LO.BLOCK, 20):
+        want, got = (sorted(map(repr, df.withColumn("kept", F.array_sort("kept")).collect())) for df in (
+            LO.layouts(valid, ["j", "o"], block), LO.job_layouts(pieces, targets, ["j", "o"], "j", block)))
+        assert got == want and len(want) == 14
+    assert any("DUPLICATE_OBJECT" in w for w in want) and any("NO_VALID_CANDIDATES" in w for w in want)
+    plain = LO.job_layouts(pieces.filter("j < 3"), targets.filter("j < 3"), ["j", "o"], "j").explain
+    import contextlib
+    import io
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        plain()
+    assert "Generate" not in plan.getvalue() and plan.getvalue().count("collect_list(") == 2 and "cands" not in plan.getvalue().split("collect_list(")[1]
