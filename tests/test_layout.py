@@ -159,3 +159,58 @@ def test_job_layouts_equal_their_parts_and_move_no_candidate(spark):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         plain()
     assert "Generate" not in plan.getvalue() and plan.getvalue().count("collect_list(") == 2 and "cands" not in plan.getvalue().split("collect_list(")[1]
+
+
+def test_batches_equal_a_plain_loop(spark):
+    """Candidates and those that may stay, made by the batch, against one object and one candidate at a time; nothing per candidate is left to the plan."""
+    import contextlib
+    import io
+
+    r, roles = random.Random(5), [*vocab.ROLE_ANCHORS, "other", None]
+    pieces = [(o, r.choice(roles), r.choice([True, False, None]), r.randrange(500), r.randrange(5, 220), r.randrange(5, 170), r.choice([600, 1401, None]),
+               r.choice([0.2, 0.5, 1.3]), r.choice([0, 7, None]), 5, r.randrange(120, 900), r.randrange(90, 700),
+               [(r.randrange(300), r.choice([3, None]), r.randrange(1, 200), r.randrange(1, 200)) for _ in range(r.randrange(3))] or None) for o in range(300)]
+    df = spark.createDataFrame(pieces, "o int, role string, required boolean, x int, w int, h int, image_w int, scale double, zone_left int, zone_top int, zone_right int, zone_bottom int, "
+                                       "_boxes array<struct<qx:int,qy:int,qw:int,qh:int>>").selectExpr("*", "zone_right + 9 AS canvas_w", "zone_bottom + 4 AS canvas_h")
+
+    def loop(p):
+        names = vocab.ROLE_ANCHORS.get(p.role, vocab.DEFAULT_ANCHORS)
+        if p.image_w:
+            names = sorted(names, key=lambda n: ("right" if p.x + p.w / 2 > p.image_w / 2 else "left") not in n)
+        ow, oh, scales = max(1, round(p.w * p.scale)), max(1, round(p.h * p.scale)), vocab.SCALES
+        if p.role == "product" and p.image_w and ow < round(p.image_w * 0.25):
+            scales = [round(round(p.image_w * 0.25) / ow * 100) / 100, *scales]
+        for i, (a, s) in enumerate((a, s) for a in names for s in scales):
+            cw, ch = max(1, round(ow * s)), max(1, round(oh * s))
+            zl, zr, cx = p.zone_left, p.zone_right, None
+            if a in ("top-right", "right-center", "bottom-right"):
+                cx = zr - cw
+            elif zl is not None:
+                third = {"center-left": 1, "center-right": 2}.get(a)
+                cx = zl + (zr - zl) * third // 3 - cw // 2 if third else (zl + zr - cw) // 2 if a in ("top-center", "bottom-center") else zl
+            cy = p.zone_top if a.startswith("top") else p.zone_bottom - ch if a.startswith("bottom") else (p.zone_top + p.zone_bottom - ch) // 2
+            yield i, cx, cy, cw, ch, a, s
+
+    def stays(p, c):
+        _, x, y, w, h, _, _ = c
+        if x is None or x < 0 or y < 0 or x + w > p.canvas_w or y + h > p.canvas_h:
+            return False
+        if p.required is not False and (p.zone_left is None or x < p.zone_left or y < p.zone_top or x + w > p.zone_right or y + h > p.zone_bottom):
+            return False
+        for qx, qy, qw, qh in p._boxes or []:
+            dx, dy = min(x + w, qx + qw) - max(x, qx), h if qy is None else min(y + h, qy + qh) - max(y, qy)
+            if dx > 0 and dy > 0 and dx * dy / (qw * qh) > 0.30:
+                return False
+        return True
+    got = {p.o: (p, [tuple(c) for c in p.cands]) for p in LO.candidates(df).collect()}
+    want = {o: list(loop(p)) for o, (p, _) in got.items()}
+    assert {o: c for o, (_, c) in got.items()} == want and sum(map(len, want.values())) > 4000
+    kept = {p.o: [tuple(c) for c in p.cands] for p in LO._valid(df).collect()}
+    may = {o: [c for c in want[o] if stays(p, c)] for o, (p, _) in got.items()}
+    assert kept == may and 500 < sum(map(len, may.values())) < 4000
+    targets = spark.range(3).selectExpr("id AS j", "id AS o", "600 AS image_w", "1.0D AS scale", "0 AS zone_left", "0 AS zone_top", "300 AS zone_right", "300 AS zone_bottom", "300 AS canvas_w",
+                                        "300 AS canvas_h", "600 AS src_w", "400 AS src_h", "300 AS tgt_w", "300 AS tgt_h")
+    objects = df.selectExpr("o AS j", "concat('o', o) AS object_id", "role", "required", "x", "x AS y", "w", "h")
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        LO.job_layouts(objects, targets, ["j", "o"], "j").explain()
+    assert "greedy(" in plan.getvalue() and "aggregate(" not in plan.getvalue() and "flatten(" not in plan.getvalue()
