@@ -214,3 +214,29 @@ def test_batches_equal_a_plain_loop(spark):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         LO.job_layouts(objects, targets, ["j", "o"], "j").explain()
     assert "greedy(" in plan.getvalue() and "aggregate(" not in plan.getvalue() and "flatten(" not in plan.getvalue()
+
+
+def test_job_candidates_equal_their_rows_and_move_no_pair(spark):
+    """A job's objects meet its targets in a row; jobs that are full or have a target twice go by rows."""
+    import contextlib
+    import io
+
+    from adlattice.plans.layout import per_object
+    r, roles = random.Random(4), [*vocab.ROLE_PRIORITY, LO.PROTECTED, LO.PROTECTED, "other", None]
+    objects = [(j, f"o{i}", r.choice(roles), r.choice([True, False, None]), r.randrange(300), r.randrange(200), r.randrange(10, 200), r.randrange(10, 150))
+               for j, n in ((1, 5), (2, 9), (3, 30), (None, 3), (6, 4)) for i in range(n)]
+    sizes = [(j, o, r.randrange(120, 900), r.randrange(90, 800)) for j in (1, 2, 3, 5, None) for o in (1, None)] + [(6, 1, 300, 200), (6, 1, 200, 300)]
+    pieces = spark.createDataFrame(objects, "job_id int, object_id string, role string, required boolean, x int, y int, w int, h int")
+    targets = spark.createDataFrame(sizes, "job_id int, ordinal int, tgt_w int, tgt_h int").selectExpr(
+        "job_id", "ordinal", "600 AS image_w", "least(tgt_w / 600, tgt_h / 400) AS scale", "5 AS zone_left", "7 AS zone_top", "tgt_w - 5 AS zone_right", "tgt_h - 7 AS zone_bottom",
+        "tgt_w AS canvas_w", "tgt_h AS canvas_h", "600 AS src_w", "400 AS src_h", "tgt_w", "tgt_h")
+    keys = ["job_id", "ordinal"]
+    every = pieces.join(targets, "job_id")
+    want = LO.valid_candidates(every.filter(F.col("role") != LO.PROTECTED), LO.protected_boxes(every, keys), keys).select(*keys, "object_id", "cands")
+    for block in (LO.BLOCK, 20):
+        got = LO.job_candidates(pieces, targets, keys, "job_id", block)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.schema == want.schema
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        per_object(LO.job_candidates(pieces.filter("job_id < 3"), targets.filter("job_id < 3"), keys, "job_id"), "cand", "cx").explain()
+    above = plan.getvalue().split("Generate inline")[0]
+    assert "text(valid(" in above and "Exchange" not in above and "Join" not in above
