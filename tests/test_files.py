@@ -139,3 +139,24 @@ def test_header_files_come_a_share_at_a_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(PS, "FILES_AT_ONCE", 20)
     assert scan() == whole
     assert len(held) == 6 and sum(n for _, n in held) == 120 and max(n for _, n in held) < 60 and not any(os.path.exists(p) for p, _ in held)
+
+
+def test_files_are_deleted_a_folder_a_task(spark, tmp_path, monkeypatch):
+    """The files of a share go in tasks, not one by one in the driver, before their folder goes; what is not there is no error."""
+    from adlattice.plans import sources as PS
+    from adlattice.sources import files as FI
+    for name in ("a/b/1.png", "a/2.png", "c/3.PSD", "4.png"):
+        (tmp_path / "all" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "all" / name).write_bytes(b"x")
+    FI.delete_files(spark, str(tmp_path / "all"))
+    FI.delete_files(spark, str(tmp_path / "all"))
+    assert not (tmp_path / "all").exists()
+    spark.range(1, 41).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    gone, delete = [], PS.delete_files
+
+    def watched(session, place):
+        gone.append(sum(len(f) for _, _, f in os.walk(place)))
+        delete(session, place)
+        assert not os.path.exists(place)
+    monkeypatch.setattr(PS, "delete_files", watched)
+    assert PS.s_psd(PS.Tables(spark, str(tmp_path))).count() == 40 and gone == [40]
