@@ -8,8 +8,12 @@ no operator pairs or gathers a larger one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlattice.session import materialise
@@ -18,6 +22,8 @@ LEFT_GAP = 80
 DISK = {dy: int((25 - dy * dy) ** 0.5) for dy in range(-5, 6)}
 #: Runs of a mask, and pixels of its canvas, up to which closing and labelling take it as one row; larger masks meet in joins.
 RUNS_AT_ONCE, PIXELS_AT_ONCE = 1000, 1 << 22
+#: Holes below, and pieces from, this share of the canvas or so many pixels, the greater, are filled and kept.
+HOLE_SHARE, HOLE_LEAST, PIECE_SHARE, PIECE_LEAST = 0.001, 64, 0.002, 128
 
 
 def _row(keys: Sequence[str]) -> list[str]:
@@ -311,41 +317,119 @@ def fragments(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return components(runs, keys).select(*keys, "label").distinct().groupBy(*keys).agg(F.count("*").alias("fragments"))
 
 
+REACH = max(DISK)
+
+
+#: Bits of masks that are closed and cleaned together.
+BITS_AT_ONCE = 1 << 19
+
+
+@lru_cache(maxsize=16)
+def _canvas(width: int, height: int) -> tuple[int, int, bytes]:
+    """Bits of a row, whole bytes with ``REACH`` spare bits on both sides; rows with as many spare ones; and the canvas as bits."""
+    step = -(-(width + 2 * REACH) // 8) * 8
+    row, none = (((1 << width) - 1) << REACH).to_bytes(step // 8, "little"), bytes(REACH * step // 8)
+    return step, height + 2 * REACH, none + row * height + none
+
+
+def _dilated(v: int, step: int) -> int:
+    wide = [v]
+    for _ in range(REACH):
+        wide.append(wide[-1] | wide[-1] << 1 | wide[-1] >> 1)
+    out = 0
+    for dy, dx in DISK.items():
+        out |= wide[dx] << dy * step if dy >= 0 else wide[dx] >> -dy * step
+    return out
+
+
+def _bits(v: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(v, np.uint8), bitorder="little")
+
+
+def _closed_bits(n: int, mask: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Closing of ``n`` masks with the disk; what lies within reach of the canvas counts.
+
+    A mask's rows of bits follow each other, as do the masks: the spare bits around each keep it from reaching another.
+    """
+    step, rows, inside = _canvas(width, height)
+    x0, x1 = np.maximum(x0, -REACH), np.minimum(x1, width + REACH)
+    near = (y >= -REACH) & (y < height + REACH) & (x1 > x0)
+    at = ((mask * rows + y + REACH) * step + REACH)[near]
+    ends = np.zeros(n * rows * step + 1, np.int32)
+    np.add.at(ends, at + x0[near], 1)
+    np.subtract.at(ends, at + x1[near], 1)
+    packed = np.packbits(np.cumsum(ends[:-1], dtype=np.int32) > 0, bitorder="little")
+    canvas = int.from_bytes(inside * n, "little")
+    closed = canvas & ~_dilated(canvas & ~_dilated(int.from_bytes(packed.tobytes(), "little"), step), step)
+    return _bits(closed.to_bytes(len(packed), "little"))
+
+
+def _ends(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of bits begin and end."""
+    at = np.flatnonzero(bits[1:] != bits[:-1]) + 1  # the first and the last bit are spare ones
+    return at[::2], at[1::2]
+
+
+def _sizes(begin: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
+    """For every run of bits the area of its 4-connected piece: labels sink to the least of those that touch."""
+    first, last = np.searchsorted(end, begin - step, "right"), np.searchsorted(begin, end - step, "left")
+    n = np.maximum(last - first, 0)
+    low = np.repeat(np.arange(len(begin)), n)
+    high = np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    label = np.arange(len(begin))
+    while True:
+        a, b = label[low], label[high]
+        apart = a != b
+        if not apart.any():
+            return np.bincount(label, end - begin, len(label))[label]
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def _placed(begin: np.ndarray, end: np.ndarray, width: int, height: int) -> list[np.ndarray]:
+    """Mask, row, left and right end of runs of bits."""
+    step, rows, _ = _canvas(width, height)
+    y, x0 = np.divmod(begin, step)
+    return [y // rows, y % rows - REACH, x0 - REACH, x0 - REACH + end - begin]
+
+
 def _closed(ys: list[int], lefts: list[int], rights: list[int], width: int, height: int) -> list[tuple[int, int, int]]:
-    """Closing of one mask with the disk; a row is a whole number with a bit per pixel, and what lies within reach of the canvas counts."""
-    r = max(DISK)
-    inside = ((1 << width) - 1) << r
-
-    def dilated(rows: list[int]) -> list[int]:
-        wide = [rows]
-        for _ in range(r):
-            wide.append([v | v << 1 | v >> 1 for v in wide[-1]])
-        out = []
-        for y in range(r, height + r):
-            v = 0
-            for dy, dx in DISK.items():
-                v |= wide[dx][y - dy]
-            out.append(v & inside)
-        return out
-    rows = [0] * (height + 2 * r)
-    for y, a, b in zip(ys, lefts, rights):
-        a, b = max(a, -r), min(b, width + r)
-        if -r <= y < height + r and b > a:
-            rows[y + r] |= ((1 << (b - a)) - 1) << (a + r)
-    edge = [0] * r
-    eaten = dilated([*edge, *[inside & ~v for v in dilated(rows)], *edge])
-    found = []
-    for y, v in enumerate(eaten):
-        v = (inside & ~v) >> r
-        at = 0
-        while v:
-            low = (v & -v).bit_length() - 1
-            v >>= low
-            n = (~v & (v + 1)).bit_length() - 1
-            found.append((y, at + low, at + low + n))
-            v >>= n
-            at += low + n
-    return found
+    y, x0, x1 = (np.array(v, np.int64) for v in (ys, lefts, rights))
+    runs = _ends(_closed_bits(1, np.zeros(len(y), np.int64), y, x0, x1, width, height))
+    return list(zip(*[v.tolist() for v in _placed(*runs, width, height)[1:]]))
+
+
+def _cleaned(n: int, mask: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int, height: int) -> list[np.ndarray]:
+    """``clean_mask`` of ``n`` masks on canvases of a size: mask, y, x0, x1."""
+    step, area = _canvas(width, height)[0], width * height
+    bits = _closed_bits(n, mask, y, x0, x1, width, height)
+    begin, end = _ends(_bits(_canvas(width, height)[2] * n) & ~bits)
+    small = _sizes(begin, end, step) < max(int(area * HOLE_SHARE), HOLE_LEAST)
+    fill = np.zeros(len(bits) + 1, np.int8)
+    fill[begin[small]], fill[end[small]] = 1, -1
+    begin, end = _ends(bits | np.cumsum(fill[:-1], dtype=np.int8).view(np.uint8))
+    kept = _sizes(begin, end, step) >= max(int(area * PIECE_SHARE), PIECE_LEAST)
+    return _placed(begin[kept], end[kept], width, height)
+
+
+def _clean_masks(masks: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+    n, flat = pc.list_value_length(masks).to_numpy(), masks.flatten()
+    runs = [pc.struct_field(flat, c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1")]
+    first = np.cumsum(n) - n
+    sizes, made = np.column_stack([width.to_numpy(), height.to_numpy()]), []
+    for w, h in np.unique(sizes, axis=0).tolist():
+        mine = np.flatnonzero((sizes == (w, h)).all(axis=1))
+        step, rows, _ = _canvas(w, h)
+        for some in np.split(mine, range(max(BITS_AT_ONCE // (step * rows), 1), len(mine), max(BITS_AT_ONCE // (step * rows), 1))):
+            which = np.repeat(np.arange(len(some)), n[some])
+            at = np.arange(len(which)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]) + first[some][which]
+            found = _cleaned(len(some), which, *[v[at] for v in runs], w, h)
+            made.append([some[found[0]], *found[1:]])
+    mask, *columns = (np.concatenate(c) for c in zip(*made)) if made else [np.empty(0, np.int64)] * 4
+    order = np.argsort(mask, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(mask, minlength=len(n)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c[order].astype(np.int32)) for c in columns], ["y", "x0", "x1"]))
 
 
 def _close_masks(ys: pd.Series, lefts: pd.Series, rights: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
@@ -387,15 +471,35 @@ def _pieces(runs: DataFrame, keys: Sequence[str], at_once: int = RUNS_AT_ONCE) -
 
 
 def clean_mask(runs: DataFrame, canvas: DataFrame, keys: Sequence[str], at_once: int = RUNS_AT_ONCE) -> DataFrame:
-    """Closing, filling of small holes, then removal of small pieces (thresholds grow with the canvas)."""
+    """Closing, filling of small holes, then removal of small pieces (thresholds grow with the canvas).
+
+    A mask of at most ``at_once`` runs on one canvas of at most ``PIXELS_AT_ONCE`` goes through all steps as one row; others go
+    step by step.
+    """
     runs = materialise(runs)
+    there = runs.select(*_row(keys), "x0", "x1").filter("y IS NOT NULL AND x1 > x0")
+    sizes = there.groupBy(*keys).agg(F.count("*").alias("_n"))
+    mine = canvas.groupBy(*keys).agg(F.count("*").alias("_c"), F.max("canvas_w").alias("canvas_w"), F.max("canvas_h").alias("canvas_h"))
+    fits = (F.col("_c") == 1) & (F.col("canvas_w") > 0) & (F.col("canvas_h") > 0) & (F.col("canvas_w").cast("long") * F.col("canvas_h") <= PIXELS_AT_ONCE)
+    apart = materialise(mine.join(sizes, list(keys)).filter(~F.coalesce(fits & (F.col("_n") <= at_once), F.lit(False))).select(*keys))
+    crowded = not apart.isEmpty()
+    few = there.join(apart, list(keys), "left_anti") if crowded else there
+    masks = few.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_m")).join(mine.drop("_c"), list(keys))
+    clean = F.arrow_udf(_clean_masks, "array<struct<y:int,x0:int,x1:int>>")
+    out = masks.select(*keys, F.inline(clean("_m", "canvas_w", "canvas_h")))
+    if not crowded:
+        return out
+    return out.unionByName(_clean_runs(runs.join(apart, list(keys), "left_semi"), canvas.join(apart, list(keys), "left_semi"), keys, at_once))
+
+
+def _clean_runs(runs: DataFrame, canvas: DataFrame, keys: Sequence[str], at_once: int) -> DataFrame:
     closed = materialise(close_gaps(runs, canvas, keys, at_once))
     area = F.col("canvas_w").cast("long") * F.col("canvas_h")
     mine = canvas.join(runs.select(*keys).distinct(), list(keys), "left_semi")
     holes = _pieces(complement(closed, mine, keys), keys, at_once).join(canvas, list(keys))
-    small = holes.filter(F.col("_size") < F.greatest((area * 0.001).cast("long"), F.lit(64)))
+    small = holes.filter(F.col("_size") < F.greatest((area * HOLE_SHARE).cast("long"), F.lit(HOLE_LEAST)))
     filled = mask_union(closed.select(*_row(keys), "x0", "x1").unionByName(small.select(*_row(keys), "x0", "x1")), keys)
-    kept = _pieces(filled, keys, at_once).join(canvas, list(keys)).filter(F.col("_size") >= F.greatest((area * 0.002).cast("long"), F.lit(128)))
+    kept = _pieces(filled, keys, at_once).join(canvas, list(keys)).filter(F.col("_size") >= F.greatest((area * PIECE_SHARE).cast("long"), F.lit(PIECE_LEAST)))
     return kept.select(*_row(keys), "x0", "x1")
 
 

@@ -139,3 +139,20 @@ def test_many_small_masks_are_cleaned_without_rounds(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(ids) < 60
+
+
+def test_small_masks_are_cleaned_as_one_row(spark, monkeypatch):
+    """All steps of small masks in one batch give what the steps one by one give; a mask on two canvases or on none of any size goes by these."""
+    import random
+    r = random.Random(12)
+    size = {k: (r.randrange(20, 120), r.randrange(12, 40)) for k in range(12)}
+    rows = [(k, r.randrange(-6, h + 6), x := r.randrange(-9, w), x + r.randrange(1, 30)) for k, (w, h) in size.items() for _ in range(r.randrange(1, 150))] + [(20, 1, 0, 9), (None, 1, 0, 9), (0, None, 0, 9)]
+    runs = M.mask_union(spark.createDataFrame(rows, "k int, y int, x0 int, x1 int"), ["k"])
+    canvas = spark.createDataFrame([(k, *s) for k, s in size.items()] + [(11, 70, 30), (20, None, 5), (21, 9, 9)], "k int, canvas_w int, canvas_h int")
+    out = lambda df: sorted(map(tuple, df.select("k", "y", "x0", "x1").collect()))
+    alone = canvas.filter("k < 11")
+    want = out(M._clean_runs(runs.filter("k < 11"), alone, ["k"], 1000))
+    written, materialise = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df: written.append(df) or materialise(df))
+    assert out(M.clean_mask(runs.filter("k < 11"), alone, ["k"])) == want and len(written) == 2 and len(want) > 100
+    assert out(M.clean_mask(runs, canvas, ["k"], at_once=60)) == out(M._clean_runs(runs, canvas, ["k"], 60))
